@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwake.llm.ann import ORACLE_SQL as NEAREST_SQL
+from sparkwake.llm.ann import op4_nearest_neighbours
 from sparkwake.llm.language_id import op1_language_id
 from sparkwake.llm.license_scan import op5_license_scans
+from sparkwake.llm.packing import op9_best_fit_packing
+from sparkwake.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_simhash": op2_simhash,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_license_scans": op5_license_scans,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_nearest_neighbours": NEAREST_SQL}
