@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkwake.llm.ann import ORACLE_SQL as NEAREST_SQL
 from sparkwake.llm.ann import op4_nearest_neighbours
+from sparkwake.llm.bpe import op3_byte_bpe
 from sparkwake.llm.language_id import op1_language_id
 from sparkwake.llm.license_scan import op5_license_scans
 from sparkwake.llm.packing import op9_best_fit_packing
@@ -16,6 +17,7 @@ from sparkwake.llm.simhash import op2_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_license_scans": op5_license_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
