@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import documents, rows_to_batch, slices, stored
+from sparkwake.llm.common import documents, frequent, rows_to_batch, slices, stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The code points of Unicode's White_Space, as the pattern means them.
@@ -171,19 +171,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The words (word, n) that occur at least so often that there are at most `most` of them."""
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) * F.pow(F.lit(2), F.floor(F.log2(F.col("n") / 1024)))).cast("long")
-    total, least = 0, None
-    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # under 1100 rows
-        total += r["words"]
-        if total > most:
-            break
-        least = r["level"]
-    words = counts.where(F.lit(False) if least is None else F.col("n") >= least)
-    return words.repartition(max(1, min(total, most) // FOLDED), "word")
-
-
 class Table:
     """Ids of words, in a few arrays: hashes in order, and where each word's bytes and ids are."""
 
@@ -212,7 +199,7 @@ def encode(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFram
     spark, ranks = docs.sparkSession, load_ranks(path)
     maps = rank_map(ranks)
     short = F.octet_length("word") <= WORD_BYTES
-    known = frequent(stored(count_words(docs), "words").where(short), most).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow()
+    known = frequent(stored(count_words(docs), "words").where(short), most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow()
     table = spark.sparkContext.broadcast(Table(known["word"].combine_chunks(), known["ids"].combine_chunks()))
     shared_ranks = spark.sparkContext.broadcast(ranks)
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that become Python objects at once.
 SLICE_ROWS = 512
@@ -44,3 +45,16 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def frequent(counts: DataFrame, most: int, each: int = 100_000) -> DataFrame:
+    """The words (word, n) that occur at least so often that there are at most `most` of them; about `each` in a partition."""
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) * F.pow(F.lit(2), F.floor(F.log2(F.col("n") / 1024)))).cast("long")
+    total, least = 0, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # under 1100 rows
+        total += r["words"]
+        if total > most:
+            break
+        least = r["level"]
+    words = counts.where(F.lit(False) if least is None else F.col("n") >= least)
+    return words.repartition(max(1, min(total, most) // each), "word")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkwake.llm.ann import ORACLE_SQL as NEAREST_SQL
 from sparkwake.llm.ann import op4_nearest_neighbours
 from sparkwake.llm.bpe import op3_byte_bpe
+from sparkwake.llm.hmm import op10_hmm_scores
 from sparkwake.llm.language_id import op1_language_id
 from sparkwake.llm.license_scan import op5_license_scans
 from sparkwake.llm.packing import op9_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_license_scans": op5_license_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_hmm_scores": op10_hmm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_nearest_neighbours": NEAREST_SQL}
