@@ -14,6 +14,7 @@ from sparkwake.llm.language_id import op1_language_id
 from sparkwake.llm.license_scan import op5_license_scans
 from sparkwake.llm.packing import op9_best_fit_packing
 from sparkwake.llm.simhash import op2_simhash
+from sparkwake.llm.syncmers import op6_syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_license_scans": op5_license_scans,
+    "op6_syncmers": op6_syncmers,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_hmm_scores": op10_hmm_scores,
 }
