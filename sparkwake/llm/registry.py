@@ -13,6 +13,8 @@ from sparkwake.llm.hmm import op10_hmm_scores
 from sparkwake.llm.language_id import op1_language_id
 from sparkwake.llm.license_scan import op5_license_scans
 from sparkwake.llm.packing import op9_best_fit_packing
+from sparkwake.llm.pii import op7_pii
+from sparkwake.llm.secret_scan import op8_secret_scans
 from sparkwake.llm.simhash import op2_simhash
 from sparkwake.llm.syncmers import op6_syncmers
 
@@ -23,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_license_scans": op5_license_scans,
     "op6_syncmers": op6_syncmers,
+    "op7_pii": op7_pii,
+    "op8_secret_scans": op8_secret_scans,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_hmm_scores": op10_hmm_scores,
 }
