@@ -11,7 +11,7 @@ Pieces then get their rank within their length, counted in CHUNK-sized parts so
 find their place by rank.
 
 Tokens: a text's ids are those of its parts between white space, which the tokenizer's own split never crosses;
-workers keep the ids of parts they have seen. A text with the control characters that Python takes for white
+workers keep the ids of parts and words they have seen. A text with the control characters that Python takes for white
 space and the tokenizer does not is encoded whole.
 
 Defined cases: null and empty texts are the separator alone, one piece of length 1. Equal pieces of a length go by
@@ -20,15 +20,18 @@ doc_id (null first), piece, checksum. Repeated rows are packed each. An empty ta
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,36 +39,83 @@ from sparkwake.llm.common import documents, rows_to_batch, slices, stored
 
 CAPACITY, SEPARATOR = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Parts of texts whose ids a worker keeps.
-KEPT = 500_000
+#: Parts of texts, and words, whose ids a worker keeps; it forgets all when it has more.
+KEPT = 600_000
 #: Pieces of a length that are ranked together, about; and the most parts in which they are.
 CHUNK, CHUNKS = 2000, 4096
+#: The split that the tokenizer's file states, after lower case and without white space.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
-    def __init__(self, path: str):
-        import os
+    """Ids of texts. Parts between white space and their words are encoded once as long as they are remembered."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        parts = [text] if ODD_SPACE.search(text) else text.split()
-        if len(self.known) > KEPT:
-            self.known.clear()
-        missing = [p for p in dict.fromkeys(parts) if p not in self.known]
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for part, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = array("I", got.ids).tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        self.merges = Tokenizer(self.tokenizer.model)  # for words in byte names, with spaces between them
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)  # ids that end a word
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            names = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_NAMES) for w in some]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Parts without white space."""
+        if len(self.words) > KEPT:
+            self.words.clear()
+        split = {}
+        for part in parts:
+            if part.isascii():
+                split[part] = ASCII_WORDS(part.lower())
+            elif max(part) < "\u0250":  # Latin: composed already, and lower case is the same everywhere
+                split[part] = WORDS(part.lower())
+            else:
+                self.parts[part] = self._whole(part)
+        self._learn_words([w for w in dict.fromkeys(chain.from_iterable(split.values())) if w not in self.words])
+        for part, words in split.items():
+            self.parts[part] = b"".join(map(self.words.__getitem__, words))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        own = [[] if t is None or ODD_SPACE.search(t) else t.split() for t in texts]
+        codes = [list(map(self.parts.get, parts)) for parts in own]
+        new = [k for k, found in enumerate(codes) if None in found]
+        if new:
+            if len(self.parts) > KEPT:
+                self.parts.clear()
+                new = [k for k, parts in enumerate(own) if parts]
+            self._learn(list(set().union(*(own[k] for k in new)).difference(self.parts)))
+            for k in new:
+                codes[k] = map(self.parts.__getitem__, own[k])
+        for text, found in zip(texts, codes, strict=True):
+            yield self._whole(text) if text and ODD_SPACE.search(text) else b"".join(found)
+
+
+def byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the others as U+0100 onward in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_NAMES = byte_names()
 
 
 @cache
@@ -82,8 +132,8 @@ def pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) ->
         own = encoder(path)
         for cols in slices(batches):
             rows = []
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                ids = own.encode(text) + end
+            for doc_id, ids in zip(cols["doc_id"], own.encode(cols["text"]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
