@@ -23,16 +23,18 @@ import base64
 import hashlib
 import heapq
 import json
-import re
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +51,6 @@ FOLDED = 25_000
 #: Small maps of the literal; parts of texts and distinct words that a worker keeps.
 MAPS, KEPT = 1 << 16, 300_000
 NONE = (1 << 31) - 1
-ODD = re.compile(r" [^\S ]|[^\S ] |  |^\s|\s$")
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -63,12 +64,9 @@ def splitter() -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
-def parts(text: str) -> list[str]:
-    """The text cut before single spaces between other characters, where a word always begins; elsewhere not cut."""
-    if ODD.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
+def odd(chunk: str) -> bool:
+    """Whether a chunk between single spaces leaves the place of the first word after it open."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -147,7 +145,8 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """docs (text) -> word, n: every distinct word and its places."""
+    """docs (text) -> word, n: how often words occur, every chunk between spaces taken to have one before it. This only
+    chooses the words to be folded ahead; none has to be among them."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +154,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def words() -> pa.RecordBatch:
             found: Counter = Counter()
-            for part, n in seen.items():
-                for w in split(part):
+            for chunk, n in seen.items():
+                for w in split(" " + chunk):
                     found[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
 
         for cols in slices(batches):
             for text in filter(None, cols["text"]):
-                seen.update(parts(text))
+                seen.update(text.split(" "))
             if len(seen) > KEPT:
                 yield words()
         yield words()
@@ -175,82 +174,119 @@ class Table:
     """Ids of words, in a few arrays: hashes in order, and where each word's bytes and ids are."""
 
     def __init__(self, words: pa.Array, ids: pa.Array):
-        raw = [w.encode() for w in words.to_pylist()]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in words), np.uint64, len(words))
         order = np.argsort(hashes, kind="stable")
-        lists = ids.to_pylist()
+        words, ids = words.cast(pa.binary()).take(pa.array(order)), ids.take(pa.array(order))
+        ends = lambda lengths: np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64))))
         self.hashes = hashes[order]
-        self.words = b"".join(raw[i] for i in order)
-        self.word_ends = np.cumsum([0, *(len(raw[i]) for i in order)]).astype(np.int64)
-        self.ids = array("i", [x for i in order for x in lists[i]]).tobytes()
-        self.id_ends = 4 * np.cumsum([0, *(len(lists[i]) for i in order)]).astype(np.int64)
-
-    def get(self, word: bytes) -> bytes | None:
-        at = int(np.searchsorted(self.hashes, np.uint64(xxhash.xxh64_intdigest(word))))
-        while at < len(self.hashes) and self.hashes[at] == xxhash.xxh64_intdigest(word):
-            if self.words[self.word_ends[at] : self.word_ends[at + 1]] == word:
-                return self.ids[self.id_ends[at] : self.id_ends[at + 1]]
-            at += 1
-        return None
-
-
-def encode(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, ids: binary, little-endian unsigned 32-bit integers."""
+        self.word_ends, self.words = ends(pc.binary_length(words)), pc.binary_join(pa.array([words.to_pylist()], pa.list_(pa.binary())), b"")[0].as_py()
+        self.id_ends, self.ids = 4 * ends(pc.list_value_length(ids)), ids.flatten().to_numpy().astype("<i4").tobytes()
+
+    def look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of those of the words that it has."""
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        first = np.searchsorted(self.hashes, hashes)
+        there = np.flatnonzero(self.hashes[np.minimum(first, len(self.hashes) - 1)] == hashes) if len(self.hashes) else ()
+        found = {}
+        for at, place in zip(there, first[there].tolist() if len(there) else (), strict=True):
+            while place < len(self.hashes) and self.hashes[place] == hashes[at]:
+                if self.words[self.word_ends[place] : self.word_ends[place + 1]] == words[at]:
+                    found[words[at]] = self.ids[self.id_ends[place] : self.id_ends[place + 1]]
+                    break
+                place += 1
+        return found
+
+
+@dataclass
+class Reader:
+    """Codes of texts: ids of known words in place; -1 - k for the k-th of the words to be folded."""
+
+    table: Table
+    ranks: dict[bytes, int]
+
+    def __post_init__(self) -> None:
+        self.split = splitter()
+        self.kept: dict[str, bytes] = {}  # by chunk, with a space before it
+
+    def _words(self, text: str) -> list[bytes]:
+        return list(map(str.encode, self.split(text)))
+
+    def _known(self, words: set[bytes]) -> dict[bytes, bytes]:
+        found = self.table.look_up([w for w in words if len(w) <= WORD_BYTES])
+        found.update((w, array("i", heap_merges(w, self.ranks)).tobytes()) for w in words if len(w) > FOLD_BYTES)
+        return found
+
+    def read(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[bytes]]]:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        own = [(t or "").split(" ") for t in texts]
+        new = set().union(*own).difference(self.kept)
+        strange = set(filter(odd, new))
+        whole = [text for text, chunks in zip(texts, own, strict=True) if text and not strange.isdisjoint(chunks)]
+        words = {c: self._words(" " + c) for c in new - strange}
+        starts = {c[0]: self._words(c[0]) for c in own} | {text: self._words(text) for text in whole}
+        known = self._known(set(chain(chain.from_iterable(words.values()), chain.from_iterable(starts.values()))))
+        for chunk, parts in words.items():
+            if all(map(known.__contains__, parts)):
+                self.kept[chunk] = b"".join(map(known.__getitem__, parts))
+        get = self.kept.get
+        for text, chunks in zip(texts, own, strict=True):
+            rest: dict[bytes, int] = {}
+
+            def code(word: bytes, rest=rest) -> bytes:
+                return known.get(word) or (-1 - rest.setdefault(word, len(rest))).to_bytes(4, "little", signed=True)
+
+            if text and not strange.isdisjoint(chunks):
+                codes = list(map(code, starts[text]))
+            else:
+                codes = list(map(get, chunks))
+                codes[0] = b"".join(map(code, starts[chunks[0]]))
+                if None in codes:
+                    for at, found in enumerate(codes):
+                        if found is None:
+                            codes[at] = b"".join(map(code, words[chunks[at]]))
+            yield b"".join(codes), list(rest)
+
+
+def filled(codes: bytes, rest: list[list[int]]) -> bytes:
+    """Codes with the ids of the folded words put in."""
+    if not rest:
+        return codes
+    numbers, own, done, at = np.frombuffer(codes, "<i4"), [array("i", x).tobytes() for x in rest], [], 0
+    for hole in np.flatnonzero(numbers < 0).tolist():
+        done += [codes[4 * at : 4 * hole], own[-1 - int(numbers[hole])]]
+        at = hole + 1
+    return b"".join([*done, codes[4 * at :]])
+
+
+def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, codes, rest: ids with holes, and the ids of the words that belong there."""
     spark, ranks = docs.sparkSession, load_ranks(path)
     maps = rank_map(ranks)
     short = F.octet_length("word") <= WORD_BYTES
-    known = frequent(stored(count_words(docs), "words").where(short), most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow()
-    table = spark.sparkContext.broadcast(Table(known["word"].combine_chunks(), known["ids"].combine_chunks()))
-    shared_ranks = spark.sparkContext.broadcast(ranks)
+    known = frequent(stored(count_words(docs), "words").where(short), most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
+    column = lambda name, kind: known[name].combine_chunks() if known.num_rows else pa.array([], kind)
+    table = spark.sparkContext.broadcast((Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))), ranks))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """ids of known words in place; a word not known is -1 - its place in `rest`."""
         schema = pa.schema([("doc_id", pa.int64()), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
-        split, find, kept = splitter(), table.value.get, {}
+        reader = Reader(*table.value)
         for cols in slices(batches):
-            rows = []
-            if len(kept) > KEPT:
-                kept.clear()
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                own = parts(text) if text else []
-                codes = list(map(kept.get, own))
-                rest: dict[str, int] = {}
-                for at, code in enumerate(codes):
-                    if code is not None:
-                        continue
-                    done, whole = [], True
-                    for word in split(own[at]):
-                        raw = word.encode()
-                        got = find(raw) if len(raw) <= WORD_BYTES else None
-                        if got is None and len(raw) > FOLD_BYTES:
-                            got = array("i", heap_merges(raw, shared_ranks.value)).tobytes()
-                        if got is None:
-                            got, whole = (-1 - rest.setdefault(word, len(rest))).to_bytes(4, "little", signed=True), False
-                        done.append(got)
-                    codes[at] = b"".join(done)
-                    if whole and len(codes[at]) < 256:
-                        kept[own[at]] = codes[at]
-                rows.append((doc_id, b"".join(codes), list(rest)))
-            yield rows_to_batch(rows, schema)
+            yield rows_to_batch([(i, codes, [w.decode() for w in rest]) for i, (codes, rest) in zip(cols["doc_id"], reader.read(cols["text"]), strict=True)], schema)
+
+    looked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look_up, "doc_id long, codes binary, rest array<string>")
+    return looked.select("doc_id", "codes", folded(F.col("rest"), maps).alias("rest"))
 
-    def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encode(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, ids: binary, little-endian unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
         for cols in slices(batches):
-            rows = []
-            for doc_id, codes, rest in zip(cols["doc_id"], cols["codes"], cols["rest"], strict=True):
-                if rest:
-                    numbers = np.frombuffer(codes, "<i4")
-                    own, done, at = [array("i", x).tobytes() for x in rest], [], 0
-                    for hole in np.flatnonzero(numbers < 0).tolist():
-                        done += [codes[4 * at : 4 * hole], own[-1 - int(numbers[hole])]]
-                        at = hole + 1
-                    codes = b"".join([*done, codes[4 * at :]])
-                rows.append((doc_id, codes))
-            yield rows_to_batch(rows, schema)
+            yield rows_to_batch([(i, filled(c, r)) for i, c, r in zip(cols["doc_id"], cols["codes"], cols["rest"], strict=True)], schema)
 
-    looked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look_up, "doc_id long, codes binary, rest array<string>")
-    known_rest = looked.select("doc_id", "codes", folded(F.col("rest"), maps).alias("rest"))
-    return known_rest.mapInArrow(put_in, "doc_id long, ids binary")
+    return read(docs, path, most).mapInArrow(run, "doc_id long, ids binary")
 
 
 class Pieces:
@@ -263,18 +299,21 @@ class Pieces:
         return b"".join(map(self.pieces.__getitem__, array("i", ids)))
 
 
-def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
-    """encoded (doc_id, ids) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, from the ids and what they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        digest = lambda raw: hashlib.sha256(raw).hexdigest()
         for cols in slices(batches):
-            yield rows_to_batch([(i, len(ids) // 4, digest(ids), digest(pieces.decode(ids))) for i, ids in zip(cols["doc_id"], cols["ids"], strict=True)], schema)
+            rows = []
+            for doc_id, codes, rest in zip(cols["doc_id"], cols["codes"], cols["rest"], strict=True):
+                ids = filled(codes, rest)
+                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(pieces.decode(ids)).hexdigest()))
+            yield rows_to_batch(rows, schema)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return read(docs, path, most).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(documents(spark, sf_dir)))
+    return digests(documents(spark, sf_dir))
