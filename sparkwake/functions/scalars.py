@@ -77,9 +77,8 @@ def is_hostish(variable: Column) -> Column:
 def normalise_variable(name: Column) -> Column:
     """The service that a variable's name speaks of: up to three endings go, of each round the first listed that fits."""
     upper = F.upper(name)
-    for _ in range(3):
-        cut = [F.when(F.endswith(upper, F.lit(s)) & (F.length(upper) > len(s)), F.substring(upper, F.lit(1), F.length(upper) - len(s))) for s in HOSTISH_SUFFIXES]
-        upper = F.coalesce(*cut, upper)
+    for _ in range(3):  # of endings that fit, the longer are listed first, and the lazy beginning finds the longest
+        upper = F.regexp_replace(upper, f"^(.+?)(?:{'|'.join(HOSTISH_SUFFIXES)})$", "$1")
     return normalise(upper)
 
 
@@ -213,7 +212,7 @@ def call_edge_type(kind: Column) -> Column:
 
 
 def calls_detail(calls: Column, method: Column) -> Column:
-    return F.when(calls.isNull(), F.concat(F.lit("seen in "), method)).otherwise(F.concat(calls.cast("string"), F.when(calls == 1, F.lit(" call")).otherwise(F.lit(" calls")), F.lit(" in "), method))
+    return F.concat(F.coalesce(F.concat(calls.cast("string"), F.lit(" calls")), F.lit("observed")), F.lit(" ("), method, F.lit(")"))
 
 
 def percent(part: Column, whole: Column) -> Column:

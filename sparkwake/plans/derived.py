@@ -11,6 +11,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 #: {name} is a table of the driver or another dataset.
 DATASETS = {
+    "d_lines": "SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity, min(l_tax) AS l_tax FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
     # suppliers are services of two repositories
     "d_services": """
 SELECT concat('repo-', CAST(s_suppkey % 2 AS STRING)) AS repo_id, concat('svc-', CAST(s_suppkey AS STRING)) AS name,
@@ -23,12 +24,12 @@ SELECT concat('repo-', CAST(a.l_suppkey % 2 AS STRING)) AS repo_id, concat('svc-
   CAST(CASE b.l_linenumber % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END AS INT) AS type_ord,
   CAST(CASE a.l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS INT) AS conf_rank,
   concat('order-', CAST(a.l_orderkey AS STRING)) AS file, a.l_linenumber AS line, CAST(NULL AS STRING) AS detail, a.l_orderkey * 10 + a.l_linenumber AS ordinal
-FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+FROM {d_lines} a JOIN {d_lines} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_suppkey % 2 = b.l_suppkey % 2""",
-    "d_sparse": "SELECT c.* FROM {d_candidates} c JOIN {lineitem} l ON c.ordinal = l.l_orderkey * 10 + l.l_linenumber WHERE l.l_quantity >= 45 AND l.l_tax <= 0.03",
+    "d_sparse": "SELECT c.* FROM {d_candidates} c JOIN {d_lines} l ON c.ordinal = l.l_orderkey * 10 + l.l_linenumber WHERE l.l_quantity >= 45 AND l.l_tax <= 0.03",
     "d_runtime": """
 SELECT repo_id, client, server, calls, kind, ordinal FROM (
-  SELECT 'repo-0' AS repo_id, concat('svc-', CAST(2 * (user_id % 50) AS STRING)) AS client, concat('svc-', CAST(2 * (lead(user_id) OVER (ORDER BY event_id) % 50) AS STRING)) AS server,
+  SELECT 'repo-0' AS repo_id, concat('svc-', CAST(2 * (user_id % 50) AS STRING)) AS client, 'svc-' || CAST(2 * (lead(user_id) OVER (ORDER BY event_id) % 50) AS STRING) AS server,
     CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 7 END AS calls, CASE event_id % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'grpc' WHEN 2 THEN 'event' WHEN 3 THEN 'database' ELSE 'unknown' END AS kind, event_id AS ordinal
   FROM {events} WHERE event_id < 2000) x WHERE server IS NOT NULL""",
     "d_changes": """
@@ -41,7 +42,7 @@ SELECT concat('repo-', CAST(p_partkey % 2 AS STRING)) AS repo_id, concat('svc-',
     "d_spans": """
 SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS span_id, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber - 1 AS STRING)) AS parent_id,
   concat('svc-', CAST(l_suppkey AS STRING)) AS service, CASE l_linenumber % 3 WHEN 0 THEN concat('svc-', CAST(l_partkey % 100 AS STRING)) END AS peer,
-  CASE l_linenumber % 4 WHEN 0 THEN 'event' WHEN 1 THEN 'http' WHEN 2 THEN 'grpc' ELSE 'database' END AS kind, l_orderkey * 10 + l_linenumber AS ordinal FROM {lineitem}""",
+  CASE l_linenumber % 4 WHEN 0 THEN 'event' WHEN 1 THEN 'http' WHEN 2 THEN 'grpc' ELSE 'database' END AS kind, l_orderkey * 10 + l_linenumber AS ordinal FROM {d_lines}""",
     "d_names": """
 SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN concat(lower(s_name), '-service') WHEN 1 THEN concat('Checkout.', CAST(s_suppkey AS STRING), '_API') WHEN 2 THEN concat('paymnt', CAST(s_suppkey AS STRING)) ELSE 'orders-deployment' END AS variant FROM {supplier}""",
     "d_env": """
