@@ -144,7 +144,10 @@ def _asked(part: Part) -> Column:
 
 def links(distinct: DataFrame, parts: list[Part], distance: int = DISTANCE) -> DataFrame:
     """distinct (fp) -> a, b: each pair within the distance, both ways round at least once in sum."""
-    listed = lambda keys: F.explode(F.flatten(F.array(*[F.transform(k, lambda x, i=i: F.struct(F.lit(i).alias("part"), x.alias("key"))) for i, k in enumerate(keys)])))
+    def under(number: int, keys: Column) -> Column:
+        return F.transform(keys, lambda x: F.struct(F.lit(number).alias("part"), x.alias("key")))
+
+    listed = lambda keys: F.explode(F.concat(*[under(i, k) for i, k in enumerate(keys)]))
     held = distinct.select(F.col("fp").alias("b"), listed([F.array(F.col("fp").bitwiseAND(F.lit(p.mask))) for p in parts]).alias("at")).select("b", F.col("at.part").alias("part"), F.col("at.key").alias("key"))
     asked = distinct.select(F.col("fp").alias("a"), listed([_asked(p) for p in parts]).alias("at")).select("a", F.col("at.part").alias("part2"), F.col("at.key").alias("key2"))
     near = (F.col("part") == F.col("part2")) & (F.col("key") == F.col("key2")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
