@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwake.functions.messaging import METHODS
+
 SCHEMA = "repo_id string, service string, path string, ordinal int, line int, kind string, name string, value string, default string"
 PARSER = "lines"
 #: Languages by extension, and what is not read.
@@ -25,9 +27,12 @@ ENV = re.compile(r"""(?:process\.env\.([A-Za-z_]\w*)|process\.env\[\s*["'](\w+)[
 DEFAULT = re.compile(r"""^[\])]*\s*(?:\|\||\?\?|\?:|or|,)\s*["'`]([^"'`]*)["'`]""")
 INNER = re.compile(r"\$\{([A-Za-z_]\w*)(?:(?::-|:|-)([^}]*))?\}")
 CALL = re.compile(r"([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*(?:<[^<>()]*>)?)\s*\(")
-ASSIGN = re.compile(r"""([A-Za-z_$][\w$]*)\s*(?::\s*[\w<>\[\]]+\s*)?(?::=|=)\s*["'`]([^"'`]+)["'`]""")
+ASSIGN = re.compile(r"""(?:^|[\s({;,])([A-Za-z_$][\w$]*)\s*(?::\s*[\w<>\[\]]+\s*)?(?::=|=)(?!=)(?=[^=]*["'`])""")
 IMPORT = re.compile(r"""^\s*(?:import\s+(?:[\w*{},\s]+\s+from\s+)?["']([^"']+)["']|import\s+(?:static\s+)?([\w.]+)|from\s+([\w.]+)\s+import|using\s+([\w.]+)\s*;|use\s+([\w\\]+)|(?:const|let|var).*require\(\s*["']([^"']+)["']\s*\)|(?:[\w.]+\s+)?"((?:[\w.-]+/)+[\w.-]+)"\s*$)""")
-SETTING = re.compile(r"""^\s*-?\s*["']?([A-Za-z_][\w.\-\[\]]*)["']?\s*[:=]\s*["']?([^"'#{\[]+?)["']?\s*,?\s*$""")
+SETTING = re.compile(r"""^\s*-?\s*["']?([@A-Za-z_][\w.\-/@\[\]]*)["']?\s*[:=]\s*["']?([^"'#{\[]+?)["']?\s*,?\s*$""")
+NAMES = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*")
+#: Lines over which a call may go on.
+GOES_ON = 6
 COMMENT = re.compile(r"^\s*(?://|#(?!\[)|\*|/\*|--|<!--)")
 
 
@@ -49,14 +54,44 @@ def balanced(text: str, at: int) -> str:
     return text[at:]
 
 
+def literals(text: str) -> list[str]:
+    return [next(g for g in m.groups() if g is not None) for m in STRING.finditer(text)]
+
+
+def calls(line: str, after: list[str]) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+    """(kind, name, value, default) of a line's calls; `after`: the lines on which they may go on."""
+    for m in CALL.finditer(line):
+        name, inside = m[1], balanced(line, m.end())
+        if len(inside) == len(line) - m.end() and after:
+            inside = balanced("\n".join([line, *after]), m.end())
+        method = re.sub(r"<.*", "", name).rsplit(".", 1)[-1].rsplit("::", 1)[-1].lower()
+        for k, value in enumerate(literals(inside)):
+            yield "call", name, value, str(k)
+        if method in METHODS:
+            yield from (("call_name", name, x, None) for x in NAMES.findall(re.sub(r"\w+\s*=(?!=)", "", STRING.sub("", inside)))[:8])
+            if generic := re.search(r"<\s*(\w+)", name):
+                yield "event_type", "consumer" if "subscri" in method else "producer", generic[1], None
+        if re.search(r"(?:Client|Stub|Server|to_server)$", name.split("<")[0]):
+            yield "stub", name, None, None
+        if name.endswith("Event") and not name.endswith("DomainEvent") and line[: m.start()].rstrip().endswith("new"):
+            yield "event_type", "producer", name, None
+
+
 def facts(path: str, text: str) -> Iterator[tuple[int, str, str | None, str | None, str | None]]:
     """(line, kind, name, value, default)."""
-    language = LANGUAGES.get(path.rpartition(".")[2].lower(), "text")
-    for n, line in enumerate(text.splitlines(), 1):
+    base, language = path.rpartition("/")[2], LANGUAGES.get(path.rpartition(".")[2].lower(), "text")
+    if base == "pom.xml":
+        own = re.sub(r"(?s)<parent>.*?</parent>", "", text)
+        yield from ((0, "import", name, None, None) for name in re.findall(r"(?s)<dependency>.*?<artifactId>\s*([^<\s]+)", own))
+        return
+    if language == "xml":
+        yield from ((0, "import", m[1], None, None) for m in re.finditer(r"""ProjectReference\s+Include="(?:[^"]*[\\/])?([^"\\/]+)\.(?:cs|fs)proj\"""", text))
+    lines = text.splitlines()
+    for n, line in enumerate(lines, 1):
         if COMMENT.match(line):
             continue
-        for m in STRING.finditer(line):
-            value = next(g for g in m.groups() if g is not None)
+        values = literals(line)
+        for value in values:
             yield n, "template" if re.search(r"\$\{|#\{|\{\w*\}", value) else "string", None, value, None
         if language in ("yaml", "properties", "json", "env", "toml", "conf") or "://" in line:
             for m in re.finditer(r"[A-Za-z][A-Za-z0-9+.:-]*://[^\s\"'`<>;,)]+", STRING.sub("", line)):
@@ -67,19 +102,18 @@ def facts(path: str, text: str) -> Iterator[tuple[int, str, str | None, str | No
         for m in INNER.finditer(line):
             if m[1].isupper():
                 yield n, "env", m[1], None, m[2]
-        for m in CALL.finditer(line):
-            inside = balanced(line, m.end())
-            for k, s in enumerate(STRING.finditer(inside)):
-                yield n, "call", m[1], next(g for g in s.groups() if g is not None), str(k)
-            if re.search(r"(?:Client|Stub|Server|to_server)$", m[1].split("<")[0]) and not STRING.search(inside):
-                yield n, "call", m[1], None, None
+        yield from ((n, *c) for c in calls(line, lines[n : n + GOES_ON]))
         if m := IMPORT.match(line):
             yield n, "import", next(g for g in m.groups() if g), None, None
         for m in re.finditer(r"@([A-Z]\w+)\s*\(([^)]*)\)", line):
-            for s in STRING.finditer(m[2]):
-                yield n, "annotation", m[1], next(g for g in s.groups() if g is not None), None
-        for m in ASSIGN.finditer(line):
-            yield n, "assign", m[1], m[2], None
+            yield from ((n, "annotation", m[1], value, None) for value in literals(m[2]))
+            yield from ((n, "annotation_name", m[1], x, None) for x in NAMES.findall(re.sub(r"\w+\s*=(?!=)", "", STRING.sub("", m[2]))))
+        for m in re.finditer(r"I\w*EventHandler<(\w+)>", line):
+            yield n, "event_type", "consumer", m[1], None
+        if values and (m := ASSIGN.search(line)):
+            yield n, "assign", m[1], values[-1], None
+        if language == "toml" and (m := re.match(r"\s*([\w-]+)\s*=\s*\{[^}]*path\s*=", line)):
+            yield n, "import", m[1], None, None
         if language in ("yaml", "properties", "json", "env", "toml") and (m := SETTING.match(line)):
             yield n, "setting", m[1], m[2].strip(), None
 

@@ -13,25 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.functions import scalars as S
+from sparkwake.functions.messaging import DECLARES, LISTENERS, RECEIVES, SENDERS, SENDS
 from sparkwake.operators import resolve
 from sparkwake.functions.labels import type_order
 from sparkwake.operators.edges import DATABASE, EVENT, GRPC, IMPORT
 
-#: Methods that send, receive or declare, receivers of a plain send, and annotations of listeners.
-SENDS = (
-    "publish", "publishasync", "basic_publish", "basicpublish", "basicpublishasync", "produce", "produceasync", "sendtoqueue", "convertandsend", "sendmessage", "sendmessageasync",
-    "sendmessagebatch", "putevents", "putrecord",
-)
-RECEIVES = (
-    "subscribe", "subscribeasync", "psubscribe", "consume", "consumeasync", "basic_consume", "basicconsume", "basicconsumeasync", "receivemessage", "receivemessageasync", "addsubscription",
-    "queuesubscribe", "subscribesync", "chansubscribe",
-)
-DECLARES = (
-    "queue_declare", "queuedeclare", "queuedeclareasync", "assertqueue", "queue_bind", "queuebind", "queuebindasync", "bindqueue", "exchange_declare", "exchangedeclare", "exchangedeclareasync",
-    "assertexchange", "createtopic", "createqueue",
-)
-SENDERS = ("producer", "kafka", "template", "publisher", "topic", "queue", "sqs", "sns", "pubsub", "eventhub", "bus", "stream", "bridge")
-LISTENERS = ("KafkaListener", "RabbitListener", "JmsListener", "SqsListener", "StreamListener", "PulsarListener", "NatsListener", "ServiceBusTrigger", "QueueTrigger", "EventHubTrigger", "KafkaTrigger")
+
+#: Last parts of settings' keys that name an address.
+HOST_WORDS = ("host", "hostname", "url", "uri", "addr", "address", "endpoint", "server", "servers", "bootstrap-servers", "brokers", "connectionstring", "hosts", "addresses", "contact-points", "base-url", "baseurl")
 
 
 @dataclass
@@ -68,7 +57,10 @@ def http(facts: DataFrame, ctx: Context) -> DataFrame:
     address: by value or default static, by name uncertain."""
     texts = facts.where(F.col("kind").isin("string", "template", "setting", "assign") & F.col("value").isNotNull())
     strict = F.coalesce(S.url_host(F.col("value")), S.host_of_pair(F.col("value")), S.ado_host(F.col("value")))
-    named = _type(ctx, resolve.hosts(texts.drop("kind").withColumn("host", strict).where(F.col("host").isNotNull() & ~F.contains("host", F.lit("$"))), ctx.keys), "value")
+    host_key = F.regexp_extract("name", r"([^.\[]+)(?:\[[^\]]*\])?$", 1)
+    is_host = (F.col("kind") == "setting") & (F.lower(host_key).isin(*HOST_WORDS) | S.is_hostish(F.col("name"))) & S.is_hostname(F.col("value"))
+    strict = F.coalesce(strict, F.when(is_host, F.lower("value")))
+    named = _type(ctx, resolve.hosts(texts.withColumn("host", strict).drop("kind").where(F.col("host").isNotNull() & ~F.contains("host", F.lit("$"))), ctx.keys), "value")
     by_text = _shape(named, F.col("type_ord"), F.lit(2), F.col("value"))
     plain = texts.where(F.col("kind") != "setting").withColumn("host", F.when(S.is_hostname(F.col("value")), F.lower("value"))).where(F.col("host").isNotNull()).drop("kind")
     bare = _type(ctx, resolve.hosts(plain, ctx.keys), "value").where(F.col("kind").isin("datastore", "broker"))
@@ -82,7 +74,7 @@ def http(facts: DataFrame, ctx: Context) -> DataFrame:
 
 def grpc(facts: DataFrame, ctx: Context) -> DataFrame:
     """Client stubs to the service that registers the server of that name first, or bears the name."""
-    calls = facts.where((F.col("kind") == "call") & F.col("default").isNull())
+    calls = facts.where(F.col("kind") == "stub")
     method = F.element_at(F.split(F.col("name"), r"\.|::|->"), -1)
     stub = F.coalesce(*[F.nullif(F.regexp_extract(method, p, 1), F.lit("")) for p in (r"^New([A-Z]\w{2,})Client$", r"^([A-Z]\w{2,})Client$", r"^([A-Z]\w{2,})Stub$")])
     server = F.coalesce(*[F.nullif(F.regexp_extract(method, p, 1), F.lit("")) for p in (r"^Register([A-Z]\w{2,})Server$", r"^add_([A-Z]\w{2,})Servicer_to_server$")])
@@ -94,12 +86,21 @@ def grpc(facts: DataFrame, ctx: Context) -> DataFrame:
 
 
 def mentions(facts: DataFrame) -> DataFrame:
-    """Topics: repo_id, topic_key, service, role, path, line, ordinal."""
+    """Topics: repo_id, topic_key, service, role, path, line, ordinal. A name in the place of a literal stands for the
+    values bound to it in the same service; a typed event's topic is its type."""
     method, receiver = S.callee_method(F.col("name")), S.callee_receiver(F.col("name"))
     send = F.coalesce(receiver, F.lit("")).rlike("|".join(SENDERS)) & method.isin("send", "sendasync", "emit", "writemessages")
-    role = F.when((F.col("kind") == "annotation") & F.col("name").isin(*LISTENERS), "consumer").when((F.col("kind") == "call") & (method.isin(*SENDS) | send), "producer").when((F.col("kind") == "call") & method.isin(*RECEIVES), "consumer").when((F.col("kind") == "call") & method.isin(*DECLARES), "unknown")
-    own = facts.where(F.col("kind").isin("call", "annotation") & F.col("value").isNotNull() & F.coalesce(F.col("default"), F.lit("0")).isin("0", "1"))
-    return own.withColumn("role", role).where(F.col("role").isNotNull() & S.is_topic_key(F.col("value"))).select("repo_id", F.col("value").alias("topic_key"), "service", "role", "path", "line", "ordinal")
+    listens = F.col("kind").isin("annotation", "annotation_name") & F.col("name").isin(*LISTENERS)
+    called = F.col("kind").isin("call", "call_name")
+    role = F.when(listens, "consumer").when(called & (method.isin(*SENDS) | send), "producer").when(called & method.isin(*RECEIVES), "consumer").when(called & method.isin(*DECLARES), "unknown")
+    columns = ["repo_id", "topic_key", "service", "role", "path", "line", "ordinal"]
+    own = facts.withColumn("role", role).where(F.col("role").isNotNull() & F.col("value").isNotNull())
+    literal = own.where(F.col("kind").isin("call", "annotation") & F.coalesce(F.col("default"), F.lit("0")).isin("0", "1")).withColumnRenamed("value", "topic_key")
+    bound = resolve.symbols(facts.where(F.col("kind") == "assign").select("repo_id", "service", "name", "value", "ordinal"))
+    named = own.where(F.col("kind").isin("call_name", "annotation_name")).withColumnRenamed("value", "expression").drop("name")
+    through = resolve.look_up_symbols(named, bound).withColumnRenamed("value", "topic_key")
+    typed = facts.where(F.col("kind") == "event_type").select("repo_id", F.col("value").alias("topic_key"), "service", F.col("name").alias("role"), "path", "line", "ordinal")
+    return literal.select(*columns).unionByName(through.select(*columns)).unionByName(typed).where(S.is_topic_key(F.col("topic_key")))
 
 
 def event(facts: DataFrame, ctx: Context) -> DataFrame:
