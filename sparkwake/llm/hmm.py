@@ -36,8 +36,10 @@ from sparkwake.llm.common import documents, frequent, rows_to_batch, slices, sto
 
 STATES, ROUNDS = 6, 4
 VOCABULARY, CLASSES, COMMON, WORD_BYTES = 50_000, 64, 300_000, 64
-#: Tokens that a task reads at once; distinct words that it counts before it sends them on.
-TOKENS, KEPT, SEGMENT = 400_000, 300_000, 50_000
+#: Tokens that a task trains on or scores at once; distinct words that it counts before it sends them on.
+TRAINED, SCORED, KEPT = 400_000, 1_500_000, 300_000
+#: Tokens of a training sequence: a batch takes as many steps as its longest sequence has tokens.
+SEGMENT = 1024
 END = 0
 STICKY, PRIOR = 0.9, 5.0
 
@@ -145,7 +147,7 @@ def gathered(sequences: Iterator[np.ndarray]) -> Iterator[Texts]:
     for s in sequences:
         held.append(s)
         size += len(s)
-        if size >= TOKENS:
+        if size >= TRAINED:
             yield Texts(held)
             held, size = [], 0
     if held:
@@ -162,25 +164,31 @@ def first_model(symbol_counts: np.ndarray, states: int) -> Model:
 
 
 def train(docs: DataFrame, vocabulary: list[bytes], symbol_counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """docs (text); symbol_counts: training tokens of each symbol."""
+    """docs (text); symbol_counts: training tokens of each symbol. Texts are read once; rounds read their symbols."""
     spark = docs.sparkSession
     model, names = first_model(symbol_counts, states), spark.sparkContext.broadcast(vocabulary)
     unigram = (symbol_counts + 0.5) / (symbol_counts + 0.5).sum()
     schema = pa.schema([("symbol", pa.int32()), ("state", pa.list_(pa.float64()))])
     begin, move = -1, -2
 
+    def symbols_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(names.value)
+        for cols in slices(batches):
+            yield rows_to_batch([(symbols.read(words_of(text)).tobytes(),) for text in cols["text"]], pa.schema([("symbols", pa.binary())]))
+
+    read = stored(docs.select("text").mapInArrow(symbols_of, "symbols binary"), "symbols")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            symbols, own = Symbols(names.value), shared.value
+            own = shared.value
             emits, moves, starts = np.zeros_like(own.emits), np.zeros_like(own.moves), np.zeros(states)
 
             def sequences() -> Iterator[np.ndarray]:
                 for cols in slices(batches):
-                    for text in cols["text"]:
-                        read = symbols.read(words_of(text))
-                        yield from (read[at : at + SEGMENT] for at in range(0, len(read), SEGMENT))
+                    for raw in cols["symbols"]:
+                        text = np.frombuffer(raw, np.int32)
+                        yield from (text[at : at + SEGMENT] for at in range(0, len(text), SEGMENT))
 
             for texts in gathered(sequences()):
                 a, b, c = expected(own, texts)
@@ -192,7 +200,7 @@ def train(docs: DataFrame, vocabulary: list[bytes], symbol_counts: np.ndarray, s
             yield rows_to_batch(rows, schema)
             yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, states * len(met) + 1, states, dtype=np.int32)), pa.array(emits[met].ravel()))], schema=schema)
 
-        counts = docs.select("text").mapInArrow(run, "symbol int, state array<double>")
+        counts = read.mapInArrow(run, "symbol int, state array<double>")
         sums = counts.groupBy("symbol").agg(*[F.sum(F.get("state", F.lit(s))).alias(f"s{s}") for s in range(states)]).toArrow()
         if not sums.num_rows:
             break
@@ -269,7 +277,7 @@ def score(docs: DataFrame, training: DataFrame, states: int = STATES, rounds: in
                         n_known += times
                 held.append((doc_id, read, n_known, base, within, rest))
                 size += len(read)
-                if size >= TOKENS:
+                if size >= SCORED:
                     yield done()
                     size = 0
         if held:
