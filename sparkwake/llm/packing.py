@@ -46,7 +46,8 @@ CHUNK, CHUNKS = 2000, 4096
 #: The split that the tokenizer's file states, after lower case and without white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space to Python but not to the tokenizer.
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -95,7 +96,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        own = [[] if t is None or ODD_SPACE.search(t) else t.split() for t in texts]
+        whole = {k for k, t in enumerate(texts) if t and any(c in t for c in ODD_SPACE)}
+        own = [[] if t is None or k in whole else t.split() for k, t in enumerate(texts)]
         codes = [list(map(self.parts.get, parts)) for parts in own]
         new = [k for k, found in enumerate(codes) if None in found]
         if new:
@@ -105,8 +107,8 @@ class Encoder:
             self._learn(list(set().union(*(own[k] for k in new)).difference(self.parts)))
             for k in new:
                 codes[k] = map(self.parts.__getitem__, own[k])
-        for text, found in zip(texts, codes, strict=True):
-            yield self._whole(text) if text and ODD_SPACE.search(text) else b"".join(found)
+        for k, (text, found) in enumerate(zip(texts, codes, strict=True)):
+            yield self._whole(text) if k in whole else b"".join(found)
 
 
 def byte_names() -> dict[int, str]:
