@@ -38,6 +38,8 @@ STATES, ROUNDS = 6, 4
 VOCABULARY, CLASSES, COMMON, WORD_BYTES = 50_000, 64, 300_000, 64
 #: Tokens that a task trains on or scores at once; distinct words that it counts before it sends them on.
 TRAINED, SCORED, KEPT = 400_000, 1_500_000, 300_000
+#: A text of more tokens is long.
+LONG = 2048
 #: Tokens of a training sequence: a batch takes as many steps as its longest sequence has tokens.
 SEGMENT = 1024
 END = 0
@@ -238,62 +240,62 @@ def score(docs: DataFrame, training: DataFrame, states: int = STATES, rounds: in
     model = train(training, vocabulary, symbol_counts, states, rounds)
     shared = spark.sparkContext.broadcast((model, vocabulary, common))
     base_total, class_total = n + 0.5 * (v + 1), in_class[:, 0] + 0.5 * (in_class[:, 1] + 1)
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("class", pa.int32())]))
-    schema = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rest", rest_type)])
+    schema = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocabulary, common = shared.value
         symbols, row = Symbols(vocabulary), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         known_base = np.log10((np.concatenate(([n_texts], [common[w] for w in vocabulary])) + 0.5) / base_total) if vocabulary else np.log10([(n_texts + 0.5) / base_total])
         seen = np.concatenate(([n_texts > 0], np.ones(len(vocabulary), bool)))
-        held: list[tuple] = []
+        short, long = [], []  # a batch takes as many steps as its longest text has tokens: long ones wait for each other
 
-        def done() -> pa.RecordBatch:
+        def done(held: list[tuple]) -> pa.RecordBatch:
             nonlocal row
             texts = Texts([h[1] for h in held])
             logs = np.empty(len(held))
             logs[texts.order] = forward(model, texts)[0]
             rows = []
             for (doc_id, read, n_known, base, within, rest), value in zip(held, logs.tolist(), strict=True):
-                rows.append((row, doc_id, len(read), n_known, base, value + within, rest))
+                rows.append((row, doc_id, len(read), n_known, base, value + within, list(rest), list(rest.values())))
                 row += 1
             held.clear()
             return rows_to_batch(rows, schema)
 
-        size = 0
+        sizes = [0, 0]
         for cols in slices(batches):
             for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
                 words = words_of(text)
                 read = symbols.read(words)
                 plain = read[read < first]
-                base, n_known, within, rest = float(known_base[plain].sum()), int(seen[plain].sum()), 0.0, []
+                base, n_known, within, rest = float(known_base[plain].sum()), int(seen[plain].sum()), 0.0, {}
                 for at, times in Counter([words[i] for i in np.flatnonzero(read >= first)]).items():
-                    c, k = common.get(at), word_class(at)
+                    c = common.get(at)
                     if c is None:
-                        rest.append({"word": at, "times": times, "class": k})
+                        rest[at] = times
                     else:
                         base += times * log10((c + 0.5) / base_total)
-                        within += times * log10((c + 0.5) / class_total[k])
+                        within += times * log10((c + 0.5) / class_total[word_class(at)])
                         n_known += times
+                is_long = len(read) > LONG
+                held = long if is_long else short
                 held.append((doc_id, read, n_known, base, within, rest))
-                size += len(read)
-                if size >= SCORED:
-                    yield done()
-                    size = 0
-        if held:
-            yield done()
-
-    part = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,times:long,class:int>>"), "scored")
-    rest = part.select("id", F.inline("rest")).join(counts, "word", "left")
+                sizes[is_long] += len(read)
+                if sizes[is_long] >= SCORED:
+                    yield done(held)
+                    sizes[is_long] = 0
+        yield from map(done, filter(None, (short, long)))
+
+    part = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, doc_id long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>"), "scored")
+    rest = part.select("id", F.inline(F.arrays_zip(F.col("words").alias("word"), "times"))).join(counts, "word", "left")
     c, times = F.coalesce("n", F.lit(0)), F.col("times")
     totals_by_class = F.array(*[F.lit(float(x)) for x in class_total])
     more = rest.groupBy("id").agg(
         F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("more_known"),
         F.sum(times * F.log10((c + 0.5) / base_total)).alias("more_base"),
-        F.sum(times * F.log10((c + 0.5) / F.get(totals_by_class, F.col("class")))).alias("more_score"),
+        F.sum(times * F.log10((c + 0.5) / F.get(totals_by_class, (F.crc32(suffix) % CLASSES).cast("int")))).alias("more_score"),
     )
     plus = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return part.drop("rest").join(more, "id", "left").select(
+    return part.drop("words", "times").join(more, "id", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + plus("more_known")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base_score") + plus("more_base")).alias("base_score"), (F.col("score") + plus("more_score")).alias("score"),
     )
