@@ -272,3 +272,12 @@ def jaro_winkler(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def template_parts(text: Column) -> Column:
+    """array<struct<is_var,text>> of a text with ${x}, #{x}, {x} and $x in it, in order."""
+    pattern = r"[$#]?\{([^{}]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)"
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    variable = lambda m: F.regexp_replace(m, r"^[$#]?\{?|\}$", "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.array(F.struct(F.lit(False).alias("is_var"), F.get(gaps, i).alias("text")), F.struct(F.lit(True).alias("is_var"), variable(F.get(found, i)).alias("text"))))
+    return F.filter(F.flatten(pairs), lambda p: p["text"].isNotNull() & (p["is_var"] | (p["text"] != "")))

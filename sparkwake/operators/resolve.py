@@ -135,3 +135,12 @@ def packages(uses: DataFrame, known: DataFrame) -> DataFrame:
 
 def with_kind(services: DataFrame) -> DataFrame:
     return services.withColumn("kind", service_kind(F.col("name"), F.col("image")))
+
+
+def unresolved(rows: DataFrame, most: int = 50) -> DataFrame:
+    """rows (repo_id, host, target): how often a host that is not local found no service, and the first such names."""
+    lost = rows.where(F.col("host").isNotNull() & F.col("target").isNull() & ~is_local(F.col("host")))
+    names = lost.groupBy("repo_id", "host").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("repo_id").orderBy("host")
+    listed = names.withColumn("place", F.row_number().over(place))
+    return listed.groupBy("repo_id").agg(F.sum("n").alias("unresolved"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("host")))).alias("names"))

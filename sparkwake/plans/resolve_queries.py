@@ -278,3 +278,24 @@ def ag_21(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(ord_ == 0, "docker-compose").when(ord_ == 1, "kubernetes").otherwise("monorepo")
     attempts = rows.groupBy(F.concat(F.lit("r"), "n_regionkey").alias("repo_id"), name.alias("strategy"), ord_.alias("ord")).agg(F.count_if(F.col("s_acctbal") > 8000).alias("code"), F.count("*").alias("services"))
     return discovery_choice(attempts)
+
+
+@query("JN_05_templates", None)
+def jn_05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "d_env").select("id", F.concat(F.lit("repo-"), F.col("id") % 2).alias("repo_id"), _host(F.col("value")).alias("host"))
+    found = resolve.hosts(rows, resolve.service_keys(load(spark, sf_dir, "d_services")))
+    parts = found.select("repo_id", F.floor(F.col("id") / 8).alias("id"), F.col("id").alias("pos"), "target", F.lit(2).alias("conf_rank"))
+    return resolve.templates(parts).select("repo_id", "id", "target")
+
+
+ORACLE_SQL["JN_05_templates"] = oracle(f"WITH {KEYS}, {HOSTS} SELECT a.repo_id, CAST(floor(a.id / 8) AS BIGINT) AS id, arg_min(t.target, a.id) AS target FROM asked a JOIN targets t ON t.id = a.id GROUP BY 1, 2").replace("HOST_EXPRESSION", _sql_braces(HOST))
+
+
+@query("TK_02_unresolved", None)
+def tk_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "d_env").select("id", F.concat(F.lit("repo-"), F.col("id") % 2).alias("repo_id"), _host(F.col("value")).alias("host"))
+    found = resolve.hosts(rows, resolve.service_keys(load(spark, sf_dir, "d_services")))
+    return resolve.unresolved(found).select("repo_id", "unresolved", F.array_join("names", ",").alias("names"))
+
+
+ORACLE_SQL["TK_02_unresolved"] = oracle(f"WITH {KEYS}, {HOSTS}, u AS (SELECT a.repo_id, a.host FROM asked a LEFT JOIN targets t ON t.id = a.id WHERE t.target IS NULL AND a.host IS NOT NULL AND NOT regexp_matches(a.host, '^[0-9.]*$')), d AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY host) AS n FROM (SELECT DISTINCT repo_id, host FROM u)) SELECT repo_id, (SELECT count(*) FROM u WHERE u.repo_id = d.repo_id) AS unresolved, string_agg(host, ',' ORDER BY host) AS names FROM d WHERE n <= 50 GROUP BY 1").replace("HOST_EXPRESSION", _sql_braces(HOST))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,38 @@ def working_files(root: str) -> list[str] | None:
         found |= set(run(root, "diff", "--name-only", base, "HEAD", "--").splitlines())
         break
     return sorted(found) or None
+
+
+def repository_name(root: str) -> str:
+    """owner/name of the origin, else the folder's name."""
+    try:
+        url = run(root, "remote", "get-url", "origin").strip()
+    except RuntimeError:
+        url = ""
+    found = re.search(r"[:/]([^/:]+/[^/]+?)(?:\.git)?/?$", url)
+    return found[1] if found else Path(root).resolve().name
+
+
+def pull_request_files(root: str, number: int) -> list[str]:
+    """Files of a merged pull request's commit, else those of its ref since it left the current branch."""
+    for line in run(root, "log", "--first-parent", f"-{MOST}", "--format=%H %s").splitlines():
+        commit, _, subject = line.partition(" ")
+        if re.search(rf"^Merge pull request #{number}\b|\(#{number}\)\s*$|^Merged PR {number}\b", subject):
+            return commit_files(root, commit)
+    for ref in (f"refs/pull/{number}/head", f"refs/remotes/origin/pr/{number}", f"refs/remotes/origin/pull/{number}/head", f"refs/heads/pr/{number}", f"refs/heads/pull/{number}", f"refs/merge-requests/{number}/head"):
+        try:
+            base = run(root, "merge-base", "HEAD", ref).strip()
+        except RuntimeError:
+            continue
+        return run(root, "diff", "--name-only", base, ref, "--").splitlines()
+    raise ValueError(f"no commit or ref of pull request {number}; fetch it first: git fetch origin pull/{number}/head:pr/{number}")
+
+
+def changes(spark: SparkSession, repo_id: str, root: str, count: int = 20) -> DataFrame:
+    """The last pull requests of the first-parent history, or the last commits if it names none: change_id, repo_id, pos,
+    subject, date, file (null for a change without files)."""
+    rows = [r.asDict() for r in commits(spark, repo_id, root).collect()]  # MOST rows at most
+    requests = [r for r in rows if re.search(r"^Merge pull request #\d+|\(#\d+\)\s*$|^Merged PR \d+", r["subject"])]
+    chosen = (requests or rows)[:count]
+    listed = [(r["commit"], repo_id, r["pos"], r["subject"], r["date"], f) for r in chosen for f in commit_files(root, r["commit"]) or [None]]
+    return spark.createDataFrame(listed, "change_id string, repo_id string, pos int, subject string, date string, file string")
