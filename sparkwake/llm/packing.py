@@ -26,7 +26,6 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +39,7 @@ from sparkwake.llm.common import documents, rows_to_batch, slices, stored
 CAPACITY, SEPARATOR = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Parts of texts, and words, whose ids a worker keeps; it forgets all when it has more.
-KEPT = 600_000
+KEPT, WORDS_KEPT = 600_000, 1_000_000
 #: Pieces of a length that are ranked together, about; and the most parts in which they are.
 CHUNK, CHUNKS = 2000, 4096
 #: The split that the tokenizer's file states, after lower case and without white space.
@@ -75,21 +74,30 @@ class Encoder:
             raw = ids.tobytes()
             self.words.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: set[str]) -> None:
         """Parts without white space."""
-        if len(self.words) > KEPT:
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        split = {}
+        single, split = {}, {}
         for part in parts:
             if part.isascii():
-                split[part] = ASCII_WORDS(part.lower())
+                if part.isalpha():
+                    single[part] = part.lower()
+                else:
+                    split[part] = ASCII_WORDS(part.lower())
             elif max(part) < "\u0250":  # Latin: composed already, and lower case is the same everywhere
-                split[part] = WORDS(part.lower())
+                low = part.lower()
+                if low.isalpha():
+                    single[part] = low
+                else:
+                    split[part] = WORDS(low)
             else:
                 self.parts[part] = self._whole(part)
-        self._learn_words([w for w in dict.fromkeys(chain.from_iterable(split.values())) if w not in self.words])
+        self._learn_words(list(set(single.values()).union(*split.values()).difference(self.words)))
+        get = self.words.__getitem__
+        self.parts.update(zip(single, map(get, single.values()), strict=True))
         for part, words in split.items():
-            self.parts[part] = b"".join(map(self.words.__getitem__, words))
+            self.parts[part] = b"".join(map(get, words))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -104,7 +112,8 @@ class Encoder:
             if len(self.parts) > KEPT:
                 self.parts.clear()
                 new = [k for k, parts in enumerate(own) if parts]
-            self._learn(list(set().union(*(own[k] for k in new)).difference(self.parts)))
+                codes = [[None] * len(parts) for parts in own]
+            self._learn({p for k in new for p, ids in zip(own[k], codes[k], strict=True) if ids is None})
             for k in new:
                 codes[k] = map(self.parts.__getitem__, own[k])
         for k, (text, found) in enumerate(zip(texts, codes, strict=True)):
