@@ -12,6 +12,7 @@ from sparkwake.functions.scalars import clean_path, pull_request
 from sparkwake.operators import edges as E
 from sparkwake.operators import findings, walk
 from sparkwake.plans.derived import load, oracle
+from sparkwake.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,7 +59,8 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(spark, sf_dir).select("repo_id", "source", "target", "type_ord", "conf_rank", F.lit(None).cast("long").alias("calls"), F.concat(F.lit("db"), F.length("source") + F.length("target")).alias("db_key"))
+    edges = stored(merged(spark, sf_dir).drop("evidence"), "edges")  # read several times by the steps
+    return edges.select("repo_id", "source", "target", "type_ord", "conf_rank", F.lit(None).cast("long").alias("calls"), F.concat(F.lit("db"), F.length("source") + F.length("target")).alias("db_key"))
 
 
 def change_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
