@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 #: http next to grpc on a pair counts as grpc, without its confidence; distinct evidence keeps its first rank.
 FOLDED = """folded AS (
   SELECT repo_id, source, target, CASE WHEN type_ord = 0 AND g THEN 2 ELSE type_ord END AS type_ord, conf_rank, CASE WHEN type_ord = 0 AND g THEN NULL ELSE conf_rank END AS own_rank, file, line, ordinal
-  FROM (SELECT *, max(CASE WHEN type_ord = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, source, target) = 1 AS g FROM {d_sparse} WHERE source <> target)),
+  FROM (SELECT *, max(CASE WHEN type_ord = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, source, target) = 1 AS g FROM {d_candidates} WHERE source <> target)),
 pieces AS (SELECT repo_id, source, target, type_ord, file, line, arg_min(conf_rank, ordinal) AS rank, max(own_rank) AS own_rank FROM folded GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, source, target, type_ord ORDER BY rank DESC, file, line) AS pos FROM pieces),
 edges AS (SELECT repo_id, source, target, type_ord, max(own_rank) AS conf_rank, count(*) AS n_evidence, string_agg(file || ':' || line, ',' ORDER BY pos) FILTER (pos <= 25) AS evidence FROM ranked GROUP BY 1, 2, 3, 4)"""
@@ -44,6 +44,8 @@ steps AS (
   UNION ALL SELECT e.repo_id, source, target, conf_rank, FALSE FROM edges e JOIN code c ON c.repo_id = e.repo_id AND c.name = target WHERE type_ord = 1
   UNION ALL SELECT e.repo_id, e.source, k.source, 0, TRUE FROM edges e JOIN edges k ON k.repo_id = e.repo_id AND k.target = e.target AND k.source <> e.source JOIN code c ON c.repo_id = k.repo_id AND c.name = k.source
     WHERE e.type_ord = 1 AND NOT EXISTS (SELECT 1 FROM code x WHERE x.repo_id = e.repo_id AND x.name = e.target))"""
+CHANGE_STEPS = STEPS.replace("{d_candidates}", "{d_sparse}")
+
 WALK = """walk AS (
   SELECT change_id, repo_id, service, 3 AS rank, 0 AS depth FROM seeds
   UNION SELECT w.change_id, w.repo_id, s.dest, least(w.rank, s.step_rank), w.depth + 1 FROM walk w JOIN steps s ON s.repo_id = w.repo_id AND s.node = w.service
@@ -54,12 +56,12 @@ own AS (SELECT f.*, s.name AS service, rank() OVER (PARTITION BY change_id, f.re
 seeds AS (SELECT DISTINCT change_id, repo_id, service FROM own WHERE place = 1)"""
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.merge_edges(load(spark, sf_dir, "d_sparse"))
+def merged(spark: SparkSession, sf_dir: str, lines: str = "d_candidates") -> DataFrame:
+    return E.merge_edges(load(spark, sf_dir, lines))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(merged(spark, sf_dir).drop("evidence"), "edges")  # read several times by the steps
+def graph(spark: SparkSession, sf_dir: str, lines: str = "d_candidates") -> DataFrame:
+    edges = stored(merged(spark, sf_dir, lines).drop("evidence"), "edges")  # read several times by the steps
     return edges.select("repo_id", "source", "target", "type_ord", "conf_rank", F.lit(None).cast("long").alias("calls"), F.concat(F.lit("db"), F.length("source") + F.length("target")).alias("db_key"))
 
 
@@ -70,7 +72,7 @@ def change_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.reach(walk.steps(graph(spark, sf_dir), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
+    return walk.reach(walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
 
 
 @query("AG_01_merge_edges", f"WITH {FOLDED} SELECT repo_id, source, target, {TYPE} AS type, {CONF.format('conf_rank')} AS confidence, n_evidence, evidence FROM edges")
@@ -103,28 +105,28 @@ def jn_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.groupBy("repo_id", "node", F.col("to").alias("dest"), "seed_only").agg(F.max("conf_rank").alias("step_rank"))
 
 
-@query("JN_21_walk", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence FROM reached")
+@query("JN_21_walk", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence FROM reached")
 def jn_21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked(spark, sf_dir).select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"))
 
 
-@query("JN_21_walk_paths", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence, depth AS hops FROM reached")
+@query("JN_21_walk_paths", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence, depth AS hops FROM reached")
 def jn_21_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = walk.steps(graph(spark, sf_dir), load(spark, sf_dir, "d_services"))
+    moves = walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services"))
     return walk.reach_paths(moves, change_seeds(spark, sf_dir)).select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"), F.size("path").alias("hops"))
 
 
-@query("AG_14_summary", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT s.change_id, s.changed, count(r.service) AS reached, count(*) FILTER (conf_rank = 3) AS observed, count(*) FILTER (conf_rank = 2) AS static, count(*) FILTER (conf_rank = 1) AS inferred, count(*) FILTER (conf_rank = 0) AS uncertain FROM (SELECT change_id, count(DISTINCT service) AS changed FROM seeds GROUP BY 1) s LEFT JOIN reached r ON r.change_id = s.change_id GROUP BY 1, 2")
+@query("AG_14_summary", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT s.change_id, s.changed, count(r.service) AS reached, count(*) FILTER (conf_rank = 3) AS observed, count(*) FILTER (conf_rank = 2) AS static, count(*) FILTER (conf_rank = 1) AS inferred, count(*) FILTER (conf_rank = 0) AS uncertain FROM (SELECT change_id, count(DISTINCT service) AS changed FROM seeds GROUP BY 1) s LEFT JOIN reached r ON r.change_id = s.change_id GROUP BY 1, 2")
 def ag_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.summary(change_seeds(spark, sf_dir), walked(spark, sf_dir))
 
 
-@query("AG_15_by_depth", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, depth, count(*) AS n FROM reached GROUP BY 1, 2")
+@query("AG_15_by_depth", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, depth, count(*) AS n FROM reached GROUP BY 1, 2")
 def ag_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.by_depth(walked(spark, sf_dir))
 
 
-@query("ST_03_not_reached", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service FROM (SELECT DISTINCT z.change_id, z.repo_id, c.name AS service FROM seeds z JOIN code c ON c.repo_id = z.repo_id) EXCEPT SELECT change_id, repo_id, service FROM (SELECT change_id, repo_id, service FROM seeds UNION ALL SELECT change_id, repo_id, service FROM reached)")
+@query("ST_03_not_reached", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service FROM (SELECT DISTINCT z.change_id, z.repo_id, c.name AS service FROM seeds z JOIN code c ON c.repo_id = z.repo_id) EXCEPT SELECT change_id, repo_id, service FROM (SELECT change_id, repo_id, service FROM seeds UNION ALL SELECT change_id, repo_id, service FROM reached)")
 def st_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.not_reached(load(spark, sf_dir, "d_services"), change_seeds(spark, sf_dir), walked(spark, sf_dir))
 
@@ -192,7 +194,7 @@ def ag_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = "SELECT CAST(change_id AS INT) AS pos, change_id AS reference, count(DISTINCT service) AS changed"
 
 
-@query("AG_16_history", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK}, e AS (SELECT c.change_id AS reference, CAST(c.change_id AS INT) AS pos, (SELECT count(*) FROM seeds s WHERE s.change_id = c.change_id) AS changed, (SELECT count(*) FROM reached r WHERE r.change_id = c.change_id) AS reached FROM (SELECT DISTINCT change_id FROM {{d_changes}}) c) SELECT count(*) AS found, round(avg(reached), 1) AS average, round(quantile_cont(reached, 0.5), 1) AS median, arg_max(reference, struct_pack(a := reached, b := pos)) AS largest, max(reached) AS largest_reached, count(*) FILTER (reached > 10) AS over10, CAST(floor((count(*) FILTER (reached > 10) * 100 + floor(count(*) / 2)) / count(*)) AS INT) AS over10_percent, count(*) FILTER (changed = 0) AS touching_none FROM e")
+@query("AG_16_history", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK}, e AS (SELECT c.change_id AS reference, CAST(c.change_id AS INT) AS pos, (SELECT count(*) FROM seeds s WHERE s.change_id = c.change_id) AS changed, (SELECT count(*) FROM reached r WHERE r.change_id = c.change_id) AS reached FROM (SELECT DISTINCT change_id FROM {{d_changes}}) c) SELECT count(*) AS found, round(avg(reached), 1) AS average, round(quantile_cont(reached, 0.5), 1) AS median, arg_max(reference, struct_pack(a := reached, b := pos)) AS largest, max(reached) AS largest_reached, count(*) FILTER (reached > 10) AS over10, CAST(floor((count(*) FILTER (reached > 10) * 100 + floor(count(*) / 2)) / count(*)) AS INT) AS over10_percent, count(*) FILTER (changed = 0) AS touching_none FROM e")
 def ag_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = load(spark, sf_dir, "d_changes").select("change_id").distinct()
     changed = change_seeds(spark, sf_dir).groupBy("change_id").agg(F.count("*").alias("changed"))

@@ -171,9 +171,9 @@ def ag_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.select("repo_id", "topic_key", *[F.size(c).cast("long").alias(c) for c in ("producers", "consumers", "unknown")])
 
 
-@query("JN_08_brokers", "SELECT DISTINCT u.repo_id, 'kafka' AS family, u.service AS source, s.name AS target FROM {d_mentions} u JOIN {d_services} s ON s.repo_id = u.repo_id AND contains(coalesce(s.image, ''), 'kafka') AND s.name <> u.service WHERE u.ordinal % 10 = 0")
+@query("JN_08_brokers", "SELECT DISTINCT u.repo_id, 'kafka' AS family, u.service AS source, s.name AS target FROM {d_mentions} u JOIN {d_services} s ON s.repo_id = u.repo_id AND contains(coalesce(s.image, ''), 'kafka') AND s.name <> u.service")
 def jn_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = load(spark, sf_dir, "d_mentions").where(F.col("ordinal") % 10 == 0).select("repo_id", "service", F.lit("kafka").alias("family"))
+    uses = load(spark, sf_dir, "d_mentions").select("repo_id", "service", F.lit("kafka").alias("family"))
     return resolve.brokers(uses, load(spark, sf_dir, "d_services"))
 
 
@@ -193,11 +193,11 @@ def ag_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.symbols(load(spark, sf_dir, "d_mentions").withColumnsRenamed({"role": "name", "topic_key": "value"})).drop("ordinal")
 
 
-@query("JN_10_symbol_lookup", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY repo_id, service, role ORDER BY o) AS place FROM (SELECT repo_id, service, role, topic_key, min(ordinal) AS o FROM {d_mentions} GROUP BY 1, 2, 3, 4)) SELECT u.ordinal, s.topic_key AS value FROM {d_mentions} u JOIN s ON s.repo_id = u.repo_id AND s.service = u.service AND s.role = u.role AND place <= 8 WHERE u.ordinal % 9 = 0")
+@query("JN_10_symbol_lookup", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY repo_id, service, role ORDER BY o) AS place FROM (SELECT repo_id, service, role, topic_key, min(ordinal) AS o FROM {d_mentions} GROUP BY 1, 2, 3, 4)) SELECT u.ordinal, s.topic_key AS value FROM {d_mentions} u JOIN s ON s.repo_id = u.repo_id AND s.service = u.service AND s.role = u.role AND place <= 8")
 def jn_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "d_mentions")
     table = resolve.symbols(rows.withColumnsRenamed({"role": "name", "topic_key": "value"}))
-    uses = rows.where(F.col("ordinal") % 9 == 0).select("repo_id", "service", "ordinal", F.concat(F.lit("Topics."), F.col("role")).alias("expression"))
+    uses = rows.select("repo_id", "service", "ordinal", F.concat(F.lit("Topics."), F.col("role")).alias("expression"))
     return resolve.look_up_symbols(uses, table).select("ordinal", "value")
 
 

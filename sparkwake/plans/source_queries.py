@@ -39,9 +39,9 @@ def src_19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime_calls.prometheus(load(spark, sf_dir, "events").select(line.alias("value"), F.col("event_id").alias("ordinal")))
 
 
-@query("SRC_20_otlp_spans", "SELECT span_id, parent_id, service, peer, CASE kind WHEN 'database' THEN 'database' WHEN 'grpc' THEN 'grpc' WHEN 'event' THEN 'event' ELSE 'http' END AS kind FROM {d_spans} WHERE ordinal % 7 = 0")
+@query("SRC_20_otlp_spans", "SELECT span_id, parent_id, service, peer, CASE kind WHEN 'database' THEN 'database' WHEN 'grpc' THEN 'grpc' WHEN 'event' THEN 'event' ELSE 'http' END AS kind FROM {d_spans}")
 def src_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = load(spark, sf_dir, "d_spans").where(F.col("ordinal") % 7 == 0)
+    spans = load(spark, sf_dir, "d_spans")
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
     system = {"event": "messaging.system", "database": "db.system", "grpc": "rpc.system"}
     own = [F.when(F.col("kind") == k, pair(a, F.lit("grpc"))) for k, a in system.items()] + [F.when(F.col("peer").isNotNull(), pair("peer.service", F.col("peer")))]
@@ -116,8 +116,8 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JN_23_links_for_review")
 def jn_23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = walk.reach_paths(walk.steps(graph(spark, sf_dir), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
-    asked = review.evidence(review.links(reached), merged(spark, sf_dir))
+    reached = walk.reach_paths(walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
+    asked = review.evidence(review.links(reached), merged(spark, sf_dir, "d_sparse"))
     return asked.select("change_id", "n", "source", "target", "relation", "confidence", F.size(F.coalesce("evidence", F.array().cast("array<struct<file:string,line:int,detail:string>>"))).alias("pieces"))
 
 
