@@ -17,6 +17,11 @@ Classes come from the links by minimum labels with pointer jumping; every round
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other. A null doc_id keeps
 its row; it is never the smallest doc_id, and a class of null doc_ids alone has a null id. Repeated rows are
 members like any other. An empty table gives an empty result.
+
+The pipeline's stage keep_one has its own contract: five words, a Jaccard similarity of 0.8 or more. Three bits of 64 do
+not reach so far and a wide enough distance would make nearly all pairs candidates, so its candidates are the texts
+that share a band of minimum hashes (two texts of similarity 0.8 share none with a chance of 2 in a million); the
+similarity of each is then computed from the texts.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ ROW_COST = 10
 #: A fingerprint with over 1/HOT of the documents goes to them by broadcast; there are at most HOT of these.
 HOT = 1000
 LAST = (1 << 63) - 1
+#: The pipeline's stage: words of a shingle, least similarity (Jaccard) of two texts, bands and hashes of each.
+STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 4
 PIECE = 1 << 16
 
 
@@ -199,8 +206,91 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles of STAGE_SHINGLE words, in order; one of all words if there are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= STAGE_SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(STAGE_SHINGLE)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """BANDS keys, each of ROWS least hashes of the shingles. Sets of similarity s agree in one with 1 - (1 - s^ROWS)^BANDS."""
+    if not len(own):
+        return []
+    rng = np.random.default_rng(SEED)
+    times, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    least = np.array([((own ^ p) * (t | np.uint64(1)) >> np.uint64(16)).min() for t, p in zip(times, plus, strict=True)])
+    return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def _signed_up(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, row, fp (a hash of the set of shingles), bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in slices(batches):
+            sets = map(shingles, cols["text"])
+            yield rows_to_batch([(i, r, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), bands(own)) for i, r, own in zip(cols["doc_id"], cols["row"], sets, strict=True)], schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row")).mapInArrow(run, "doc_id long, row long, fp long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """pairs (a, b), texts (fp, text) -> those pairs whose shingles are similar."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for cols in slices(batches):
+            rows = []
+            for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"], strict=True):
+                if last[0] != b:
+                    last = b, shingles(y)
+                if similar(shingles(x), last[1]):
+                    rows.append((a, b))
+            yield rows_to_batch(rows, schema)
+
+    side = lambda k, t: texts.select(F.col("fp").alias(k), F.col("text").alias(t))
+    return stored(pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
+
+
+def similar_classes(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> fp, own (smallest struct<first,row>), root: a row for each distinct set of shingles.
+
+    In each band's bucket all are compared with the first; then those outside its class with all of the bucket that
+    are not in their class, so that every two texts that share a bucket are either joined or compared.
+    """
+    prints = stored(_signed_up(docs), "prints")
+    first = F.coalesce("doc_id", F.lit(LAST))
+    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(first.alias("first"), "row")).alias("own"), F.first("bands").alias("bands")), "nodes")
+    met = nodes.select("fp", F.explode("bands").alias("bucket"))
+    heads = met.groupBy("bucket").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    met = stored(met.join(heads, "bucket"), "met")
+    named = nodes.select("fp", F.col("own.row").alias("row")).join(met.select("fp").distinct(), "fp", "left_semi")
+    texts = stored(docs.select(row_key().alias("row"), "text").join(named, "row").dropDuplicates(["fp"]).select("fp", "text"), "texts")
+    simple = nodes.select("fp", F.col("own.first").alias("first"))
+    pairs = _verified(met.where(F.col("fp") != F.col("head")).select(F.col("fp").alias("a"), F.col("head").alias("b")), texts, "pairs")
+    roots = components(simple, pairs)
+    known = lambda df: df.join(roots.select("fp", F.col("root.fp").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_head = roots.select(F.col("fp").alias("head"), F.col("root.fp").alias("head_root"))
+    placed = stored(known(met).join(of_head, "head", "left").withColumn("head_root", F.coalesce("head_root", "head")), "placed")
+    out = placed.where(F.col("root") != F.col("head_root")).select(F.col("fp").alias("a"), F.col("root").alias("a_root"), "bucket")
+    left = placed.where(F.col("fp") != F.col("head")).select(F.col("fp").alias("b"), F.col("root").alias("b_root"), "bucket")
+    more = out.join(left, "bucket").where(F.col("a_root") != F.col("b_root")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _verified(more, texts, "more")
+    if not more.isEmpty():
+        roots = components(simple, pairs.unionByName(more))
+    return nodes.join(roots, "fp", "left").select("fp", "own", F.coalesce("root", F.struct(F.col("own.first").alias("first"), "fp")).alias("root"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest doc_id stays, once."""
-    prints = stored(fingerprints(docs), "prints")
-    kept = classes(prints).groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.row").alias("_row"))
+    """Pipeline stage: texts whose shingles of five words are similar to SIMILAR or more are linked; of each class the document with the smallest doc_id stays, once."""
+    kept = similar_classes(docs).groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.row").alias("_row"))
     return docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
