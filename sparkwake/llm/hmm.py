@@ -14,8 +14,8 @@ Counts of all words stay in a table; only the COMMON most common ones go to the
 joined with the table and their terms are summed by text, which is exact: both scores are sums over tokens.
 
 Defined cases: null and empty texts are the end alone. A null doc_id is trained on and not held out. Without any
-training text all counts are 0 and every word is unknown. Repeated rows are scored each. In training, a text over
-SEGMENT tokens is read as consecutive sequences.
+training text all counts are 0 and every word is unknown. Repeated rows are scored each. Each training text is one
+sequence, however long.
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ VOCABULARY, CLASSES, COMMON, WORD_BYTES = 50_000, 64, 300_000, 64
 TRAINED, SCORED, KEPT = 400_000, 1_500_000, 300_000
 #: A text of more tokens is long.
 LONG = 2048
-#: Tokens of a training sequence: a batch takes as many steps as its longest sequence has tokens.
-SEGMENT = 1024
 END = 0
 STICKY, PRIOR = 0.9, 5.0
 
@@ -145,15 +143,17 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def gathered(sequences: Iterator[np.ndarray]) -> Iterator[Texts]:
-    held, size = [], 0
+    """Sequences of like length together: a batch takes as many steps as its longest has tokens. None is cut."""
+    held: dict[int, list[np.ndarray]] = {}
+    size: dict[int, int] = {}
     for s in sequences:
-        held.append(s)
-        size += len(s)
-        if size >= TRAINED:
-            yield Texts(held)
-            held, size = [], 0
-    if held:
-        yield Texts(held)
+        k = max(len(s), LONG).bit_length()
+        held.setdefault(k, []).append(s)
+        size[k] = size.get(k, 0) + len(s)
+        if size[k] >= TRAINED:
+            yield Texts(held.pop(k))
+            size[k] = 0
+    yield from map(Texts, held.values())
 
 
 def first_model(symbol_counts: np.ndarray, states: int) -> Model:
@@ -188,9 +188,7 @@ def train(docs: DataFrame, vocabulary: list[bytes], symbol_counts: np.ndarray, s
 
             def sequences() -> Iterator[np.ndarray]:
                 for cols in slices(batches):
-                    for raw in cols["symbols"]:
-                        text = np.frombuffer(raw, np.int32)
-                        yield from (text[at : at + SEGMENT] for at in range(0, len(text), SEGMENT))
+                    yield from (np.frombuffer(raw, np.int32) for raw in cols["symbols"])
 
             for texts in gathered(sequences()):
                 a, b, c = expected(own, texts)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from sparkwake.llm import simhash
+import numpy as np
+
+from sparkwake.llm import hmm, simhash
 
 
 def jaccard(a, b):
@@ -32,3 +34,25 @@ def test_stage_joins_texts_of_similarity(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in simhash.keep_one(spark, docs, "").collect())
     assert kept == sorted(set(root)) and len(kept) < len(texts)
+
+
+def test_training_texts_are_not_cut():
+    long = [np.arange(n, dtype=np.int32) for n in (3, 1500, 5000)]
+    got = [t for texts in hmm.gathered(iter(long)) for t in texts.lengths.tolist()]
+    assert sorted(got) == [3, 1500, 5000]
+
+
+def test_moves_across_long_texts_are_counted(spark):
+    words = [f"w{k % 7}" for k in range(3000)]
+    docs = spark.createDataFrame([(" ".join(words),)], "text string")
+    vocabulary = sorted({w.encode() for w in words})
+    counts = np.array([1, *([3000 / 7] * 7), *([0] * hmm.CLASSES)], float)
+    model = hmm.train(docs, vocabulary, counts, states=2, rounds=2)
+    first = hmm.first_model(counts, 2)
+    read = hmm.Symbols(vocabulary).read(hmm.words_of(" ".join(words)))
+    for _ in range(2):
+        start, moves, emits = hmm.expected(first, hmm.Texts([read]))
+        emits = emits + hmm.PRIOR * ((counts + 0.5) / (counts + 0.5).sum())[:, None]
+        moves, start = moves + 1e-3, start + 1e-3
+        first = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    assert np.allclose(model.moves, first.moves) and np.allclose(model.start, first.start) and np.allclose(model.emits, first.emits)
