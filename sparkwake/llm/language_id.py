@@ -30,6 +30,8 @@ PROFILE_SIZE = 300
 MAX_TRAIN_PER_LANG = 20_000
 PIECE = 1 << 18
 UNKNOWN = "und"
+#: The pipeline's stage: labelled texts of a language by which the least score is set, their percentile, and its share.
+SCORED_PER_LANG, LOW, SHARE = 2000, 0.01, 0.7
 EDGE = 1
 
 
@@ -147,14 +149,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def least_score(docs: DataFrame, profiles: dict[str, list[int]]) -> float:
+    """docs: labelled texts that were not trained on -> SHARE of the LOW percentile of their scores; 0 without any. Below it a text is like no profile."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counted:
+        return 0.0
+    part = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], SCORED_PER_LANG / r["n"])]), F.col("lang"))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))
+    low = predict(sample, profiles).where(F.col("lang_pred") != UNKNOWN).agg(F.percentile_approx("score", LOW, 10_000)).first()[0]
+    return SHARE * (low or 0.0)
+
+
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognisable language go; the others stay as they are."""
-    profiles = fit(docs.where(~held_out()))
+    """Pipeline stage: documents without a letter, or whose score is under the least, go; the others stay as they are, and all do if there is no profile."""
+    training = docs.where(~held_out())
+    profiles = fit(training)
+    if not profiles:
+        return docs
+    least = least_score(docs.where(held_out()), profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, PROFILE_SIZE)
         for batch in batches:
-            keep = [model.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            found = (model.predict(t.as_py()) for t in batch.column("text"))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 
-from sparkwake.llm import hmm, simhash
+from pyspark.sql import functions as F
+
+from sparkwake.llm import hmm, language_id, simhash
 
 
 def jaccard(a, b):
@@ -56,3 +58,12 @@ def test_moves_across_long_texts_are_counted(spark):
         moves, start = moves + 1e-3, start + 1e-3
         first = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
     assert np.allclose(model.moves, first.moves) and np.allclose(model.start, first.start) and np.allclose(model.emits, first.emits)
+
+
+def test_language_stage_uses_the_score(spark):
+    english = "the cat and the dog went over to a house by the sea where they sat for a while and then went home again"
+    rows = [(i, english + " and " * (i % 5), "en") for i in range(40)] + [(100, "xqzjk vwqxz jjkqx zzxqv wkxjq qqzxj " * 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language_id.keep_known(spark, docs, "").collect()} == set(range(40))
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_known(spark, bare, "").count() == 41
