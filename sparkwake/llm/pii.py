@@ -32,8 +32,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 ORDER = ("email", "ip", "card", "phone")
-#: A token and the two words before it; parts are bounded, so that a text is read in linear time.
-CONTEXT = r"(?<!\S)(\S{1,40})\s{1,4}(\S{1,40})\s{1,4}(?=\S{3})(?=\S{0,63}?(?:@|[0-9]\S{0,63}?[0-9]\S{0,63}?[0-9]))"
+#: A whole token with '@' or three digits; possessive parts, so that a text is read in linear time.
+IDENTIFIER = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){3})\S++"
 SUPPORT, CONFIDENCE, ROUNDS, DAMPING = 3, 0.6, 3, 0.8
 
 
@@ -66,9 +66,26 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _places(text: Column) -> Column:
-    """array<struct<left,start>>: what stands before identifiers, and where these begin."""
-    found = matches(text, CONTEXT)
-    return F.transform(found, lambda s: F.struct(F.lower(F.regexp_replace(F.trim(s["match"]), r"\s+", " ")).alias("left"), s["end"].alias("start")))
+    """array<struct<left,token,start>>: identifiers, where they begin, and the two words before each, which may be identifiers too."""
+    none = F.array().cast("array<struct<left:string,token:string,start:int>>")
+    last_two = lambda words: let(words, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)))
+
+    def placed(found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("before"), none.alias("places"))
+
+        def add(s: Column, x: Column) -> Column:
+            return let(last_two(F.concat(s["before"], F.filter(F.split(x["gap"], r"\s+"), lambda w: w != ""))), lambda w: put(s, x, w))
+
+        def put(s: Column, x: Column, w: Column) -> Column:
+            begin = (s["at"] + F.length(x["gap"])).cast("int")
+            place = F.struct(F.lower(F.array_join(w, " ")).alias("left"), x["token"].alias("token"), begin.alias("start"))
+            places = F.when(F.size(w) == 2, F.concat(s["places"], F.array(place))).otherwise(s["places"])
+            return F.struct((begin + F.length(x["token"])).alias("at"), last_two(F.concat(w, F.array(x["token"]))).alias("before"), places.alias("places"))
+
+        pairs = F.zip_with(F.slice(F.split(text, IDENTIFIER, -1), F.lit(1), F.size(found)), found, lambda g, t: F.struct(g.alias("gap"), t.alias("token")))
+        return F.aggregate(pairs, start, add, lambda s: s["places"])
+
+    return let(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def row_key() -> Column:
@@ -80,15 +97,13 @@ def base(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_key())
     spans = base_spans(F.col("text"))
     rows = own.select("doc_id", "row", "text", *[s.alias(k) for k, s in spans.items()])
-    token = lambda p: F.regexp_extract(F.substring(F.col("text"), p["start"] + 1, F.lit(64)), r"^\S+", 0)
-
-    def seed(p: Column, t: Column) -> Column:
+    def seed(p: Column) -> Column:
         """The kind of the base span that begins in the token, if one does."""
-        inside = lambda s: (s["start"] >= p["start"]) & (s["start"] < p["start"] + F.length(t))
+        inside = lambda s: (s["start"] >= p["start"]) & (s["start"] < p["start"] + F.length(p["token"]))
         kind = F.coalesce(*[F.when(F.exists(F.col(k), inside), F.lit(k)) for k in ORDER])
-        return F.struct(p["left"].alias("left"), t.alias("token"), p["start"].alias("start"), kind.alias("kind"))
+        return F.struct(p["left"].alias("left"), p["token"].alias("token"), p["start"].alias("start"), kind.alias("kind"))
 
-    near = F.transform(_places(F.col("text")), lambda p: let(token(p), lambda t: seed(p, t)))
+    near = F.transform(_places(F.col("text")), seed)
     return rows.select("doc_id", "row", *ORDER, near.alias("near"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from sparkwake.llm import hmm, language_id, simhash
+from sparkwake.llm import hmm, language_id, pii, simhash
 
 
 def jaccard(a, b):
@@ -67,3 +67,16 @@ def test_language_stage_uses_the_score(spark):
     assert {r["doc_id"] for r in language_id.keep_known(spark, docs, "").collect()} == set(range(40))
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert language_id.keep_known(spark, bare, "").count() == 41
+
+
+def test_whole_identifiers_and_neighbours(spark):
+    long, pad = "id" + "9" * 200, "w" * 60
+    seeds = [(i, f"please write to user{i}@mail.example.com today") for i in range(6)] + [(20 + i, f"{pad} to{' ' * 9}user{i}@mail.example.com") for i in range(6)]
+    texts = [*seeds, (10, f"please write to {long} now"), (11, f"{pad} to {'a' * 90}@9x y"), (12, "write to a111 b222")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    by = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert [(s["start"], s["end"]) for s in by[10]["found"]] == [(16, 16 + len(long))]
+    assert [(s["start"], s["end"]) for s in by[11]["found"]] == [(64, 64 + 93)]
+    near = {r["doc_id"]: [(p["left"], p["token"]) for p in r["near"]] for r in pii.base(docs).collect()}
+    assert near[12] == [("write to", "a111"), ("to a111", "b222")]
+    assert {r["doc_id"]: r["text"] for r in pii.mask(spark, docs, "").collect()}[10] == "please write to <like_email> now"
