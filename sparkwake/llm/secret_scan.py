@@ -48,12 +48,12 @@ BASE = (
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}"),
 )
 OWN = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}+"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,255}"),
+    Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}+"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,2048}\.eyJ[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,2048}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 )
 
 

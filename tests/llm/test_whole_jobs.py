@@ -8,7 +8,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from sparkwake.llm import hmm, language_id, pii, simhash
+from sparkwake.llm import hmm, language_id, pii, secret_scan, simhash
 
 
 def jaccard(a, b):
@@ -80,3 +80,11 @@ def test_whole_identifiers_and_neighbours(spark):
     near = {r["doc_id"]: [(p["left"], p["token"]) for p in r["near"]] for r in pii.base(docs).collect()}
     assert near[12] == [("write to", "a111"), ("to a111", "b222")]
     assert {r["doc_id"]: r["text"] for r in pii.mask(spark, docs, "").collect()}[10] == "please write to <like_email> now"
+
+
+def test_long_secrets(spark):
+    part = "A" * 3000
+    texts = [f"eyJ{part}.eyJ{part}.{part}", "ghp_" + "a" * 400, "xoxb-" + "1" * 400, "sk_live_" + "b" * 400]
+    found = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, kind in enumerate(("jwt", "github", "slack", "stripe")):
+        assert [(s["start"], s["end"]) for s in found[i][kind]] == [(0, len(texts[i]))]
