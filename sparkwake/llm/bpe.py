@@ -7,9 +7,9 @@ so that a look-up reads one small map.
 
 Distinct words are folded, not places: words are counted over all texts, and the FREQUENT most common short ones
 are folded once and go to the tasks as one compact table (at most FREQUENT x (WORD_BYTES x 5 + 20) bytes, whatever
-the input). A text's other distinct words are folded where they occur, in the same row, so that no text is
-shuffled. A word over FOLD_BYTES long, for which folding arrays is quadratic, is merged with a heap; the result is
-the same.
+the input). Texts are read in slices of about SLICE_BYTES; a slice's other distinct words are folded with the row in
+which they are met first, so that no text is shuffled. A word over FOLD_BYTES long, for which folding arrays is
+quadratic, is merged with a heap; the result is the same.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -25,22 +25,18 @@ import heapq
 import json
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import documents, frequent, rows_to_batch, slices, stored
+from sparkwake.llm.common import documents, frequent, rows_to_batch, stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The code points of Unicode's White_Space, as the pattern means them.
@@ -48,8 +44,10 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FREQUENT, WORD_BYTES, FOLD_BYTES = 1_000_000, 64, 1024
 #: Words that one task folds, about.
 FOLDED = 25_000
-#: Small maps of the literal; parts of texts and distinct words that a worker keeps.
-MAPS, KEPT = 1 << 16, 300_000
+#: Small maps of the literal; bytes of text that a task reads at once.
+MAPS, SLICE_BYTES = 1 << 16, 12 << 20
+#: Marks that are a word by themselves after letters, and the end of Latin letters, all of which are letters to the pattern.
+MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
 NONE = (1 << 31) - 1
 
 
@@ -144,138 +142,170 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[a : end[a]]] for a in range(n) if alive[a]]
 
 
+def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about SLICE_BYTES of text; a longer text is a slice of its own."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Each text's chunks between single spaces: where a text's begin (one more than texts), numbers, and the distinct ones."""
+    lists = pc.split_pattern(texts.fill_null(""), " ")
+    coded = lists.flatten().dictionary_encode()
+    return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def words_of(chunks: list[str], before: str) -> tuple[pa.Array, np.ndarray]:
+    """Words of the chunks, each with `before` in front, one after another, and how many each has."""
+    split, words, many = splitter(), [], []
+    for c in chunks:
+        last = c[-1:]
+        body = c[:-1] if last in MARKS else c
+        if body.isalpha() and (body.isascii() or max(body) < LATIN_END):  # letters and at most one mark: what the pattern gives
+            words.append(before + body)
+            if body is c:
+                many.append(1)
+            else:
+                words.append(last)
+                many.append(2)
+        else:
+            own = split(before + c)
+            words += own
+            many.append(len(own))
+    return pa.array(words, pa.string()), np.array(many, np.int64)
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places starts[k], starts[k] + 1, ... of each run, one run after another."""
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum()) if len(lengths) else np.empty(0, np.int64)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """docs (text) -> word, n: how often words occur, every chunk between spaces taken to have one before it. This only
     chooses the words to be folded ahead; none has to be among them."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(), Counter()
-
-        def words() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in split(" " + chunk):
-                    found[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
-
-        for cols in slices(batches):
-            for text in filter(None, cols["text"]):
-                seen.update(text.split(" "))
-            if len(seen) > KEPT:
-                yield words()
-        yield words()
+        for batch in slices_of(batches):
+            _, numbers, distinct = chunks_of(batch.column("text"))
+            words, many = words_of(distinct, " ")
+            coded = words.dictionary_encode()
+            times = np.bincount(coded.indices.to_numpy(), np.repeat(np.bincount(numbers, minlength=len(distinct)), many), len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(times.astype(np.int64))], schema=schema)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Table:
-    """Ids of words, in a few arrays: hashes in order, and where each word's bytes and ids are."""
+    """Ids of words, in a few arrays."""
 
     def __init__(self, words: pa.Array, ids: pa.Array):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in words), np.uint64, len(words))
-        order = np.argsort(hashes, kind="stable")
-        words, ids = words.cast(pa.binary()).take(pa.array(order)), ids.take(pa.array(order))
-        ends = lambda lengths: np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64))))
-        self.hashes = hashes[order]
-        self.word_ends, self.words = ends(pc.binary_length(words)), pc.binary_join(pa.array([words.to_pylist()], pa.list_(pa.binary())), b"")[0].as_py()
-        self.id_ends, self.ids = 4 * ends(pc.list_value_length(ids)), ids.flatten().to_numpy().astype("<i4").tobytes()
-
-    def look_up(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of those of the words that it has."""
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        first = np.searchsorted(self.hashes, hashes)
-        there = np.flatnonzero(self.hashes[np.minimum(first, len(self.hashes) - 1)] == hashes) if len(self.hashes) else ()
-        found = {}
-        for at, place in zip(there, first[there].tolist() if len(there) else (), strict=True):
-            while place < len(self.hashes) and self.hashes[place] == hashes[at]:
-                if self.words[self.word_ends[place] : self.word_ends[place + 1]] == words[at]:
-                    found[words[at]] = self.ids[self.id_ends[place] : self.id_ends[place + 1]]
-                    break
-                place += 1
-        return found
-
-
-@dataclass
-class Reader:
-    """Codes of texts: ids of known words in place; -1 - k for the k-th of the words to be folded."""
-
-    table: Table
-    ranks: dict[bytes, int]
-
-    def __post_init__(self) -> None:
-        self.split = splitter()
-        self.kept: dict[str, bytes] = {}  # by chunk, with a space before it
-
-    def _words(self, text: str) -> list[bytes]:
-        return list(map(str.encode, self.split(text)))
-
-    def _known(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found = self.table.look_up([w for w in words if len(w) <= WORD_BYTES])
-        found.update((w, array("i", heap_merges(w, self.ranks)).tobytes()) for w in words if len(w) > FOLD_BYTES)
-        return found
-
-    def read(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[bytes]]]:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        own = [(t or "").split(" ") for t in texts]
-        new = set().union(*own).difference(self.kept)
-        strange = set(filter(odd, new))
-        whole = [text for text, chunks in zip(texts, own, strict=True) if text and not strange.isdisjoint(chunks)]
-        words = {c: self._words(" " + c) for c in new - strange}
-        starts = {c[0]: self._words(c[0]) for c in own} | {text: self._words(text) for text in whole}
-        known = self._known(set(chain(chain.from_iterable(words.values()), chain.from_iterable(starts.values()))))
-        for chunk, parts in words.items():
-            if all(map(known.__contains__, parts)):
-                self.kept[chunk] = b"".join(map(known.__getitem__, parts))
-        get = self.kept.get
-        for text, chunks in zip(texts, own, strict=True):
-            rest: dict[bytes, int] = {}
-
-            def code(word: bytes, rest=rest) -> bytes:
-                return known.get(word) or (-1 - rest.setdefault(word, len(rest))).to_bytes(4, "little", signed=True)
-
-            if text and not strange.isdisjoint(chunks):
-                codes = list(map(code, starts[text]))
-            else:
-                codes = list(map(get, chunks))
-                codes[0] = b"".join(map(code, starts[chunks[0]]))
-                if None in codes:
-                    for at, found in enumerate(codes):
-                        if found is None:
-                            codes[at] = b"".join(map(code, words[chunks[at]]))
-            yield b"".join(codes), list(rest)
-
-
-def filled(codes: bytes, rest: list[list[int]]) -> bytes:
-    """Codes with the ids of the folded words put in."""
-    if not rest:
-        return codes
-    numbers, own, done, at = np.frombuffer(codes, "<i4"), [array("i", x).tobytes() for x in rest], [], 0
-    for hole in np.flatnonzero(numbers < 0).tolist():
-        done += [codes[4 * at : 4 * hole], own[-1 - int(numbers[hole])]]
-        at = hole + 1
-    return b"".join([*done, codes[4 * at :]])
+        self.words, self.ids = words, ids.flatten().to_numpy().astype(np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def read_slice(texts: pa.Array, table: Table, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Codes of the texts, and where each text's end: ids of known words in place, -1 - k for the k-th of the words to be
+    folded, counted from the first text on; those words, and how many of them are met first in each text."""
+    begins, numbers, distinct = chunks_of(texts)
+    strange = np.array(list(map(odd, distinct)), bool)
+    whole = np.logical_or.reduceat(strange[numbers], begins[:-1])
+    # units: the distinct chunks with a space before; then, for each text, its first chunk or, if it has odd ones, all of it
+    inner, many = words_of([c if not s else "" for c, s in zip(distinct, strange.tolist(), strict=True)], " ")
+    heads, own = words_of([t if w else distinct[n] for t, w, n in zip(texts.fill_null("").to_pylist(), whole.tolist(), numbers[begins[:-1]].tolist(), strict=True)], "")
+    coded = pa.concat_arrays([inner, heads]).dictionary_encode()
+    words, vocabulary = coded.indices.to_numpy(), coded.dictionary
+    found = pc.fill_null(pc.index_in(vocabulary, table.words), -1).to_numpy().astype(np.int64) if len(table.words) else np.full(len(vocabulary), -1)
+    long = np.flatnonzero((pc.binary_length(vocabulary).to_numpy() > FOLD_BYTES) & (found < 0))
+    merged = [np.array(heap_merges(vocabulary[int(k)].as_py().encode(), ranks), np.int32) for k in long]
+    starts, lengths = table.ends[found], np.where(found < 0, 1, table.ends[found + 1] - table.ends[found])
+    pool = np.concatenate([table.ids, *merged, -1 - np.arange(len(vocabulary), dtype=np.int32)])
+    lengths[long] = [len(m) for m in merged]
+    starts[long] = len(table.ids) + np.concatenate(([0], np.cumsum(lengths[long])))[:-1]
+    rest = found < 0
+    rest[long] = False
+    starts[rest] = len(pool) - len(vocabulary) + np.flatnonzero(rest)
+    # texts as units, units as words, words as codes
+    kept = ~np.repeat(whole, np.diff(begins))
+    kept[begins[:-1]] = True
+    units = numbers.astype(np.int64)
+    units[begins[:-1]] = len(distinct) + np.arange(len(texts))
+    units, n_units = units[kept], np.add.reduceat(kept.astype(np.int64), begins[:-1])
+    unit_words = np.concatenate((many, own))
+    unit_starts = np.concatenate(([0], np.cumsum(unit_words)))[:-1]
+    flat = words[runs(unit_starts[units], unit_words[units])]
+    codes = pool[runs(starts[flat], lengths[flat])]
+    per_word = np.concatenate(([0], np.cumsum(lengths[flat])))
+    per_unit = np.concatenate(([0], np.cumsum(unit_words[units])))
+    ends = per_word[per_unit[np.cumsum(n_units)]]
+    holes = np.flatnonzero(codes < 0)
+    asked, first = np.unique(-1 - codes[holes], return_index=True)
+    order = np.argsort(first, kind="stable")
+    renamed = np.zeros(len(vocabulary), np.int32)
+    renamed[asked[order]] = np.arange(len(order), dtype=np.int32)
+    codes[holes] = -1 - renamed[-1 - codes[holes]]
+    met = np.bincount(np.searchsorted(ends, holes[first], "right"), minlength=len(texts))
+    return codes, ends, vocabulary.take(pa.array(asked[order])), met
+
+
+def filled(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, id_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and where each text's end, with the ids of the folded words put in."""
+    lengths = np.ones(len(codes), np.int64)
+    holes = np.flatnonzero(codes < 0)
+    asked = -1 - codes[holes]
+    lengths[holes] = id_ends[asked + 1] - id_ends[asked]
+    out, after = np.repeat(codes, lengths), np.concatenate(([0], np.cumsum(lengths)))
+    out[out < 0] = ids[runs(id_ends[asked], lengths[holes])]
+    return out, after[ends]
 
 
 def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, codes, rest: ids with holes, and the ids of the words that belong there."""
+    """docs (doc_id, text) -> doc_id, first, codes, rest: codes as read_slice gives them, whether a text is the first of
+    its slice, and ids of the words that were met first in it. Rows stay in their order within a partition."""
     spark, ranks = docs.sparkSession, load_ranks(path)
     maps = rank_map(ranks)
     short = F.octet_length("word") <= WORD_BYTES
     known = frequent(stored(count_words(docs), "words").where(short), most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     column = lambda name, kind: known[name].combine_chunks() if known.num_rows else pa.array([], kind)
     table = spark.sparkContext.broadcast((Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))), ranks))
+    del known
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
-        reader = Reader(*table.value)
-        for cols in slices(batches):
-            yield rows_to_batch([(i, codes, [w.decode() for w in rest]) for i, (codes, rest) in zip(cols["doc_id"], reader.read(cols["text"]), strict=True)], schema)
-
-    looked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look_up, "doc_id long, codes binary, rest array<string>")
-    return looked.select("doc_id", "codes", folded(F.col("rest"), maps).alias("rest"))
+        schema = pa.schema([("doc_id", pa.int64()), ("first", pa.bool_()), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
+        for batch in slices_of(batches):
+            codes, ends, words, met = read_slice(batch.column("text"), *table.value)
+            raw, edges = codes.tobytes(), [0, *(4 * ends).tolist()]
+            own = pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(met))).astype(np.int32)), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.arange(batch.num_rows) == 0), own, rest], schema=schema)
+
+    looked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look_up, "doc_id long, first boolean, codes binary, rest array<string>")
+    return looked.select("doc_id", "first", "codes", folded(F.col("rest"), maps).alias("rest"))
+
+
+def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Rows of read() -> doc_ids and ids (little-endian unsigned 32-bit integers), a part of a slice at a time."""
+    ids, id_ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+    for batch in batches:
+        firsts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False)).tolist()
+        edges = sorted({0, batch.num_rows, *firsts})
+        for at, end in zip(edges, edges[1:], strict=False):
+            part = batch.slice(at, end - at)
+            if at in firsts:
+                ids, id_ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+            new = part.column("rest").flatten()
+            if len(new):
+                id_ends = np.concatenate((id_ends, id_ends[-1] + np.cumsum(pc.list_value_length(new).to_numpy())))
+                ids = np.concatenate((ids, new.flatten().to_numpy()))
+            own = part.column("codes").to_pylist()
+            out, ends = filled(np.frombuffer(b"".join(own), "<i4"), np.cumsum([len(x) // 4 for x in own]), ids, id_ends)
+            raw, cuts = out.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+            yield part.column("doc_id").to_pylist(), [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def encode(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
@@ -283,8 +313,8 @@ def encode(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-        for cols in slices(batches):
-            yield rows_to_batch([(i, filled(c, r)) for i, c, r in zip(cols["doc_id"], cols["codes"], cols["rest"], strict=True)], schema)
+        for doc_ids, ids in finished(batches):
+            yield rows_to_batch(list(zip(doc_ids, ids, strict=True)), schema)
 
     return read(docs, path, most).mapInArrow(run, "doc_id long, ids binary")
 
@@ -305,12 +335,8 @@ def digests(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for cols in slices(batches):
-            rows = []
-            for doc_id, codes, rest in zip(cols["doc_id"], cols["codes"], cols["rest"], strict=True):
-                ids = filled(codes, rest)
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(pieces.decode(ids)).hexdigest()))
-            yield rows_to_batch(rows, schema)
+        for doc_ids, every in finished(batches):
+            yield rows_to_batch([(doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(pieces.decode(ids)).hexdigest()) for doc_id, ids in zip(doc_ids, every, strict=True)], schema)
 
     return read(docs, path, most).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
