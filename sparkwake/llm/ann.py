@@ -1,23 +1,26 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are quantised to int8, each with its own scale, and packed into tiles of TILE rows. Query tiles meet
-candidate tiles in a join on the pair of tile numbers (the stated query set against all rows, in blocks). In a
-pair of tiles one matrix product of the int8 parts gives all distances between the quantised vectors exactly;
-by the triangle inequality a true distance differs from that by at most the two quantisation errors, which are
-stored. Only pairs whose lower bound does not exceed the query's k-th upper bound are recomputed from the original
-vectors in double precision and go to the query's heap. Heaps of the tasks are merged by (distance, vec_id), so
-the result is exact: recall is 1 by construction.
-
-Scale: with Q query tiles and C candidate tiles, Q x C pairs of at most 2 x TILE vectors are dealt out evenly.
+Vectors are quantised to int8, each with its own scale and quantisation error, and packed once into tiles of TILE rows.
+Query tiles meet candidate tiles (the stated query set against all rows, in blocks): candidate tiles are dealt into
+buckets of BUCKET tiles, and each query tile goes once to every bucket. In a pair of tiles one matrix product of the
+int8 parts gives all distances between the quantised vectors exactly; by the triangle inequality a true distance
+differs from that by at most the two errors. A pair survives if its lower bound does not exceed the query's k-th upper
+bound, first among the tiles that a task has seen, then over all tasks. Only survivors meet the original vectors: their
+distances are computed in double precision and ranked by (distance, vec_id), so the result is exact: recall is 1 by
+construction.
+
+Scale: with Q query tiles and C candidate tiles, C int8 tiles are shuffled once and Q of them C / BUCKET times; double
+vectors are read once, for the join with the survivors.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as
 queries nor as candidates; vectors of different lengths are not compared. A query's own row (its vec_id) is not a
-candidate; of repeated rows each counts. A null vec_id takes no part. Fewer candidates than k: all of them.
+candidate; of repeated rows each counts. A null vec_id takes no part. Fewer candidates than k: all of them. Components
+over HUGE are not quantised: they survive and are computed with a common factor taken out. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,31 +31,44 @@ from pyspark.sql import functions as F
 
 from sparkwake.llm.common import rows_to_batch, stored
 
-TILE = 2048
+TILE, BUCKET = 2048, 16
 K = 10
-TILE_TYPE = "dim int, tile long, n int, ids binary, vectors binary"
+#: Squares of larger components may overflow, those of smaller ones vanish.
+HUGE, TINY = 1e150, 1e-150
+TILE_TYPE = "dim int, tile long, n int, ids binary, parts binary, scale binary, error binary"
+
+
+def good(items: list | None) -> np.ndarray | None:
+    """A vector that takes part, in double precision."""
+    if not items or None in items:
+        return None
+    v = np.array(items, np.float64)
+    return v if np.isfinite(v).all() and v.any() else None
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (vec_id, embedding) -> tiles: ids and vectors as little-endian numbers; numbered by task and place in it."""
-    schema = pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+    """Rows (vec_id, embedding) -> tiles: ids, int8 parts, scales and errors; numbered by task and place in it."""
+    schema = pa.schema([("dim", pa.int32()), ("tile", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("parts", pa.binary()), ("scale", pa.binary()), ("error", pa.binary())])
     held: dict[int, list] = {}
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
     def full(dim: int) -> pa.RecordBatch:
         nonlocal number
         rows = held.pop(dim)
-        ids, vectors = np.array([i for i, _ in rows], "<i8"), np.stack([v for _, v in rows]).astype("<f8")
         number += 1
-        return rows_to_batch([(dim, number, len(rows), ids.tobytes(), vectors.tobytes())], schema)
+        ids, vectors = np.array([i for i, _ in rows], "<i8"), np.stack([v for _, v in rows])
+        most = np.abs(vectors).max(axis=1)
+        plain = (most < HUGE) & (most > TINY)
+        scale = np.where(plain, most / 127, 1.0)
+        parts = np.where(plain[:, None], np.rint(vectors / scale[:, None]), 0).astype(np.int8)
+        error = np.full(len(ids), np.inf)
+        error[plain] = np.sqrt(((vectors[plain] - parts[plain] * scale[plain, None]) ** 2).sum(axis=1))
+        return rows_to_batch([(dim, number, len(ids), ids.tobytes(), parts.tobytes(), scale.tobytes(), error.tobytes())], schema)
 
     for batch in batches:
         for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            items = vector.as_py()
-            if vec_id is None or not items or None in items:
-                continue
-            v = np.array(items, np.float64)
-            if not np.isfinite(v).all() or not v.any():
+            v = good(vector.as_py())
+            if vec_id is None or v is None:
                 continue
             held.setdefault(len(v), []).append((vec_id, v))
             if len(held[len(v)]) == TILE:
@@ -63,71 +79,100 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tiles(rows: DataFrame, name: str) -> DataFrame:
     """rows (vec_id, embedding) -> their tiles, stored, so that numbers hold for every reader."""
-    return stored(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_tiles, TILE_TYPE), name)
+    return stored(rows.mapInArrow(_tiles, TILE_TYPE), name)
 
 
 class Tile:
-    def __init__(self, n: int, dim: int, ids: bytes, vectors: bytes):
+    def __init__(self, dim: int, n: int, ids: bytes, parts: bytes, scale: bytes, error: bytes):
         self.ids = np.frombuffer(ids, "<i8")
-        self.vectors = np.frombuffer(vectors, "<f8").reshape(n, dim)
-        self.scale = np.abs(self.vectors).max(axis=1) / 127
-        self.scale[self.scale == 0] = 1  # components too small to be divided: all error
-        self.int8 = np.rint(self.vectors / self.scale[:, None]).astype(np.int8)
-        whole = self.int8.astype(np.float64) * self.scale[:, None]
-        self.square = (whole**2).sum(axis=1)
-        self.error = np.sqrt(((self.vectors - whole) ** 2).sum(axis=1))
-
-
-def near(queries: Tile, candidates: Tile, k: int, worst: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, its place, and ids and distances of the candidates that may be among its k nearest.
-    worst: an upper bound of each query's k-th distance so far."""
-    # float32 holds sums of int8 products exactly up to 2^24; longer vectors are multiplied in float64
-    kind = np.float32 if queries.int8.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    product = (queries.int8.astype(kind) @ candidates.int8.astype(kind).T).astype(np.float64)
+        self.parts = np.frombuffer(parts, np.int8).reshape(n, dim)
+        self.scale, self.error = np.frombuffer(scale, "<f8"), np.frombuffer(error, "<f8")
+        # float32 holds sums of int8 products exactly up to 2^24; longer vectors are multiplied in float64
+        self.whole = self.parts.astype(np.float32 if dim * 127 * 127 < 1 << 24 else np.float64)
+        self.square = (self.whole.astype(np.float64) ** 2).sum(axis=1) * self.scale**2
+
+
+def bounds(queries: Tile, candidates: Tile) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances; infinite between a query and its own vec_id."""
+    product = (queries.whole @ candidates.whole.T).astype(np.float64)
     square = queries.square[:, None] + candidates.square[None, :] - 2 * queries.scale[:, None] * candidates.scale[None, :] * product
     about = np.sqrt(np.maximum(square, 0))
     slack = queries.error[:, None] + candidates.error[None, :] + 1e-7 * np.sqrt(queries.square[:, None] + candidates.square[None, :])
     own = queries.ids[:, None] == candidates.ids[None, :]
-    upper = np.where(own, np.inf, about + slack)
-    if upper.shape[1] > k:
-        worst = np.minimum(worst, np.partition(upper, k - 1, axis=1)[:, k - 1])
-    alive = (about - slack <= worst[:, None]) & ~own
-    for row in np.flatnonzero(alive.any(axis=1)):
-        at = np.flatnonzero(alive[row])
-        distance = np.sqrt(((candidates.vectors[at] - queries.vectors[row]) ** 2).sum(axis=1))
-        best = np.lexsort((candidates.ids[at], distance))[:k]
-        yield int(row), candidates.ids[at[best]], distance[best]
+    return np.where(own, np.inf, about - slack), np.where(own, np.inf, about + slack)
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
-    """queries, candidates (vec_id, embedding) -> query_id, rank (from 1), vec_id, score (Euclidean distance)."""
-    asked, held = tiles(queries, "query_tiles"), tiles(candidates, "tiles")
-    numbers = lambda df, name: df.select("dim", F.col("tile").alias(name))
-    pairs = stored(numbers(asked, "q").join(numbers(held, "c"), "dim"), "tile_pairs")
-    left = pairs.join(asked.select("dim", F.col("tile").alias("q"), F.struct("n", "ids", "vectors").alias("a")), ["dim", "q"])
-    both = left.join(held.select("dim", F.col("tile").alias("c"), F.struct("n", "ids", "vectors").alias("b")), ["dim", "c"]).select("dim", "q", "a", "b")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def survivors(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs (dim, q, a, b: structs of a query tile and a candidate tile) -> query_id, vec_id, lower, upper."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, q, heaps = None, None, []
-        worst = np.empty(0)
-        out = lambda: rows_to_batch([(int(i), v, d) for i, heap in zip(q.ids, heaps, strict=True) for d, v in heap], schema)
-        for row in (r for batch in batches for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
-            if now != (row["dim"], row["q"]):
-                if now:
+        now, asked, best, kept = None, None, None, []
+
+        def out() -> pa.RecordBatch:
+            row, ids, lower, upper = (np.concatenate(x) for x in zip(*kept, strict=True))
+            alive = lower <= best[:, -1][row]
+            return pa.RecordBatch.from_arrays([pa.array(x[alive]) for x in (asked.ids[row], ids, lower, upper)], schema=schema)
+
+        for pair in (r for batch in batches for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
+            if now != (pair["dim"], pair["q"]):
+                if kept:
                     yield out()
-                now, q = (row["dim"], row["q"]), Tile(dim=row["dim"], **row["a"])
-                heaps, worst = [[] for _ in q.ids], np.full(len(q.ids), np.inf)
-            for at, ids, distances in near(q, Tile(dim=row["dim"], **row["b"]), k, worst):
-                heaps[at] = heapq.nsmallest(k, heaps[at] + list(zip(distances.tolist(), ids.tolist(), strict=True)))
-                if len(heaps[at]) == k:
-                    worst[at] = heaps[at][-1][0]
-        if now:
+                now, asked, kept = (pair["dim"], pair["q"]), Tile(pair["dim"], **pair["a"]), []
+                best = np.full((len(asked.ids), k), np.inf)  # the k least upper bounds so far, the largest last
+            held = Tile(pair["dim"], **pair["b"])
+            lower, upper = bounds(asked, held)
+            best = np.partition(np.concatenate((best, upper), axis=1), k - 1, axis=1)[:, :k]
+            row, col = np.nonzero((lower <= best[:, -1:]) & (lower < np.inf))
+            kept.append((row, held.ids[col], lower[row, col], upper[row, col]))
+        if kept:
             yield out()
 
-    found = both.sortWithinPartitions("dim", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+    return pairs.mapInArrow(run, "query_id long, vec_id long, lower double, upper double")
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Euclidean; where squares would overflow or vanish, of the vectors divided by their largest component."""
+    most = max(np.abs(a).max(), np.abs(b).max())
+    if TINY < most < HUGE:
+        return float(np.sqrt(((a - b) ** 2).sum()))
+    return float(np.sqrt(((a / most - b / most) ** 2).sum()) * most)
+
+
+def measured(pairs: DataFrame) -> DataFrame:
+    """pairs (query_id, vec_id, a, b: the original vectors) -> query_id, vec_id, score."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for query_id, vec_id, a, b in zip(*(batch.column(n) for n in ("query_id", "vec_id", "a", "b")), strict=True):
+                x, y = good(a.as_py()), good(b.as_py())
+                if x is not None and y is not None and len(x) == len(y):
+                    rows.append((query_id.as_py(), vec_id.as_py(), distance(x, y)))
+            yield rows_to_batch(rows, schema)
+
+    return pairs.select("query_id", "vec_id", "a", "b").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
+    """queries, candidates (vec_id, embedding) -> query_id, rank (from 1), vec_id, score (Euclidean distance)."""
+    plain = lambda rows: rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull())
+    queries, candidates = plain(queries), plain(candidates)
+    asked = tiles(queries.repartition(1 + queries.count() // TILE), "query_tiles")
+    held = tiles(candidates, "tiles")
+    buckets = 1 + held.count() // BUCKET
+    tile = lambda name: F.struct("n", "ids", "parts", "scale", "error").alias(name)
+    left = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.col("tile").alias("q"), tile("a"))
+    right = held.select("dim", F.pmod(F.xxhash64("tile"), F.lit(buckets)).cast("int").alias("bucket"), tile("b"))
+    found = stored(survivors(left.join(right, ["dim", "bucket"]).select("dim", "q", "a", "b"), k), "survivors")
+    by_upper = Window.partitionBy("query_id").orderBy("upper")
+    limit = found.withColumn("at", F.row_number().over(by_upper)).where(F.col("at") == k).select("query_id", F.col("upper").alias("limit"))
+    alive = found.join(limit, "query_id", "left").where(F.col("limit").isNull() | (F.col("lower") <= F.col("limit"))).select("query_id", "vec_id").distinct()
+    vectors = lambda rows, name, key: rows.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
+    exact = measured(alive.join(vectors(candidates, "b", "vec_id"), "vec_id").join(vectors(queries, "a", "query_id"), "query_id"))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

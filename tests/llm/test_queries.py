@@ -17,7 +17,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkwake.llm import bpe, hmm, language_id, license_scan, packing, secret_scan, simhash
+from sparkwake.llm import ann, bpe, hmm, language_id, license_scan, packing, secret_scan, simhash
 from sparkwake.llm.registry import ORACLE_SQL, QUERIES
 
 from .conftest import TEXTS
@@ -120,7 +120,14 @@ def test_neighbours(spark, tmp_path):
             best = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in good if i != q and len(w) == len(v))[:10]
             want |= {(q, k + 1): (i, round(d, 12)) for k, (d, i) in enumerate(best)}
     got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 12)) for r in QUERIES["op4_nearest_neighbours"](spark, f"file://{tmp_path}").collect()}
-    assert got == want and set(ORACLE_SQL) == {"op4_nearest_neighbours"}
+    assert got == want and "op4_nearest_neighbours" in ORACLE_SQL
+
+
+def test_neighbours_of_none_and_of_huge_components(spark):
+    search = lambda rows, k=2: {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(*[spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows[:1], rows)], k).collect()}
+    assert search([]) == {}
+    assert search([(0, [1e200, 0.0]), (1, [3e200, 0.0]), (2, [1.0, 1.0]), (3, [1e-200, 0.0])]) == {(0, 1): (2, 1e200), (0, 2): (3, 1e200)}
+    assert search([(0, [3e-200, 0.0]), (1, [1e-200, 0.0]), (2, [1.0, 0.0])]) == {(0, 1): (1, pytest.approx(2e-200)), (0, 2): (2, 1.0)}
 
 
 def test_licenses(spark, sf_dir):
