@@ -15,21 +15,22 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of integers, for each place the values up to it joined (a sum, a maximum), by doubling strides: n log n steps
+    and no array that grows."""
+    strides = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+    step = lambda held, k: F.transform(held, lambda x, i: F.coalesce(join(x, F.get(held, i - F.pow(F.lit(2), k).cast("int"))), x))
+    return F.aggregate(strides, values, step)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of a pattern's leftmost matches that do not overlap, none of them empty; in code
     points, end exclusive. The gaps between the matches give the places."""
 
     def placed(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-        def add(s: Column, x: Column) -> Column:
-            begin = s["at"] + x["gap"]
-            end = begin + F.length(x["match"])
-            return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("spans"))
-
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
-        return F.aggregate(pairs, start, add, lambda s: s["spans"])
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        ends = let(sizes, lambda s: running(s, lambda a, b: a + b))
+        return F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(f"array<{SPAN}>")))
 

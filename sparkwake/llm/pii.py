@@ -8,10 +8,12 @@ of its identifiers', with one place of doubt added. After ROUNDS rounds, a patte
 seeds of one kind stand in and that has at least CONFIDENCE finds the other identifiers that stand in it: they are
 spans of the kind "like_" and the seeds' kind.
 
-Nothing is collected: the graph is aggregated by (pattern, identifier) before every join.
+Nothing is collected: the graph is aggregated by (pattern, identifier) before every join; a pattern that very many
+identifiers stand in is a large key of a plain equality join, which adaptive execution splits.
 
-Defined cases: null and empty texts have no spans. Equal seeds in one text count as one seed with several places.
-Repeated rows get equal results. A found token that overlaps a base span is left out. An empty table gives an
+Defined cases: null and empty texts have no spans. An identifier's kind is that of the first base span that begins in it. Equal seeds in one text count as one seed with
+several places.
+Repeated rows get equal results. A token into which a base span reaches is not found. An empty table gives an
 empty result.
 
 In the patterns the repetitions are possessive and may not begin inside a run that has just failed, so that every
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.llm.common import documents, stored
-from sparkwake.llm.native import kinds, let, listed, matches
+from sparkwake.llm.native import kinds, let, listed, matches, running
 
 #: The base patterns.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -65,31 +67,60 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _places(text: Column) -> Column:
-    """array<struct<left,token,start>>: identifiers, where they begin, and the two words before each, which may be identifiers too."""
-    none = F.array().cast("array<struct<left:string,token:string,start:int>>")
+NEAR = "struct<left:string,token:string,start:int,kind:string,free:boolean>"
+
+
+def _places(text: Column, spans: dict[str, Column]) -> Column:
+    """array<struct<left,token,start,kind,free>>: identifiers and where they begin, the two words before each (which may
+    be identifiers too), the kind of the first base span that begins in each, and whether none reaches into it from before."""
     last_two = lambda words: let(words, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)))
 
-    def placed(found: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("before"), none.alias("places"))
+    def placed(tokens: Column, gaps: Column) -> Column:
+        """struct<at, order, end, left, token>, by place; order -1 sets them before the spans that begin with them."""
+        tails = F.transform(gaps, lambda g: last_two(F.filter(F.split(g, r"\s+"), lambda w: w != "")))
+        ends = let(F.zip_with(F.slice(gaps, F.lit(1), F.size(tokens)), tokens, lambda g, t: F.length(g) + F.length(t)), lambda s: running(s, lambda a, b: a + b))
+
+        def one(words: Column, ends: Column, i: Column) -> Column:
+            # what stands before: token i-2, the gap after it, token i-1, the gap after that
+            known = F.array_compact(F.concat(F.array(F.get(tokens, i - 2)), F.coalesce(F.get(words, i - 1), F.array().cast("array<string>")), F.array(F.get(tokens, i - 1)), F.get(words, i)))
+            end, token = F.get(ends, i), F.get(tokens, i)
+            return F.struct((end - F.length(token)).alias("at"), F.lit(-1).alias("order"), end.alias("end"), last_two(known).alias("left"), token.alias("token"))
+
+        return let(tails, lambda words: let(ends, lambda e: F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: one(words, e, i))))
+
+    def with_spans(own: Column) -> Column:
+        def listed_as(order: int, kind: Column) -> Column:
+            none = lambda t: F.lit(None).cast(t)
+            return F.transform(kind, lambda x: F.struct(x["start"].alias("at"), F.lit(order).alias("order"), x["end"].alias("end"), none("array<string>").alias("left"), none("string").alias("token")))
+
+        held = [listed_as(k, s) for k, s in enumerate(spans.values())]
+        names = F.array(*map(F.lit, spans))
 
-        def add(s: Column, x: Column) -> Column:
-            return let(last_two(F.concat(s["before"], F.filter(F.split(x["gap"], r"\s+"), lambda w: w != ""))), lambda w: put(s, x, w))
+        def judged(every: Column) -> Column:
+            reach = let(F.transform(every, lambda x: F.when(x["order"] < 0, F.lit(0)).otherwise(x["end"])), lambda e: running(e, F.greatest))
 
-        def put(s: Column, x: Column, w: Column) -> Column:
-            begin = (s["at"] + F.length(x["gap"])).cast("int")
-            place = F.struct(F.lower(F.array_join(w, " ")).alias("left"), x["token"].alias("token"), begin.alias("start"))
-            places = F.when(F.size(w) == 2, F.concat(s["places"], F.array(place))).otherwise(s["places"])
-            return F.struct((begin + F.length(x["token"])).alias("at"), last_two(F.concat(w, F.array(x["token"]))).alias("before"), places.alias("places"))
+            def judge(reach: Column, x: Column, i: Column) -> Column:
+                after = F.get(every, i + 1)
+                seed = (after["order"] >= 0) & (after["at"] < x["end"])
+                return F.struct(F.lower(F.array_join(x["left"], " ")).alias("left"), x["token"].alias("token"), x["at"].alias("start"), F.when(seed, F.get(names, after["order"])).alias("kind"), (F.get(reach, i) <= x["at"]).alias("free"))
 
-        pairs = F.zip_with(F.slice(F.split(text, IDENTIFIER, -1), F.lit(1), F.size(found)), found, lambda g, t: F.struct(g.alias("gap"), t.alias("token")))
-        return F.aggregate(pairs, start, add, lambda s: s["places"])
+            told = lambda r: F.transform(every, lambda x, i: F.when((x["order"] < 0) & (F.size(x["left"]) == 2), judge(r, x, i)))
+            return F.filter(let(reach, told), lambda x: x.isNotNull())
 
-    return let(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
+        return let(F.sort_array(F.concat(own, *held)), judged)
+
+    none = F.array().cast(f"array<{NEAR}>")
+    found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+    return let(found, lambda t: F.when(F.size(t) > 0, let(placed(t, F.split(text, IDENTIFIER, -1)), with_spans)).otherwise(none))
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64("text")
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of one doc_id and one text: the hash alone may be that of another text among very many."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -97,14 +128,7 @@ def base(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_key())
     spans = base_spans(F.col("text"))
     rows = own.select("doc_id", "row", "text", *[s.alias(k) for k, s in spans.items()])
-    def seed(p: Column) -> Column:
-        """The kind of the base span that begins in the token, if one does."""
-        inside = lambda s: (s["start"] >= p["start"]) & (s["start"] < p["start"] + F.length(p["token"]))
-        kind = F.coalesce(*[F.when(F.exists(F.col(k), inside), F.lit(k)) for k in ORDER])
-        return F.struct(p["left"].alias("left"), p["token"].alias("token"), p["start"].alias("start"), kind.alias("kind"))
-
-    near = F.transform(_places(F.col("text")), seed)
-    return rows.select("doc_id", "row", *ORDER, near.alias("near"))
+    return rows.select("doc_id", "row", *ORDER, _places(F.col("text"), {k: F.col(k) for k in ORDER}).alias("near"))
 
 
 def patterns(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -122,12 +146,12 @@ def patterns(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """rows of base() -> row, found: array of spans beyond the base, a row for each text that has some."""
-    near = rows.select("row", F.inline("near"))
+    """rows of base() -> doc_id, row, found: array of spans beyond the base, a row for each text that has some."""
+    near = rows.select("doc_id", "row", F.inline("near"))
     trusted = patterns(near.select("left", "token", "kind"), rounds)
-    seen = near.where(F.col("kind").isNull()).select("row", "left", "start", F.length("token").alias("n"))
-    hits = seen.join(trusted.select("left", "kind"), "left").select("row", "start", (F.col("start") + F.col("n")).alias("end"), F.concat(F.lit("like_"), "kind").alias("kind"))
-    return hits.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(ORDER)).alias("order"), "end", "kind")).alias("found"))
+    seen = near.where(F.col("kind").isNull() & F.col("free")).select("doc_id", "row", "left", "start", F.length("token").alias("n"))
+    hits = seen.join(trusted.select("left", "kind"), "left").select("doc_id", "row", "start", (F.col("start") + F.col("n")).alias("end"), F.concat(F.lit("like_"), "kind").alias("kind"))
+    return hits.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", F.lit(len(ORDER)).alias("order"), "end", "kind")).alias("found"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -135,9 +159,9 @@ def find(docs: DataFrame) -> DataFrame:
     rows = stored(base(docs), "pii")
     spans = F.concat(*[kinds(F.col(k), k, i) for i, k in enumerate(ORDER)])
     own = rows.select("doc_id", "row", *[F.size(k).cast("long").alias(f"n_{k}") for k in ORDER], spans.alias("base"))
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = F.filter(F.coalesce("found", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")), apart)
-    return own.join(discovered(rows), "row", "left").withColumn("found", found)
+    more = discovered(rows)
+    found = F.coalesce("found", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
+    return own.join(more, same_row(own, more), "left").select(*[own[c] for c in own.columns], found.alias("found"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,21 +173,34 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; where spans overlap, the first one's mark stands."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def put(s: Column, x: Column) -> Column:
-        before = F.concat(s["done"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">"))
-        return F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), before.alias("done"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["done"].alias("done")))
+    def cut(code_points: Column, start: Column, end: Column) -> Column:
+        # binary pieces are cut in place, where a string is read from its beginning; the byte-order mark is taken off again
+        return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(code_points, 4 * start + 1, 4 * (end - start))), "UTF-32")
+
+    def put(own: Column, code_points: Column) -> Column:
+        def joined(reach: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+            parts = F.transform(own, lambda x, i: F.when(x["start"] >= before(i), F.concat(cut(code_points, before(i), x["start"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), cut(code_points, F.get(reach, F.size(reach) - 1), (F.octet_length(code_points) / 4).cast("int")))
+
+        return let(running(F.transform(own, lambda x: x["end"]), F.greatest), joined)
 
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, put, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), lambda own: let(F.encode(text, "UTF-32"), lambda c: put(own, c)))).otherwise(text)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays; personal data in its text is replaced by marks, and n_chars follows."""
-    spans = find(docs).select(F.col("row").alias("_row"), F.concat("base", "found").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_row"])
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans")))
-    out = keyed.join(spans, "_row", "left").withColumn("text", text).drop("_row", "_spans")
+    """Pipeline stage: every document stays; personal data in its text is replaced by marks, and n_chars follows.
+
+    Null and empty texts stay as they are; repeated rows are masked alike, and ties do not arise. Columns of any other
+    name are kept. An empty table gives an empty table.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
+    found = find(docs)
+    spans = found.select("doc_id", "row", F.concat("base", "found").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "row"])
+    text = F.when(F.col("spans").isNull(), F.col("kept.text")).otherwise(masked(F.col("kept.text"), F.col("spans")))
+    out = own.join(spans, same_row(own, spans), "left").select("kept", text.alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("text").isNull(), F.col("kept.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
