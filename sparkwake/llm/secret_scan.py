@@ -16,6 +16,8 @@ result. Texts of any length are indexed and verified whole.
 
 from __future__ import annotations
 
+import json
+import re
 import re._constants as sre
 import re._parser as parser
 from collections.abc import Iterator
@@ -116,15 +118,25 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
 
 
 def row_key() -> Column:
+    """Rows of equal hash share their candidates, which are verified: another text's only cost a look."""
     return F.xxhash64("doc_id", "text")
 
 
+def any_of(trigrams: list[str]) -> str:
+    """A pattern that stands at each place where one of the trigrams begins, and captures it."""
+    heads: dict[str, dict[str, str]] = {}
+    for t in trigrams:
+        own = heads.setdefault(t[0], {})
+        own[t[1]] = own.get(t[1], "") + t[2]
+    cls = lambda chars: "[" + "".join(re.escape(c) for c in chars) + "]"
+    return f"(?i)(?={cls(heads)})(?=(" + "|".join(re.escape(a) + "(?:" + "|".join(re.escape(b) + cls(c) for b, c in own.items()) + ")" for a, own in heads.items()) + "))"
+
+
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """rows (row, text) -> shard, trigram, rows: the texts of a shard that have a trigram, in order."""
+    """rows (row, text) -> shard, trigram, rows: the texts of a shard that have a trigram, in order. Each text is read once."""
     shards = max(1, rows.count() // SHARD)
-    low = rows.select("row", F.lower("text").alias("low"))
-    held = low.select("row", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("held"))
-    listed_rows = held.select(F.pmod("row", F.lit(shards)).alias("shard"), F.explode("held").alias("trigram"), "row")
+    held = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(any_of(trigrams)), F.lit(1)), lambda t: F.lower(t)))
+    listed_rows = rows.select(F.pmod("row", F.lit(shards)).alias("shard"), F.explode(held).alias("trigram"), "row")
     return listed_rows.groupBy("shard", "trigram").agg(F.sort_array(F.collect_set("row")).alias("rows"))
 
 
@@ -132,19 +144,13 @@ def candidates(index: DataFrame, queries: dict[str, list[list[list[str]]]]) -> D
     """index (shard, trigram, rows), queries by rule -> row, rules: the texts that a rule's query admits."""
     shards = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("lists"))
     none = F.array().cast("array<bigint>")
-
-    def fold(lists: list[Column], join: str) -> Column:
-        done = lists[0]
-        for x in lists[1:]:
-            done = getattr(F, join)(done, x)
-        return done
-
-    def answer(query: list[list[list[str]]]) -> Column:
-        posting = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), none)
-        return fold([fold([fold([posting(t) for t in form], "array_intersect") for form in clause], "array_union") for clause in query], "array_intersect")
-
-    found = F.array(*[F.struct(F.lit(name).alias("rule"), answer(query).alias("rows")) for name, query in queries.items()])
-    pairs = shards.select(F.inline(found)).select("rule", F.explode("rows").alias("row"))
+    rest = lambda x: F.slice(x, F.lit(2), F.size(x))
+    posting = lambda t: F.coalesce(F.try_element_at("lists", t), none)
+    form = lambda ts: F.aggregate(rest(ts), posting(F.get(ts, F.lit(0))), lambda held, t: F.array_intersect(held, posting(t)))
+    clause = lambda forms: F.aggregate(forms, none, lambda held, f: F.array_union(held, form(f)))
+    answer = lambda clauses: F.aggregate(rest(clauses), clause(F.get(clauses, F.lit(0))), lambda held, c: F.array_intersect(held, clause(c)))
+    asked = F.from_json(F.lit(json.dumps([{"rule": name, "clauses": query} for name, query in queries.items()])), "array<struct<rule:string,clauses:array<array<array<string>>>>>")
+    pairs = shards.select(F.inline(F.transform(asked, lambda q: F.struct(q["rule"].alias("rule"), answer(q["clauses"]).alias("rows"))))).select("rule", F.explode("rows").alias("row"))
     return pairs.groupBy("row").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 

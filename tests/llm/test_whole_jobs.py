@@ -88,3 +88,93 @@ def test_long_secrets(spark):
     found = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, kind in enumerate(("jwt", "github", "slack", "stripe")):
         assert [(s["start"], s["end"]) for s in found[i][kind]] == [(0, len(texts[i]))]
+
+
+def test_very_many_spans_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "host 10.0.0.1 " * 30_000)], "doc_id long, text string")
+    found = pii.find(docs).collect()[0]
+    assert found["n_ip"] == 30_000 and [(s["start"], s["end"]) for s in found["base"]] == [(5 + 14 * k, 13 + 14 * k) for k in range(30_000)]
+    assert pii.mask(spark, docs, "").collect()[0]["text"] == "host <ip> " * 30_000
+    secrets = spark.createDataFrame([(1, "password=abcdef1 " * 30_000)], "doc_id long, text string")
+    assert [(s["start"], s["end"]) for s in secret_scan.scan(secrets).collect()[0]["assign"]] == [(17 * k, 17 * k + 16) for k in range(30_000)]
+
+
+def test_masked_like_one_by_one(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é日\U0001f600﻿") for _ in range(rng.randrange(1, 40)))
+        spans = [(a, rng.randrange(2), rng.randrange(a + 1, len(text) + 1), rng.choice("xy")) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(0, 6)))]
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,order:int,end:int,kind:string>>")
+    got = {r["i"]: r["done"] for r in df.select("i", pii.masked(F.col("text"), F.col("spans")).alias("done")).collect()}
+    for i, text, spans in rows:
+        at, done = 0, ""
+        for start, _, end, kind in sorted(spans):
+            if start >= at:
+                done += text[at:start] + f"<{kind}>"
+            at = max(at, end)
+        assert got[i] == done + text[at:], (text, spans)
+
+
+def places_of(text):
+    """Identifiers, the two words before each and the kind of the first base span that begins in it."""
+    import re
+
+    words = [(m.start(), m[0]) for m in re.finditer(r"\S+", text)]
+    out = []
+    for k, (at, w) in enumerate(words):
+        if ("@" in w or len(re.findall("[0-9]", w)) >= 3) and k >= 2:
+            out.append((f"{words[k - 2][1]} {words[k - 1][1]}".lower(), w, at))
+    return out
+
+
+def test_places_by_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["to", "Me", "a@b.co", "1234", "10.0.0.1", "+1 (743) 555-3824", "4111 1111 1111 1111", "x1y2z3", "  ", "\n"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.base(docs).collect():
+        text = texts[r["doc_id"]]
+        assert [(p["left"], p["token"], p["start"]) for p in r["near"]] == places_of(text)
+        spans = sorted((s["start"], n, s["end"], k) for n, k in enumerate(pii.ORDER) for s in r[k])
+        for p in r["near"]:
+            inside = [s for s in spans if p["start"] <= s[0] < p["start"] + len(p["token"])]
+            assert p["kind"] == (inside[0][3] if inside else None) and p["free"] == all(s[2] <= p["start"] for s in spans if s[0] < p["start"])
+
+
+def test_patterns_by_brute_force(spark):
+    rng = random.Random(7)
+    near = [(rng.choice(["l1", "l2", "l3", "l4"]), rng.choice([f"t{k}" for k in range(12)])) for _ in range(120)]
+    seeds = {f"t{k}": "email" if k % 2 else "ip" for k in range(7)}
+    places = {}
+    for left, token in near:
+        places[left, token] = places.get((left, token), 0) + 1
+    trust = {t: float(t in seeds) for _, t in places}
+    for _ in range(pii.ROUNDS):
+        conf = {}
+        for left in {a for a, _ in places}:
+            own = [(t, n) for (a, t), n in places.items() if a == left]
+            conf[left] = sum(n * trust[t] for t, n in own) / (sum(n for _, n in own) + 1)
+        trust = {t: max(float(t in seeds), pii.DAMPING * max(conf[a] for a, b in places if b == t)) for t in trust}
+    want = {}
+    for left, c in conf.items():
+        kinds = [seeds[t] for a, t in places if a == left and t in seeds]
+        best = max(((kinds.count(k), k) for k in set(kinds)), default=(0, None))
+        if best[0] >= pii.SUPPORT and c >= pii.CONFIDENCE:
+            want[left] = (best[1], round(c, 9))
+    df = spark.createDataFrame([(a, t, seeds.get(t)) for a, t in near], "left string, token string, kind string")
+    assert {r["left"]: (r["kind"], round(r["confidence"], 9)) for r in pii.patterns(df).collect()} == want and want
+
+
+def test_secret_rules_by_brute_force(spark):
+    import re
+
+    rng = random.Random(8)
+    parts = ["ghp_" + "a1B2" * 9, "gho_short", "xoxb-1234567890-ab", "AIza" + "x" * 35, "sk_live_" + "9" * 16, "rk_live_1", "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "API_KEY: 'abcdef'", "Token=1", "AKIA" + "Z" * 16, "f" * 24, "é", " ", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 9))) for _ in range(120)]
+    rules = secret_scan.BASE + secret_scan.OWN
+    for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        for rule in rules:
+            found = [m for m in re.finditer(rule.pattern, texts[r["doc_id"]], re.A) if not rule.keep or len(m[2]) >= rule.least]
+            assert [(s["start"], s["end"]) for s in r[rule.name]] == [m.span() for m in found], (rule.name, texts[r["doc_id"]])
