@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from array import array
@@ -14,13 +16,14 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkwake.llm import ann, bpe, hmm, language_id, license_scan, packing, secret_scan, simhash
+from sparkwake.llm import ann, bpe, hmm, language_id, license_scan, packing, secret_scan, simhash, syncmers
 from sparkwake.llm.registry import ORACLE_SQL, QUERIES
 
-from .conftest import TEXTS
+from .conftest import LOREM, TEXTS
 
 DOCUMENT_QUERIES = [n for n in QUERIES if n != "op4_nearest_neighbours"]
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -149,7 +152,40 @@ def test_fingerprints(spark, sf_dir):
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == want
     by = {r["doc_id"]: r for r in found}
     assert by[1]["fingerprint"] == by[10]["fingerprint"] != by[2]["fingerprint"] and by[2]["near_next"] > 0.5
-    assert all(0 <= r[k] <= 1 for r in found for k in ("near_edited", "near_next"))
+    prints = lambda r, k: {base64.b64decode(r[k])[a : a + 6] for a in range(0, len(base64.b64decode(r[k])), 6)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    assert all(r["near_edited"] == like(prints(r, "fingerprint"), prints(r, "edited_fingerprint")) for r in found)
+    nexts = {i: j for (i, _), (j, _) in zip(order, order[1:], strict=False) if i != j}
+    assert all(by[i]["near_next"] == like(prints(by[i], "fingerprint"), prints(by[j], "fingerprint")) for i, j in nexts.items() if i != 10)
+
+
+def test_anchors_by_brute_force(spark):
+    rng = random.Random(1)
+    texts = ["", "one two", *(" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5, 6, 7, 40, 300)), LOREM + "\n" + LOREM]
+    hashed = lambda expr, rows: [r[0] for r in spark.createDataFrame([(x,) for x in rows], "x " + ("string" if isinstance(rows[0], str) else "array<bigint>")).select(expr).collect()]
+    for text, own in zip(texts, [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(syncmers.anchors(F.col("t"))).collect()], strict=True):
+        words = hashed(F.xxhash64("x"), text.lower().split()) if text else []
+        mask = (1 << 48) - 1
+        if len(words) < 6:
+            assert [(a["at"], a["anchor"]) for a in own] == ([(0, hashed(F.xxhash64("x"), [words])[0] & mask)] if words else [])
+            continue
+        runs = hashed(F.xxhash64("x"), [words[k : k + 2] for k in range(len(words) - 1)])
+        wide = hashed(F.xxhash64("x"), [words[k : k + 6] for k in range(len(words) - 5)])
+        want = [(k, wide[k] & mask) for k in range(len(wide)) if min(runs[k : k + 5]) in (runs[k], runs[k + 4])]
+        assert [(a["at"], a["anchor"]) for a in own] == want
+    a, b = LOREM, "something else first " + LOREM
+    shared = spark.createDataFrame([(a, b)], "a string, b string").select(syncmers.shared_places(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b")))).first()[0]
+    assert shared and {s["other"] - s["at"] for s in shared} == {3}
+
+
+def test_next_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE", 3)
+    monkeypatch.setattr(syncmers, "GROUP", 4)
+    ids = [*random.Random(2).sample(range(1000), 90), None, None, 5, 5]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in syncmers.with_next(docs, {"n": F.length("text")}).collect()}
+    assert got == {a: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
 def spans_of(text, patterns, good):
@@ -220,8 +256,6 @@ def test_packing(spark, sf_dir):
 
 
 def test_best_fit_decreasing():
-    import random
-
     rng = random.Random(2)
     for _ in range(60):
         cap = rng.choice([7, 16, 50])
