@@ -9,6 +9,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from sparkwake import session
 from sparkwake.sources import config, git
 
 from .conftest import ROOT
@@ -16,7 +17,19 @@ from .conftest import ROOT
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 80
+    assert len(entry.queries()) > 70
+
+
+def test_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
 
 
 def test_without_text_operators(tmp_path):
