@@ -12,7 +12,8 @@ find their place by rank.
 
 Tokens: a text's ids are those of its parts between white space, which the tokenizer's own split never crosses;
 workers keep the ids of parts and words they have seen. A text with the control characters that Python takes for white
-space and the tokenizer does not is encoded whole.
+space and the tokenizer does not, or with what may be one of the tokenizer's added tokens (`<|endoftext|>`), is encoded
+whole by the tokenizer as it is loaded.
 
 Defined cases: null and empty texts are the separator alone, one piece of length 1. Equal pieces of a length go by
 doc_id (null first), piece, checksum. Repeated rows are packed each. An empty table gives an empty result.
@@ -57,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts in which an added token of the tokenizer may stand are encoded whole.
+        self.mark = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.merges = Tokenizer(self.tokenizer.model)  # for words in byte names, with spaces between them
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)  # ids that end a word
@@ -104,7 +106,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = {k for k, t in enumerate(texts) if t and any(c in t for c in ODD_SPACE)}
+        whole = {k for k, t in enumerate(texts) if t and (self.mark in t or any(c in t for c in ODD_SPACE))}
         own = [[] if t is None or k in whole else t.split() for k, t in enumerate(texts)]
         codes = [list(map(self.parts.get, parts)) for parts in own]
         new = [k for k, found in enumerate(codes) if None in found]
@@ -256,5 +258,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every piece of the documents left and its place."""
+    """Pipeline stage, the last: every piece of the documents left and its place.
+
+    Null and empty texts are the separator alone; repeated rows are packed each, and equal pieces in a fixed order.
+    Other columns, whatever their names, are not read. An empty table gives no pieces.
+    """
     return pack(stored(pieces(docs), "pieces"))

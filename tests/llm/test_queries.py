@@ -235,7 +235,6 @@ def test_trigram_queries(spark):
 
 def test_packing(spark, sf_dir):
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     want = Counter()
     for i, t, _ in TEXTS:
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 1]
@@ -255,6 +254,12 @@ def test_packing(spark, sf_dir):
         assert at <= 4096
 
 
+def test_added_tokens_as_the_library_has_them():
+    own, library = packing.Encoder(packing.TOKENIZER), Tokenizer.from_file(packing.TOKENIZER)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> <|", "plain < | text", "a\x1cb don't 12 é"]
+    assert [list(array("I", ids)) for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(60):
