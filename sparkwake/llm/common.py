@@ -1,34 +1,19 @@
-"""Helpers shared by the operators: tables in the shared folder, and Arrow batches cut into small slices."""
+"""Helpers shared by the operators: stored tables, and Arrow batches cut into small slices."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that become Python objects at once.
-SLICE_ROWS = 512
-
+from sparkwake.session import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkwake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["documents", "frequent", "rows_to_batch", "slices", "stored"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkwake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch that become Python objects at once.
+SLICE_ROWS = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ expected counts of what they have met, Spark sums them by symbol, and the driver
 STATES numbers, whatever the input) sets the new parameters. A text's score is the exact likelihood by the scaled
 forward recursion, of texts of any length.
 
-Counts of all words stay in a table; only the COMMON most common ones go to the tasks. A text's other words are
+Counts of all words stay in a table, a word of over WORD_BYTES bytes by its digest, so that a long word that is very
+common is one of the common ones like any other; only the COMMON most common go to the tasks. A text's other words are
 joined with the table and their terms are summed by text, which is exact: both scores are sums over tokens.
 
 Defined cases: null and empty texts are the end alone. A null doc_id is trained on and not held out. Without any
@@ -20,6 +21,7 @@ sequence, however long.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +50,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def key(word: bytes) -> bytes:
+    """What a word is counted by: itself, or if it is longer than WORD_BYTES a byte that begins no word, a digest and its last two bytes."""
+    return word if len(word) <= WORD_BYTES else b"\xff" + hashlib.blake2b(word, digest_size=20).digest() + word[-2:]
+
+
 def word_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
@@ -60,6 +67,8 @@ class Symbols(dict):
         self.first_class = len(vocabulary) + 1
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > WORD_BYTES and (symbol := self.get(key(word))):
+            return symbol
         return self.first_class + word_class(word)
 
     def read(self, words: list[bytes]) -> np.ndarray:
@@ -125,12 +134,12 @@ def expected(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """docs (text) -> word binary, n."""
+    """docs (text) -> word binary (its key), n."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        sent = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], schema=schema)
+        sent = lambda: pa.RecordBatch.from_arrays([pa.array(map(key, seen), pa.binary()), pa.array(seen.values(), pa.int64())], schema=schema)
         for cols in slices(batches):
             for text in cols["text"]:
                 seen.update(words_of(text))
@@ -225,8 +234,7 @@ def score(docs: DataFrame, training: DataFrame, states: int = STATES, rounds: in
     n_texts = training.count()
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = totals[0] + n_texts, totals[1] + (n_texts > 0)
-    short = counts.where(F.octet_length("word") <= WORD_BYTES)
-    common = {bytes(w): c for w, c in zip(*(col.to_pylist() for col in frequent(short, COMMON).select("word", "n").toArrow().columns), strict=True)}
+    common = {bytes(w): c for w, c in zip(*(col.to_pylist() for col in frequent(counts, COMMON).select("word", "n").toArrow().columns), strict=True)}
     vocabulary = sorted(common, key=lambda w: (-common[w], w))[:VOCABULARY]
     first = len(vocabulary) + 1
     suffix = F.substring(F.col("word"), F.greatest(F.octet_length("word") - 1, F.lit(1)), F.lit(2))
@@ -266,7 +274,8 @@ def score(docs: DataFrame, training: DataFrame, states: int = STATES, rounds: in
                 read = symbols.read(words)
                 plain = read[read < first]
                 base, n_known, within, rest = float(known_base[plain].sum()), int(seen[plain].sum()), 0.0, {}
-                for at, times in Counter([words[i] for i in np.flatnonzero(read >= first)]).items():
+                for word, times in Counter([words[i] for i in np.flatnonzero(read >= first)]).items():
+                    at = key(word)
                     c = common.get(at)
                     if c is None:
                         rest[at] = times

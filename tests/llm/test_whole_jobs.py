@@ -178,3 +178,46 @@ def test_secret_rules_by_brute_force(spark):
         for rule in rules:
             found = [m for m in re.finditer(rule.pattern, texts[r["doc_id"]], re.A) if not rule.keep or len(m[2]) >= rule.least]
             assert [(s["start"], s["end"]) for s in r[rule.name]] == [m.span() for m in found], (rule.name, texts[r["doc_id"]])
+
+
+def test_long_common_words_are_symbols(spark):
+    url = "http://example.com/" + "x" * 100
+    texts = [f"see {url} and w{k} {'y' * 90}{k}" for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = {bytes(r["word"]): r["n"] for r in hmm.count_words(docs).collect()}
+    assert counted[hmm.key(url.encode())] == 8 and max(map(len, counted)) <= hmm.WORD_BYTES
+    symbols = hmm.Symbols([b"see", hmm.key(url.encode())])
+    assert symbols.read([b"see", url.encode(), b"zz"]).tolist() == [1, 2, 3 + hmm.word_class(b"zz"), 0]
+    rows = {r["doc_id"]: r for r in hmm.score(docs, docs.select("text"), states=2, rounds=1).collect()}
+    assert all(r["n_tokens"] == r["n_known"] == 6 for r in rows.values())
+
+
+def test_baum_welch_on_a_toy(spark):
+    """Two rounds over few texts give what a plain forward-backward gives, and likelihood does not fall."""
+    rng = random.Random(9)
+    vocabulary = [b"a", b"b", b"c"]
+    sequences = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 9))] for _ in range(6)]
+    docs = spark.createDataFrame([(" ".join(w.decode() for w in s),) for s in sequences], "text string").repartition(3)
+    counts = np.array([6, *(sum(s.count(w) for s in sequences) for w in vocabulary), *([0] * hmm.CLASSES)], float)
+    model = hmm.first_model(counts, 3)
+    unigram = (counts + 0.5) / (counts + 0.5).sum()
+    for _ in range(2):
+        start, moves, emits = np.full(3, 1e-3), np.full((3, 3), 1e-3), hmm.PRIOR * unigram[:, None] * np.ones(3)
+        for s in sequences:
+            x = [1 + vocabulary.index(w) for w in s] + [0]
+            alpha = [model.start * model.emits[x[0]]]
+            for t in x[1:]:
+                alpha.append((alpha[-1] @ model.moves) * model.emits[t])
+            beta = [np.ones(3)]
+            for t in reversed(x[1:]):
+                beta.insert(0, model.moves @ (model.emits[t] * beta[0]))
+            p = alpha[-1].sum()
+            for k, t in enumerate(x):
+                gamma = alpha[k] * beta[k] / p
+                emits[t] += gamma
+                start = start + gamma if k == 0 else start
+                if k:
+                    moves += alpha[k - 1][:, None] * model.moves * (model.emits[t] * beta[k])[None, :] / p
+        model = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    got = hmm.train(docs, vocabulary, counts, states=3, rounds=2)
+    assert np.allclose(got.start, model.start) and np.allclose(got.moves, model.moves) and np.allclose(got.emits, model.emits)
