@@ -18,10 +18,12 @@ Defined cases: null, empty and blank texts have fingerprint 0 and are linked lik
 its row; it is never the smallest doc_id, and a class of null doc_ids alone has a null id. Repeated rows are
 members like any other. An empty table gives an empty result.
 
-The pipeline's stage keep_one has its own contract: five words, a Jaccard similarity of 0.8 or more. Three bits of 64 do
-not reach so far and a wide enough distance would make nearly all pairs candidates, so its candidates are the texts
-that share a band of minimum hashes (two texts of similarity 0.8 share none with a chance of 2 in a million); the
-similarity of each is then computed from the texts.
+The pipeline's stage keep_one has its own contract: five words, a Jaccard similarity of 0.8 or more. Texts so similar have
+SimHashes about 10 bits apart, often 18; partitions with thresholds wide enough for that would make several per cent of all
+pairs candidates. So its SimHash (of the set of five-word shingles) finds the centre of each group and excludes pairs over
+APART bits, which two texts of similarity 0.8 exceed with a chance of 1 in 100,000; the groups are the texts that share a
+band of minimum hashes (two of similarity 0.8 share none with a chance of 2 in a million), and similarity is computed from
+the texts.
 """
 
 from __future__ import annotations
@@ -49,7 +51,11 @@ HOT = 1000
 LAST = (1 << 63) - 1
 #: The pipeline's stage: words of a shingle, least similarity (Jaccard) of two texts, bands and hashes of each.
 STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 4
-PIECE = 1 << 16
+#: Bits beyond which two SimHashes of sets of SMALL shingles or more exclude a similarity of SIMILAR.
+APART, SMALL = 22, 64
+#: Texts of a tile that are compared with those of another at once, about.
+TILE = 256
+PIECE, FOLD = 1 << 16, np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -207,39 +213,69 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The distinct XXH64 of a text's shingles of STAGE_SHINGLE words, in order; one of all words if there are fewer."""
+    """The distinct hashes of a text's shingles of STAGE_SHINGLE words, in order; one of all words if there are fewer. A
+    shingle's hash is folded from its words' XXH64."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) <= STAGE_SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(STAGE_SHINGLE)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    if not words:
+        return np.array([], np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(STAGE_SHINGLE, len(words))
+    many = len(words) - size + 1
+    grams = np.full(many, size, np.uint64)
+    for k in range(size):
+        grams = (grams ^ own[k : k + many]) * FOLD
+        grams ^= grams >> np.uint64(29)
+    return np.unique(grams)
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    times, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    return (times | np.uint64(1))[:, None], plus[:, None]
+
+
+TIMES, PLUS = _factors()
 
 
 def bands(own: np.ndarray) -> list[int]:
     """BANDS keys, each of ROWS least hashes of the shingles. Sets of similarity s agree in one with 1 - (1 - s^ROWS)^BANDS."""
     if not len(own):
         return []
-    rng = np.random.default_rng(SEED)
-    times, plus = (rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    least = np.array([((own ^ p) * (t | np.uint64(1)) >> np.uint64(16)).min() for t, p in zip(times, plus, strict=True)])
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, ((own[None, at : at + 4096] ^ PLUS) * TIMES >> np.uint64(16)).min(axis=1))
     return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def bits_of(own: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), PIECE):
+        ones += np.unpackbits(own[at : at + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
 def _signed_up(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, row, fp (a hash of the set of shingles), bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """docs (doc_id, text) -> doc_id, row, fp (a hash of the set of shingles), bits (its SimHash), n (its size), bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("bits", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in slices(batches):
             sets = map(shingles, cols["text"])
-            yield rows_to_batch([(i, r, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), bands(own)) for i, r, own in zip(cols["doc_id"], cols["row"], sets, strict=True)], schema)
+            yield rows_to_batch([(i, r, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), bits_of(own), len(own), bands(own)) for i, r, own in zip(cols["doc_id"], cols["row"], sets, strict=True)], schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, fp long, bits long, n int, bands array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row")).mapInArrow(run, "doc_id long, row long, fp long, bands array<long>")
+
+def _may_be(n: Column, m: Column, bits: Column, other: Column) -> Column:
+    """Whether two sets can be similar: by their sizes, which is exact, and by their SimHash unless they are small."""
+    sizes = F.least(n, m) >= SIMILAR * F.greatest(n, m)
+    return sizes & ((F.least(n, m) < SMALL) | (F.bit_count(bits.bitwiseXOR(other)) <= APART))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -261,36 +297,119 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return stored(pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
 
 
+def _centres(met: DataFrame) -> DataFrame:
+    """met (bucket, fp, bits, n) -> bucket, head: of each bucket the member nearest to the majority of its members' bits.
+    Copies differ from their original and from each other; the original is in the middle, so nearly all meet it."""
+    one = lambda k: F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1)))
+    sums = met.groupBy("bucket").agg(F.count("*").alias("members"), *[one(k).alias(f"b{k}") for k in range(64)])
+    middle = F.lit(0).cast("long")
+    for k in range(64):
+        middle = middle.bitwiseOR(F.when(2 * F.col(f"b{k}") > F.col("members"), F.lit(signed(1 << k))).otherwise(F.lit(0)))
+    centres = sums.where(F.col("members") > 1).select("bucket", middle.alias("middle"))
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("middle")))
+    return met.join(centres, "bucket").groupBy("bucket").agg(F.min(F.struct(far.alias("far"), "fp", "bits", "n")).alias("head"))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """texts (fp, text) -> fp, grams: the hashes of a text's shingles."""
+    schema = pa.schema([("fp", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in slices(batches):
+            yield rows_to_batch([(fp, shingles(text).view(np.int64)) for fp, text in zip(cols["fp"], cols["text"], strict=True)], schema)
+
+    return stored(texts.mapInArrow(run, "fp long, grams array<long>"), "grams")
+
+
+def _open(sets: DataFrame) -> DataFrame:
+    """sets (fp, grams) -> those of which SIMILAR of the shingles occur in some other. A shingle that no other text has is
+    in no intersection, so the rest are similar to none. Shingles are counted, never paired."""
+    grams = sets.select("fp", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("texts")).where(F.col("texts") > 1).select("gram")
+    common = grams.join(shared, "gram").groupBy("fp").agg(F.count("*").alias("common"))
+    return sets.join(common, "fp").where(F.col("common") >= SIMILAR * F.size("grams")).select("fp", "grams")
+
+
+def similar_pairs(own: list[dict], others: list[dict]) -> Iterator[tuple[int, int]]:
+    """Members (fp, root, out, grams) of two tiles -> pairs of similar ones of different classes, one of them outside its centre's."""
+    sizes = np.array([len(o["grams"]) for o in others])
+    grams, owner = np.concatenate([np.array(o["grams"], np.int64) for o in others]), np.repeat(np.arange(len(others)), sizes)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    roots, outs = np.array([o["root"] for o in others]), np.array([o["out"] for o in others])
+    for a in own:
+        mine = np.array(a["grams"], np.int64)
+        left = np.searchsorted(grams, mine)
+        many = np.searchsorted(grams, mine, "right") - left
+        both = np.bincount(owner[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(others))
+        for k in np.flatnonzero((both >= SIMILAR * (len(mine) + sizes - both)) & (roots != a["root"]) & (outs | a["out"])):
+            yield a["fp"], others[k]["fp"]
+
+
+def _compared(members: DataFrame) -> DataFrame:
+    """members (centre, fp, root, out, grams) -> a, b: similar pairs, by tiles of about TILE members of a centre."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    counts = members.groupBy("centre").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.max("out").alias("any")).where("any").drop("any")
+    dealt = members.join(counts, "centre").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
+    tiles = stored(dealt.groupBy("centre", "tile").agg(F.collect_list(F.struct("fp", "root", "out", "grams")).alias("own"), F.max("out").alias("any")), "tiles")
+    one, two = (tiles.select("centre", F.col("tile").alias(f"{k}_tile"), F.col("own").alias(k), F.col("any").alias(f"{k}_any")) for k in "xy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                yield rows_to_batch(sorted({(min(p), max(p)) for p in similar_pairs(row["x"], row["y"])}), schema)
+
+    pairs = one.join(two, "centre").where((F.col("x_tile") <= F.col("y_tile")) & (F.col("x_any") | F.col("y_any")))
+    return stored(pairs.select("x", "y").mapInArrow(run, "a long, b long"), "more")
+
+
 def similar_classes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> fp, own (smallest struct<first,row>), root: a row for each distinct set of shingles.
+    """docs (doc_id, text) -> fp, own (smallest struct<first,doc_id,row>), root: a row for each distinct set of shingles.
 
-    In each band's bucket all are compared with the first; then those outside its class with all of the bucket that
-    are not in their class, so that every two texts that share a bucket are either joined or compared.
+    In each band's bucket all are compared with its centre; then those outside the centre's class with all that have the
+    same centre and are not in their class, tile by tile, so that every two texts that share a bucket are joined, compared,
+    or excluded by sizes, SimHash or shingles that no other has.
     """
     prints = stored(_signed_up(docs), "prints")
     first = F.coalesce("doc_id", F.lit(LAST))
-    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(first.alias("first"), "row")).alias("own"), F.first("bands").alias("bands")), "nodes")
-    met = nodes.select("fp", F.explode("bands").alias("bucket"))
-    heads = met.groupBy("bucket").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    met = stored(met.join(heads, "bucket"), "met")
-    named = nodes.select("fp", F.col("own.row").alias("row")).join(met.select("fp").distinct(), "fp", "left_semi")
-    texts = stored(docs.select(row_key().alias("row"), "text").join(named, "row").dropDuplicates(["fp"]).select("fp", "text"), "texts")
+    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(first.alias("first"), "doc_id", "row")).alias("own"), *[F.first(c).alias(c) for c in ("bits", "n", "bands")]), "nodes")
+    every = nodes.select("fp", "bits", "n", F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("bucket")
+    met = stored(every.join(shared, "bucket"), "shared")
+    met = stored(met.join(_centres(met), "bucket"), "met")
+    named = nodes.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("own.doc_id").alias("doc_id"), F.col("own.row").alias("row"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    texts = stored(keyed.join(named, same_row(keyed, named)).select("fp", "text").dropDuplicates(["fp"]), "texts")
     simple = nodes.select("fp", F.col("own.first").alias("first"))
-    pairs = _verified(met.where(F.col("fp") != F.col("head")).select(F.col("fp").alias("a"), F.col("head").alias("b")), texts, "pairs")
+    told = met.where((F.col("fp") != F.col("head.fp")) & _may_be(F.col("n"), F.col("head.n"), F.col("bits"), F.col("head.bits")))
+    pairs = _verified(told.select(F.col("fp").alias("a"), F.col("head.fp").alias("b")), texts, "pairs")
     roots = components(simple, pairs)
-    known = lambda df: df.join(roots.select("fp", F.col("root.fp").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_head = roots.select(F.col("fp").alias("head"), F.col("root.fp").alias("head_root"))
-    placed = stored(known(met).join(of_head, "head", "left").withColumn("head_root", F.coalesce("head_root", "head")), "placed")
-    out = placed.where(F.col("root") != F.col("head_root")).select(F.col("fp").alias("a"), F.col("root").alias("a_root"), "bucket")
-    left = placed.where(F.col("fp") != F.col("head")).select(F.col("fp").alias("b"), F.col("root").alias("b_root"), "bucket")
-    more = out.join(left, "bucket").where(F.col("a_root") != F.col("b_root")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(more, texts, "more")
+    root_of = lambda name, key: roots.select(F.col("fp").alias(key), F.col("root.fp").alias(name))
+    placed = met.withColumn("centre", F.col("head.fp")).join(root_of("root", "fp"), "fp", "left").join(root_of("head_root", "centre"), "centre", "left")
+    placed = stored(placed.select("bucket", "fp", "centre", F.coalesce("root", "fp").alias("root"), F.coalesce("head_root", "centre").alias("head_root")), "placed")
+    outside = F.col("root") != F.col("head_root")
+    rest = placed.join(placed.where(outside).select("bucket").distinct(), "bucket", "left_semi").where(F.col("fp") != F.col("centre"))
+    rest = stored(rest.groupBy("centre", "fp").agg(F.first("root").alias("root"), F.max(outside).alias("out")), "rest")
+    more = _compared(rest.join(_open(_sets(texts.join(rest.select("fp").distinct(), "fp", "left_semi"))), "fp"))
     if not more.isEmpty():
         roots = components(simple, pairs.unionByName(more))
     return nodes.join(roots, "fp", "left").select("fp", "own", F.coalesce("root", F.struct(F.col("own.first").alias("first"), "fp")).alias("root"))
 
 
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of one doc_id and one text."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts whose shingles of five words are similar to SIMILAR or more are linked; of each class the document with the smallest doc_id stays, once."""
-    kept = similar_classes(docs).groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.row").alias("_row"))
-    return docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    """Pipeline stage: texts whose shingles of five words are similar to SIMILAR or more are linked; of each class the
+    document with the smallest doc_id stays.
+
+    Null, empty and blank texts are one class. A null doc_id counts as the largest; of equal doc_ids in a class the text of
+    the smallest hash stays, of repeated rows one. Columns of any other name are kept. An empty table gives an empty table.
+    """
+    kept = similar_classes(docs).groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("doc_id"), F.col("own.row").alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    found = rows.join(kept, same_row(rows, kept), "left_semi").dropDuplicates(["doc_id", "row"])
+    return found.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
