@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Every match of the split pattern (a word) is encoded by itself. The merges run in Spark: a higher-order function
-folds a word's byte array, held as hexadecimal pieces, by merging the adjacent pair of least rank, the leftmost of
-equals, until no pair has a rank. The rank map is one literal, an array of small maps by the CRC-32 of the piece,
-so that a look-up reads one small map.
+folds a word's byte array, held as a string in which each letter stands for a piece, by merging the adjacent pair of
+least rank, the leftmost of equals, until no pair has a rank. The rank map is one literal, an array of small maps by the
+CRC-32 of the pair, so that a look-up reads one small map.
 
 Distinct words are folded, not places: words are counted over all texts, and the FREQUENT most common short ones
 are folded once and go to the tasks as one compact table (at most FREQUENT x (WORD_BYTES x 5 + 20) bytes, whatever
@@ -45,10 +45,10 @@ FREQUENT, WORD_BYTES, FOLD_BYTES = 1_000_000, 64, 1024
 #: Words that one task folds, about.
 FOLDED = 25_000
 #: Small maps of the literal; bytes of text that a task reads at once.
-MAPS, SLICE_BYTES = 1 << 16, 12 << 20
+MAPS, SLICE_BYTES = 1 << 16, 6 << 20
 #: Marks that are a word by themselves after letters, and the end of Latin letters, all of which are letters to the pattern.
 MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
-NONE = (1 << 31) - 1
+EDGE, NONE = "\x01", "\U0010ffff"
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -72,51 +72,60 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: by the CRC-32 of a hexadecimal piece, a small map from such pieces to ranks."""
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+def letter(number: int) -> str:
+    """The character that stands for a piece: past Latin-1, and past the code points that are no characters."""
+    return chr(number + 0x100 if number < 0xD700 else number + 0x900)
+
+
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, str]:
+    """The literal rank map: by the CRC-32 of two pieces' letters, a small map from such pairs to the letter of what they
+    merge into, whose number is its rank; and the letters of the 256 bytes."""
+    maps: list[dict[str, str]] = [{} for _ in range(MAPS)]
     for piece, rank in ranks.items():
-        name = piece.hex().upper()
-        maps[zlib.crc32(name.encode()) % MAPS][name] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")  # foldable
+        for at in range(1, len(piece)):
+            a, b = ranks.get(piece[:at]), ranks.get(piece[at:])
+            if a is not None and b is not None:
+                pair = letter(a) + letter(b)
+                maps[zlib.crc32(pair.encode()) % MAPS][pair] = letter(rank)
+    foldable = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,string>>")
+    return foldable, "".join(letter(ranks[bytes([b])]) for b in range(256))
 
 
-def folded(words: Column, maps: Column) -> Column:
+def folded(words: Column, maps: tuple[Column, str]) -> Column:
     """Ids of each of an array of words; the map occurs once in the plan."""
-    return _let(maps, lambda m: F.transform(words, lambda w: fold(w, lambda piece: _rank(m, piece))))
+    held, first = maps
 
+    def rank(m: Column, pair: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.get(m, F.crc32(pair.cast("binary")).bitwiseAND(F.lit(MAPS - 1)).cast("int")), pair), F.lit(NONE))
 
-def _rank(maps: Column, piece: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.get(maps, (F.crc32(piece.cast("binary")) % MAPS).cast("int")), piece), F.lit(NONE))
+    return _let(held, lambda m: F.transform(words, lambda w: fold(w, lambda pair: rank(m, pair), first)))
 
 
-def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """Ids of a word of at least one byte, array<int>."""
+def fold(word: Column, rank: Callable[[Column], Column], first: str) -> Column:
+    """Ids of a word of at least one byte, array<int>. Its pieces are letters of a string, with EDGE at either end; a second
+    string has the rank of each two neighbours, NONE where they do not merge. The leftmost least rank merges, step by step."""
 
     def merges(text: Column) -> Column:
-        n = (F.length(text) / 2).cast("int")
-        places = F.sequence(F.lit(1), n)
-        pieces = F.transform(places, lambda i: F.substring(text, 2 * i - 1, 2))
-        pairs = F.transform(places, lambda i: F.when(i < n, rank(F.substring(text, 2 * i - 1, 4))).otherwise(F.lit(NONE)))
-        state = lambda p, r: F.struct(p.alias("pieces"), r.alias("pairs"), F.array_min(r).alias("least"))
+        n = F.length(text)
+        pairs = F.array_join(F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(text, i, F.lit(2)))), "")
+        state = lambda p, r: F.struct(p.alias("pieces"), r.alias("pairs"), F.array_min(F.split(r, F.lit(""))).alias("least"))
 
         def merge(s: Column, _: Column) -> Column:
-            p, r = s["pieces"], s["pairs"]
+            p, r, new = s["pieces"], s["pairs"], s["least"]
 
             def at(k: Column) -> Column:
-                def joined(piece: Column) -> Column:
-                    before = F.when(k > 1, F.concat(F.slice(r, F.lit(1), k - 2), F.array(rank(F.concat(F.get(p, k - 2), piece))))).otherwise(F.slice(r, 1, 0))
-                    after = F.when(k + 1 < F.size(p), F.concat(F.array(rank(F.concat(piece, F.get(p, k + 1)))), F.slice(r, k + 2, F.size(p)))).otherwise(F.array(F.lit(NONE)))
-                    return _let(F.concat(before, after), lambda new: state(F.concat(F.slice(p, F.lit(1), k - 1), F.array(piece), F.slice(p, k + 2, F.size(p))), new))
-
-                return _let(F.concat(F.get(p, k - 1), F.get(p, k)), joined)
+                before, after = rank(F.concat(F.substring(p, k - 1, F.lit(1)), new)), rank(F.concat(new, F.substring(p, k + 2, F.lit(1))))
+                left = F.concat(F.substring(r, F.lit(1), k - 2), before, after, F.substring(r, k + 2, n))
+                return _let(left, lambda x: state(F.overlay(p, new, k, F.lit(2)), x))
 
-            return F.when(s["least"] == NONE, s).otherwise(_let(F.array_position(r, s["least"]).cast("int"), at))
+            return F.when(new == NONE, s).otherwise(_let(F.instr(r, new), at))
 
-        steps = F.sequence(F.lit(2), F.greatest(n, F.lit(2)))
-        return F.aggregate(steps, _let(pairs, lambda r: state(pieces, r)), merge, lambda s: F.transform(s["pieces"], rank))
+        number = lambda c: F.when(c >= 0xE000, c - 0x900).otherwise(c - 0x100)
+        ids = lambda s: F.transform(F.split(F.substring(s["pieces"], F.lit(2), F.length(s["pieces"]) - 2), F.lit("")), lambda c: number(F.ascii(c)))
+        return F.aggregate(F.sequence(F.lit(3), F.greatest(n - 1, F.lit(3))), _let(pairs, lambda r: state(text, r)), merge, ids)
 
-    return _let(F.hex(word.cast("binary")), merges)
+    letters = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), first)
+    return _let(F.concat(F.lit(EDGE), letters, F.lit(EDGE)), merges)
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:

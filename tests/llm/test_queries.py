@@ -108,6 +108,10 @@ def test_bpe(spark, sf_dir):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(spark, "op3_byte_bpe", sf_dir)) == want
     for word in ("aaaaaaa" * 300, " éàü" * 400):
         assert bpe.heap_merges(word.encode(), ranks) == enc._encode_single_piece(word.encode())
+    rng = random.Random(4)
+    odd = ["".join(rng.choice("aab \x00\x01\téß日本\U0001f600'sx.,12") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    many = bpe.encode(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), most=50)
+    assert {r["doc_id"]: list(array("I", r["ids"])) for r in many.collect()} == dict(enumerate(map(enc.encode_ordinary, odd)))
     small = bpe.encode(spark.createDataFrame([(1, "low lower lowest  x\n y"), (2, None)], "doc_id long, text string"), most=1)
     assert {r["doc_id"]: list(array("i", r["ids"])) for r in small.collect()} == {1: enc.encode_ordinary("low lower lowest  x\n y"), 2: []}
 
