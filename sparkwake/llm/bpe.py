@@ -33,6 +33,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +46,13 @@ FREQUENT, WORD_BYTES, FOLD_BYTES = 1_000_000, 64, 1024
 #: Words that one task folds, about.
 FOLDED = 25_000
 #: Small maps of the literal; bytes of text that a task reads at once.
-MAPS, SLICE_BYTES = 1 << 16, 6 << 20
+MAPS, SLICE_BYTES = 1 << 16, 2 << 20
 #: Marks that are a word by themselves after letters, and the end of Latin letters, all of which are letters to the pattern.
 MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
 EDGE, NONE = "\x01", "\U0010ffff"
 
 
+@cache
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -211,14 +213,33 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Table:
-    """Ids of words, in a few arrays."""
+    """Ids of words, in a few arrays, by the order of the words' hashes."""
 
     def __init__(self, words: pa.Array, ids: pa.Array):
-        self.words, self.ids = words, ids.flatten().to_numpy().astype(np.int32)
-        self.ends = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))).astype(np.int64)
-
-
-def read_slice(texts: pa.Array, table: Table, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        hashes = self.hashed(words)
+        order = np.argsort(hashes, kind="stable")
+        words, ids = words.take(pa.array(order)), ids.take(pa.array(order))
+        self.words, self.hashes, self.ids = words, hashes[order], ids.flatten().to_numpy().astype(np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))).astype(np.int32)
+
+    @staticmethod
+    def hashed(words: pa.Array) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 for one that it does not have (or whose hash another word has, which is then folded)."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        hashes = self.hashed(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        near = np.flatnonzero(self.hashes[at] == hashes)
+        same = pc.equal(words.take(pa.array(near)), self.words.take(pa.array(at[near]))).to_numpy(zero_copy_only=False).astype(bool)
+        found = np.full(len(words), -1)
+        found[near[same]] = at[near[same]]
+        return found
+
+
+def read_slice(texts: pa.Array, table: Table, path: str = RANKS) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Codes of the texts, and where each text's end: ids of known words in place, -1 - k for the k-th of the words to be
     folded, counted from the first text on; those words, and how many of them are met first in each text."""
     begins, numbers, distinct = chunks_of(texts)
@@ -229,10 +250,10 @@ def read_slice(texts: pa.Array, table: Table, ranks: dict[bytes, int]) -> tuple[
     heads, own = words_of([t if w else distinct[n] for t, w, n in zip(texts.fill_null("").to_pylist(), whole.tolist(), numbers[begins[:-1]].tolist(), strict=True)], "")
     coded = pa.concat_arrays([inner, heads]).dictionary_encode()
     words, vocabulary = coded.indices.to_numpy(), coded.dictionary
-    found = pc.fill_null(pc.index_in(vocabulary, table.words), -1).to_numpy().astype(np.int64) if len(table.words) else np.full(len(vocabulary), -1)
+    found = table.places(vocabulary)
     long = np.flatnonzero((pc.binary_length(vocabulary).to_numpy() > FOLD_BYTES) & (found < 0))
-    merged = [np.array(heap_merges(vocabulary[int(k)].as_py().encode(), ranks), np.int32) for k in long]
-    starts, lengths = table.ends[found], np.where(found < 0, 1, table.ends[found + 1] - table.ends[found])
+    merged = [np.array(heap_merges(vocabulary[int(k)].as_py().encode(), load_ranks(path)), np.int32) for k in long]
+    starts, lengths = table.ends[found].astype(np.int64), np.where(found < 0, 1, table.ends[found + 1] - table.ends[found]).astype(np.int64)
     pool = np.concatenate([table.ids, *merged, -1 - np.arange(len(vocabulary), dtype=np.int32)])
     lengths[long] = [len(m) for m in merged]
     starts[long] = len(table.ids) + np.concatenate(([0], np.cumsum(lengths[long])))[:-1]
@@ -276,18 +297,17 @@ def filled(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, id_ends: np.nda
 def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, first, codes, rest: codes as read_slice gives them, whether a text is the first of
     its slice, and ids of the words that were met first in it. Rows stay in their order within a partition."""
-    spark, ranks = docs.sparkSession, load_ranks(path)
-    maps = rank_map(ranks)
+    spark, maps = docs.sparkSession, rank_map(load_ranks(path))
     short = F.octet_length("word") <= WORD_BYTES
     known = frequent(stored(count_words(docs), "words").where(short), most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     column = lambda name, kind: known[name].combine_chunks() if known.num_rows else pa.array([], kind)
-    table = spark.sparkContext.broadcast((Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))), ranks))
+    table = spark.sparkContext.broadcast(Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))))
     del known
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("first", pa.bool_()), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
         for batch in slices_of(batches):
-            codes, ends, words, met = read_slice(batch.column("text"), *table.value)
+            codes, ends, words, met = read_slice(batch.column("text"), table.value, path)
             raw, edges = codes.tobytes(), [0, *(4 * ends).tolist()]
             own = pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
             rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(met))).astype(np.int32)), words)
