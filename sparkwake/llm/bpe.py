@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +47,9 @@ FREQUENT, WORD_BYTES, FOLD_BYTES = 1_000_000, 64, 1024
 #: Words that one task folds, about.
 FOLDED = 25_000
 #: Small maps of the literal; bytes of text that a task reads at once.
-MAPS, SLICE_BYTES = 1 << 16, 2 << 20
+MAPS, SLICE_BYTES = 1 << 16, 4 << 20
+#: Words that are Python strings at once.
+HASHED = 20_000
 #: Marks that are a word by themselves after letters, and the end of Latin letters, all of which are letters to the pattern.
 MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
 EDGE, NONE = "\x01", "\U0010ffff"
@@ -224,7 +227,8 @@ class Table:
 
     @staticmethod
     def hashed(words: pa.Array) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+        parts = (words.slice(at, HASHED).to_pylist() for at in range(0, len(words), HASHED))
+        return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(parts)), np.uint64, len(words))
 
     def places(self, words: pa.Array) -> np.ndarray:
         """The place of each word, -1 for one that it does not have (or whose hash another word has, which is then folded)."""
@@ -303,6 +307,7 @@ def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
     column = lambda name, kind: known[name].combine_chunks() if known.num_rows else pa.array([], kind)
     table = spark.sparkContext.broadcast(Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))))
     del known
+    pa.default_memory_pool().release_unused()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("first", pa.bool_()), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
