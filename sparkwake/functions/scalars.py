@@ -140,16 +140,20 @@ def callee_receiver(callee: Column) -> Column:
 
 
 def is_topic_key(text: Column) -> Column:
-    """Whether a literal can name a topic."""
-    return F.octet_length(text).between(2, 120) & text.rlike(r"^[A-Za-z0-9_$][A-Za-z0-9_.:/$-]*$") & text.rlike("[A-Za-z]") & ~F.contains(text, F.lit("://")) & ~F.lower(text).isin(*TOPIC_STOP_WORDS)
+    """Whether a literal can name a topic, a queue, an exchange, a routing key or a type of event."""
+    return text.rlike(r"^[A-Za-z0-9_:*#][A-Za-z0-9._/:*#-]{1,119}$") & text.rlike("[A-Za-z]") & ~F.contains(text, F.lit("://")) & ~F.lower(text).isin(*TOPIC_STOP_WORDS)
 
 
 #: Literals at messaging calls that name no topic.
-TOPIC_STOP_WORDS = ("utf-8", "utf8", "json", "text", "string", "true", "false", "null", "none", "error", "data", "message", "direct", "topic", "fanout", "headers", "earliest", "latest", "all", "id", "key", "value", "name", "type")
+TOPIC_STOP_WORDS = (
+    "true", "false", "null", "none", "nil", "utf-8", "utf8", "json", "application/json", "text/plain", "get", "post", "put", "delete", "patch", "error", "message", "data", "ok", "close", "connect", "end",
+    "open", "ready", "exit", "string", "number", "object", "default", "id", "name", "type", "value", "key", "topic", "queue", "exchange", "test", "direct", "fanout", "headers", "localhost", "event",
+)
 #: What an import says about the broker, the first that fits.
 BROKER_FAMILIES = (
-    ("kafka", "kafka"), ("rabbit", "rabbitmq"), ("amqp", "rabbitmq"), ("pika", "rabbitmq"), ("masstransit", "rabbitmq"), ("nats", "nats"),
-    ("pulsar", "pulsar"), ("mqtt", "mqtt"), ("activemq", "activemq"), ("stomp", "activemq"), ("servicebus", "servicebus"), ("sqs", "sqs"), ("sns", "sns"),
+    ("rabbitmq", "rabbitmq"), ("amqp", "rabbitmq"), ("pika", "rabbitmq"), ("bunny", "rabbitmq"), ("kombu", "rabbitmq"), ("masstransit.rabbit", "rabbitmq"), ("kafka", "kafka"), ("sarama", "kafka"), ("confluent", "kafka"),
+    ("nats", "nats"), ("pulsar", "pulsar"), ("mqtt", "mqtt"), ("paho", "mqtt"), ("sqs", "sqs"), ("sns", "sns"), ("activemq", "activemq"), ("artemis", "activemq"), ("javax.jms", "activemq"), ("jakarta.jms", "activemq"),
+    ("servicebus", "servicebus"), ("eventhub", "eventhub"),
 )
 
 
@@ -179,10 +183,13 @@ def resolve_relative(base: Column, path: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, "/")).otherwise(F.lit("."))
 
 
+#: How subjects name a pull request; the braces stand for its number.
+REQUEST_FORMS = (r"^Merge pull request #{}", r"\(#{}\)\s*$", r"\(pull request #{}\)", r"See merge request \S*!{}")
+
+
 def pull_request(subject: Column) -> Column:
     """The number of the pull request that a commit's subject names."""
-    forms = (r"^Merge pull request #(\d+)", r"\(#(\d+)\)\s*$", r"^Merged PR (\d+)", r"^Merge branch .*!(\d+)")
-    return F.coalesce(*[_or_null(F.regexp_extract(subject, f, 1)) for f in forms]).cast("int")
+    return F.coalesce(*[_or_null(F.regexp_extract(subject, f.format(r"(\d+)"), 1)) for f in REQUEST_FORMS]).cast("int")
 
 
 def relative(prefix: Column, path: Column) -> Column:

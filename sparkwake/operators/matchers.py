@@ -20,7 +20,10 @@ from sparkwake.operators.edges import DATABASE, EVENT, GRPC, IMPORT
 
 
 #: Last parts of settings' keys that name an address.
-HOST_WORDS = ("host", "hostname", "url", "uri", "addr", "address", "endpoint", "server", "servers", "bootstrap-servers", "brokers", "connectionstring", "hosts", "addresses", "contact-points", "base-url", "baseurl")
+HOST_WORDS = (
+    "host", "hostname", "hosts", "url", "uri", "addr", "address", "endpoint", "server", "servers", "brokers", "bootstrap-servers", "bootstrap_servers", "bootstrapservers", "nodes", "seeds",
+    "contact-points", "contactpoints", "connection-string", "connectionstring", "connection_string", "dsn",
+)
 
 
 @dataclass

@@ -54,7 +54,7 @@ SELECT c_custkey AS id, concat('svc-', CAST(c_custkey % 100 AS STRING)) AS servi
 FROM {customer}""",
     "d_commits": """
 SELECT o_orderkey AS pos, concat('c', CAST(o_orderkey AS STRING)) AS reference,
-  CASE o_orderkey % 4 WHEN 0 THEN concat('Merge pull request #', CAST(o_orderkey % 97 AS STRING), ' from x/y') WHEN 1 THEN concat('feat: add thing (#', CAST(o_orderkey % 89 AS STRING), ')') WHEN 2 THEN 'docs: plain' ELSE concat('Merged PR ', CAST(o_orderkey % 83 AS STRING), ': t') END AS subject FROM {orders}""",
+  CASE o_orderkey % 5 WHEN 0 THEN concat('Merge pull request #', CAST(o_orderkey % 97 AS STRING), ' from x/y') WHEN 1 THEN concat('feat: add thing (#', CAST(o_orderkey % 89 AS STRING), ')') WHEN 2 THEN 'docs: plain' WHEN 3 THEN concat('See merge request a/b!', CAST(o_orderkey % 83 AS STRING)) ELSE concat('Merged in x (pull request #', CAST(o_orderkey % 79 AS STRING), ') y') END AS subject FROM {orders}""",
 }
 
 

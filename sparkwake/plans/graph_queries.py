@@ -203,7 +203,7 @@ def ag_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.history_summary(entries)
 
 
-@query("TK_03_recent_requests", "SELECT pos, reference, pull_request FROM (SELECT *, row_number() OVER (ORDER BY pos DESC) AS n FROM (SELECT pos, reference, CAST(coalesce(nullif(regexp_extract(subject, '^Merge pull request #(\\d+)', 1), ''), nullif(regexp_extract(subject, '\\(#(\\d+)\\)\\s*$', 1), ''), nullif(regexp_extract(subject, '^Merged PR (\\d+)', 1), '')) AS INT) AS pull_request FROM {d_commits}) WHERE pull_request IS NOT NULL) WHERE n <= 20")
+@query("TK_03_recent_requests", "SELECT pos, reference, pull_request FROM (SELECT *, row_number() OVER (ORDER BY pos DESC) AS n FROM (SELECT pos, reference, CAST(coalesce(nullif(regexp_extract(subject, '^Merge pull request #(\\d+)', 1), ''), nullif(regexp_extract(subject, '\\(#(\\d+)\\)\\s*$', 1), ''), nullif(regexp_extract(subject, '\\(pull request #(\\d+)\\)', 1), ''), nullif(regexp_extract(subject, 'See merge request \\S*!(\\d+)', 1), '')) AS INT) AS pull_request FROM {d_commits}) WHERE pull_request IS NOT NULL) WHERE n <= 20")
 def tk_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = load(spark, sf_dir, "d_commits").withColumn("pull_request", pull_request(F.col("subject")))
     return commits.where(F.col("pull_request").isNotNull()).orderBy(F.desc("pos")).limit(20).select("pos", "reference", "pull_request")

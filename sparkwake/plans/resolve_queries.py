@@ -98,7 +98,7 @@ def sc_22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "d_changes").select("change_id", "pos", S.clean_path(F.col("file")).alias("path"))
 
 
-@query("SC_23_pull_requests", "SELECT reference, CAST(coalesce(nullif(regexp_extract(subject, '^Merge pull request #(\\d+)', 1), ''), nullif(regexp_extract(subject, '\\(#(\\d+)\\)\\s*$', 1), ''), nullif(regexp_extract(subject, '^Merged PR (\\d+)', 1), '')) AS INT) AS pull_request FROM {d_commits}")
+@query("SC_23_pull_requests", "SELECT reference, CAST(coalesce(nullif(regexp_extract(subject, '^Merge pull request #(\\d+)', 1), ''), nullif(regexp_extract(subject, '\\(#(\\d+)\\)\\s*$', 1), ''), nullif(regexp_extract(subject, '\\(pull request #(\\d+)\\)', 1), ''), nullif(regexp_extract(subject, 'See merge request \\S*!(\\d+)', 1), '')) AS INT) AS pull_request FROM {d_commits}")
 def sc_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "d_commits").select("reference", S.pull_request(F.col("subject")).alias("pull_request"))
 

@@ -66,15 +66,36 @@ def sc_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "d_env").select("id", S.env_name(text).alias("name"), S.env_default(text).alias("fallback"))
 
 
-@query("SC_18_topic_keys", "SELECT p_partkey, length(p_name) BETWEEN 2 AND 120 AND regexp_matches(p_name, '^[A-Za-z0-9_$][A-Za-z0-9_.:/$-]*$') AND regexp_matches(p_name, '[A-Za-z]') AS is_key FROM {part}")
+#: Literals and whether they name a topic; imports and their broker. Each part takes one in turn.
+TOPICS = (
+    ("orders.created", True), ("GET", False), ("queue", False), ("user.*.#", True), ("/orders", False), ("two words", False), ("$share", False), ("amqp://host", False), ("x", False), ("a1", True), ("12", False), ("-dash", False),
+    (".dot", False), ("localhost", False), ("exchange", False), ("OrderPaidEvent", True), ("event", False), ("events:paid", True), ("application/json", False), ("_private/topic", True), ("t" * 120, True), ("t" * 121, False),
+)
+IMPORTS = (
+    ("Confluent.Kafka", "kafka"), ("github.com/streadway/amqp", "rabbitmq"), ("nats-py", "nats"), ("left-pad", None), ("kombu.mixins", "rabbitmq"), ("bunny", "rabbitmq"), ("github.com/Shopify/sarama", "kafka"), ("paho.client", "mqtt"),
+    ("kafka-amqp-bridge", "rabbitmq"), ("MassTransit.RabbitMqTransport", "rabbitmq"), ("MassTransit", None), ("stomp", None), ("jakarta.jms.Queue", "activemq"), ("azure.eventhub", "eventhub"), ("Azure.Messaging.ServiceBus", "servicebus"),
+    ("@aws-sdk/client-sqs", "sqs"), ("aws.sns", "sns"), ("org.apache.pulsar", "pulsar"), ("apache-artemis", "activemq"),
+)
+
+
+def _in_turn(cases: tuple) -> F.Column:
+    return F.get(F.array(*[F.lit(text) for text, _ in cases]), (F.col("p_partkey") % len(cases)).cast("int"))
+
+
+def _expected(cases: tuple, name: str) -> str:
+    value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper()
+    whens = " ".join(f"WHEN {k} THEN {value(x)}" for k, (_, x) in enumerate(cases))
+    return f"SELECT p_partkey, CASE p_partkey % {len(cases)} {whens} END AS {name} FROM {{part}}"
+
+
+@query("SC_18_topic_keys", _expected(TOPICS, "is_key"))
 def sc_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").select("p_partkey", S.is_topic_key(F.col("p_name")).alias("is_key"))
+    return load(spark, sf_dir, "part").select("p_partkey", S.is_topic_key(_in_turn(TOPICS)).alias("is_key"))
 
 
-@query("SC_19_broker_families", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'kafka' WHEN 1 THEN 'rabbitmq' WHEN 2 THEN 'nats' END AS family FROM {part}")
+@query("SC_19_broker_families", _expected(IMPORTS, "family"))
 def sc_19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("p_partkey") % 4 == 0, "Confluent.Kafka").when(F.col("p_partkey") % 4 == 1, "github.com/streadway/amqp").when(F.col("p_partkey") % 4 == 2, "nats-py").otherwise("left-pad")
-    return load(spark, sf_dir, "part").select("p_partkey", S.broker_family(name).alias("family"))
+    return load(spark, sf_dir, "part").select("p_partkey", S.broker_family(_in_turn(IMPORTS)).alias("family"))
 
 
 @query("SC_21_relative_paths", "SELECT name, CASE WHEN root IS NOT NULL THEN regexp_replace(root, '/svc_.*$', '') || '/lib/x' END AS path FROM {d_services}")

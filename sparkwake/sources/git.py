@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 MOST = 10_000
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 
+from sparkwake.functions.scalars import REQUEST_FORMS
+
 
 def run(root: str, *args: str) -> str:
     done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=120)
@@ -70,7 +72,7 @@ def pull_request_files(root: str, number: int) -> list[str]:
     """Files of a merged pull request's commit, else those of its ref since it left the current branch."""
     for line in run(root, "log", "--first-parent", f"-{MOST}", "--format=%H %s").splitlines():
         commit, _, subject = line.partition(" ")
-        if re.search(rf"^Merge pull request #{number}\b|\(#{number}\)\s*$|^Merged PR {number}\b", subject):
+        if any(re.search(form.format(rf"{number}(?!\d)"), subject) for form in REQUEST_FORMS):
             return commit_files(root, commit)
     for ref in (f"refs/pull/{number}/head", f"refs/remotes/origin/pr/{number}", f"refs/remotes/origin/pull/{number}/head", f"refs/heads/pr/{number}", f"refs/heads/pull/{number}", f"refs/merge-requests/{number}/head"):
         try:
@@ -85,7 +87,7 @@ def changes(spark: SparkSession, repo_id: str, root: str, count: int = 20) -> Da
     """The last pull requests of the first-parent history, or the last commits if it names none: change_id, repo_id, pos,
     subject, date, file (null for a change without files)."""
     rows = [r.asDict() for r in commits(spark, repo_id, root).collect()]  # MOST rows at most
-    requests = [r for r in rows if re.search(r"^Merge pull request #\d+|\(#\d+\)\s*$|^Merged PR \d+", r["subject"])]
+    requests = [r for r in rows if any(re.search(form.format(r"\d+"), r["subject"]) for form in REQUEST_FORMS)]
     chosen = (requests or rows)[:count]
     listed = [(r["commit"], repo_id, r["pos"], r["subject"], r["date"], f) for r in chosen for f in commit_files(root, r["commit"]) or [None]]
     return spark.createDataFrame(listed, "change_id string, repo_id string, pos int, subject string, date string, file string")
