@@ -5,10 +5,10 @@ folds a word's byte array, held as a string in which each letter stands for a pi
 least rank, the leftmost of equals, until no pair has a rank. The rank map is one literal, an array of small maps by the
 CRC-32 of the pair, so that a look-up reads one small map.
 
-Distinct words are folded, not places: words are counted over all texts, and the FREQUENT most common short ones
-are folded once and go to the tasks as one compact table (at most FREQUENT x (WORD_BYTES x 5 + 20) bytes, whatever
-the input). Texts are read in slices of about SLICE_BYTES; a slice's other distinct words are folded with the row in
-which they are met first, so that no text is shuffled. A word over FOLD_BYTES long, for which folding arrays is
+Texts are split once, in slices of about SLICE_BYTES: a slice is stored as its distinct words, how often each occurs,
+and its texts as numbers of them, so that no text is shuffled or read twice. Distinct words are folded, not places: the
+FREQUENT most common short ones over all slices are folded once and go to the tasks as one compact table (at most
+FREQUENT x (WORD_BYTES x 5 + 20) bytes, whatever the input); a slice's other words are folded with the slice. A word over FOLD_BYTES long, for which folding arrays is
 quadratic, is merged with a heap; the result is the same.
 
 Decoding concatenates the binary pieces of the ids.
@@ -47,11 +47,14 @@ FREQUENT, WORD_BYTES, FOLD_BYTES = 1_000_000, 64, 1024
 #: Words that one task folds, about.
 FOLDED = 25_000
 #: Small maps of the literal; bytes of text that a task reads at once.
-MAPS, SLICE_BYTES = 1 << 16, 2 << 20
+MAPS, SLICE_BYTES = 1 << 16, 4 << 20
 #: Words that are Python strings at once.
 HASHED = 20_000
 #: Marks that are a word by themselves after letters, and the end of Latin letters, all of which are letters to the pattern.
 MARKS, LATIN_END = frozenset(".,;:!?"), "\u0250"
+#: A chunk between single spaces that leaves the place of the first word after it open: empty, or white space at an end.
+WHITE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD = f"^$|^[{WHITE}]|[{WHITE}]$"
 EDGE, NONE = "\x01", "\U0010ffff"
 
 
@@ -67,11 +70,6 @@ def splitter() -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
-def odd(chunk: str) -> bool:
-    """Whether a chunk between single spaces leaves the place of the first word after it open."""
-    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
-
-
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with the value computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -168,11 +166,11 @@ def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Each text's chunks between single spaces: where a text's begin (one more than texts), numbers, and the distinct ones."""
     lists = pc.split_pattern(texts.fill_null(""), " ")
     coded = lists.flatten().dictionary_encode()
-    return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))), coded.indices.to_numpy(), coded.dictionary
 
 
 def words_of(chunks: list[str], before: str) -> tuple[pa.Array, np.ndarray]:
@@ -200,20 +198,46 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum()) if len(lengths) else np.empty(0, np.int64)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """docs (text) -> word, n: how often words occur, every chunk between spaces taken to have one before it. This only
-    chooses the words to be folded ahead; none has to be among them."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+def split_slice(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The texts' words as numbers, one text after another, and where each text's end; the distinct words and how often each occurs."""
+    begins, numbers, chunks = chunks_of(texts)
+    strange = pc.match_substring_regex(chunks, ODD).to_numpy(zero_copy_only=False).astype(bool)
+    distinct = chunks.to_pylist()
+    whole = np.logical_or.reduceat(strange[numbers], begins[:-1])
+    # units: the distinct chunks with a space before; then, for each text, its first chunk or, if it has odd ones, all of it
+    inner, many = words_of([c if not s else "" for c, s in zip(distinct, strange.tolist(), strict=True)], " ")
+    heads, own = words_of([texts[i].as_py() or "" if w else distinct[n] for i, (w, n) in enumerate(zip(whole.tolist(), numbers[begins[:-1]].tolist(), strict=True))], "")
+    coded = pa.concat_arrays([inner, heads]).dictionary_encode()
+    words = coded.indices.to_numpy()
+    kept = ~np.repeat(whole, np.diff(begins))
+    kept[begins[:-1]] = True
+    units = numbers.astype(np.int64)
+    units[begins[:-1]] = len(distinct) + np.arange(len(texts))
+    units, n_units = units[kept], np.add.reduceat(kept.astype(np.int64), begins[:-1])
+    unit_words = np.concatenate((many, own))
+    unit_starts = np.concatenate(([0], np.cumsum(unit_words)))[:-1]
+    flat = words[runs(unit_starts[units], unit_words[units])]
+    ends = np.concatenate(([0], np.cumsum(unit_words[units])))[np.cumsum(n_units)]
+    times = np.bincount(flat, minlength=len(coded.dictionary))
+    met = times > 0
+    return (np.cumsum(met) - 1)[flat].astype("<i4"), ends, coded.dictionary.filter(pa.array(met)), times[met]
+
+
+def listed(values: pa.Array) -> pa.ListArray:
+    """A column of one row, which holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def split(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_ids, ends, codes, words, times: one row a slice, as split_slice gives it."""
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
-            _, numbers, distinct = chunks_of(batch.column("text"))
-            words, many = words_of(distinct, " ")
-            coded = words.dictionary_encode()
-            times = np.bincount(coded.indices.to_numpy(), np.repeat(np.bincount(numbers, minlength=len(distinct)), many), len(coded.dictionary))
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(times.astype(np.int64))], schema=schema)
+            codes, ends, words, times = split_slice(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([listed(batch.column("doc_id")), listed(pa.array(ends)), pa.array([codes.tobytes()], pa.binary()), listed(words), listed(pa.array(times))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_ids array<long>, ends array<long>, codes binary, words array<string>, times array<long>")
 
 
 class Table:
@@ -244,48 +268,21 @@ class Table:
         return found
 
 
-def read_slice(texts: pa.Array, table: Table, path: str = RANKS) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Codes of the texts, and where each text's end: ids of known words in place, -1 - k for the k-th of the words to be
-    folded, counted from the first text on; those words, and how many of them are met first in each text."""
-    begins, numbers, distinct = chunks_of(texts)
-    strange = np.array(list(map(odd, distinct)), bool)
-    whole = np.logical_or.reduceat(strange[numbers], begins[:-1])
-    # units: the distinct chunks with a space before; then, for each text, its first chunk or, if it has odd ones, all of it
-    inner, many = words_of([c if not s else "" for c, s in zip(distinct, strange.tolist(), strict=True)], " ")
-    heads, own = words_of([t if w else distinct[n] for t, w, n in zip(texts.fill_null("").to_pylist(), whole.tolist(), numbers[begins[:-1]].tolist(), strict=True)], "")
-    coded = pa.concat_arrays([inner, heads]).dictionary_encode()
-    words, vocabulary = coded.indices.to_numpy(), coded.dictionary
-    found = table.places(vocabulary)
-    long = np.flatnonzero((pc.binary_length(vocabulary).to_numpy() > FOLD_BYTES) & (found < 0))
-    merged = [np.array(heap_merges(vocabulary[int(k)].as_py().encode(), load_ranks(path)), np.int32) for k in long]
+def looked_up(flat: np.ndarray, ends: np.ndarray, words: pa.Array, table: Table, path: str = RANKS) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of a slice and where each text's end: ids of known words in place, -1 - k for the k-th of the words to be
+    folded; and those words."""
+    found = table.places(words)
+    long = np.flatnonzero((pc.binary_length(words).to_numpy() > FOLD_BYTES) & (found < 0))
+    merged = [np.array(heap_merges(words[int(k)].as_py().encode(), load_ranks(path)), np.int32) for k in long]
     starts, lengths = table.ends[found].astype(np.int64), np.where(found < 0, 1, table.ends[found + 1] - table.ends[found]).astype(np.int64)
-    pool = np.concatenate([table.ids, *merged, -1 - np.arange(len(vocabulary), dtype=np.int32)])
     lengths[long] = [len(m) for m in merged]
     starts[long] = len(table.ids) + np.concatenate(([0], np.cumsum(lengths[long])))[:-1]
-    rest = found < 0
-    rest[long] = False
-    starts[rest] = len(pool) - len(vocabulary) + np.flatnonzero(rest)
-    # texts as units, units as words, words as codes
-    kept = ~np.repeat(whole, np.diff(begins))
-    kept[begins[:-1]] = True
-    units = numbers.astype(np.int64)
-    units[begins[:-1]] = len(distinct) + np.arange(len(texts))
-    units, n_units = units[kept], np.add.reduceat(kept.astype(np.int64), begins[:-1])
-    unit_words = np.concatenate((many, own))
-    unit_starts = np.concatenate(([0], np.cumsum(unit_words)))[:-1]
-    flat = words[runs(unit_starts[units], unit_words[units])]
+    found[long] = 0
+    rest = np.flatnonzero(found < 0)
+    starts[rest] = len(table.ids) + sum(map(len, merged)) + np.arange(len(rest))
+    pool = np.concatenate([table.ids, *merged, -1 - np.arange(len(rest), dtype=np.int32)])
     codes = pool[runs(starts[flat], lengths[flat])]
-    per_word = np.concatenate(([0], np.cumsum(lengths[flat])))
-    per_unit = np.concatenate(([0], np.cumsum(unit_words[units])))
-    ends = per_word[per_unit[np.cumsum(n_units)]]
-    holes = np.flatnonzero(codes < 0)
-    asked, first = np.unique(-1 - codes[holes], return_index=True)
-    order = np.argsort(first, kind="stable")
-    renamed = np.zeros(len(vocabulary), np.int32)
-    renamed[asked[order]] = np.arange(len(order), dtype=np.int32)
-    codes[holes] = -1 - renamed[-1 - codes[holes]]
-    met = np.bincount(np.searchsorted(ends, holes[first], "right"), minlength=len(texts))
-    return codes, ends, vocabulary.take(pa.array(asked[order])), met
+    return codes, np.concatenate(([0], np.cumsum(lengths[flat])))[ends], words.take(pa.array(rest))
 
 
 def filled(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, id_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,47 +297,41 @@ def filled(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, id_ends: np.nda
 
 
 def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, first, codes, rest: codes as read_slice gives them, whether a text is the first of
-    its slice, and ids of the words that were met first in it. Rows stay in their order within a partition."""
+    """docs (doc_id, text) -> doc_ids, ends, codes, rest: one row a slice, codes as looked_up gives them, and the ids of the
+    words that its table does not have. Texts are split once: their words are stored as numbers, and counted from there."""
     spark, maps = docs.sparkSession, rank_map(load_ranks(path))
-    short = F.octet_length("word") <= WORD_BYTES
-    known = frequent(stored(count_words(docs), "words").where(short), most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
+    slices = stored(split(docs), "slices")
+    counts = slices.select(F.inline(F.arrays_zip(F.col("words").alias("word"), "times"))).where(F.octet_length("word") <= WORD_BYTES)
+    counted = stored(counts.groupBy("word").agg(F.sum("times").alias("n")), "words")
+    known = frequent(counted, most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     column = lambda name, kind: known[name].combine_chunks() if known.num_rows else pa.array([], kind)
     table = spark.sparkContext.broadcast(Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))))
     del known
     pa.default_memory_pool().release_unused()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("first", pa.bool_()), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
-        for batch in slices_of(batches):
-            codes, ends, words, met = read_slice(batch.column("text"), table.value, path)
-            raw, edges = codes.tobytes(), [0, *(4 * ends).tolist()]
-            own = pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(met))).astype(np.int32)), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.arange(batch.num_rows) == 0), own, rest], schema=schema)
+        schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("codes", pa.binary()), ("rest", pa.list_(pa.string()))])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc_ids, ends, words = (batch.column(c).slice(k, 1).flatten() for c in ("doc_ids", "ends", "words"))
+                codes, ends, rest = looked_up(np.frombuffer(batch.column("codes")[k].as_buffer(), "<i4"), ends.to_numpy(), words, table.value, path)
+                yield pa.RecordBatch.from_arrays([listed(doc_ids), listed(pa.array(ends)), pa.array([codes.astype("<i4").tobytes()], pa.binary()), listed(rest)], schema=schema)
+                pa.default_memory_pool().release_unused()
 
-    looked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look_up, "doc_id long, first boolean, codes binary, rest array<string>")
-    return looked.select("doc_id", "first", "codes", folded(F.col("rest"), maps).alias("rest"))
+    looked = slices.select("doc_ids", "ends", "codes", "words").mapInArrow(look_up, "doc_ids array<long>, ends array<long>, codes binary, rest array<string>")
+    return looked.withColumn("rest", folded(F.col("rest"), maps))
 
 
 def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Rows of read() -> doc_ids and ids (little-endian unsigned 32-bit integers), a part of a slice at a time."""
-    ids, id_ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+    """Rows of read() -> doc_ids and ids (little-endian unsigned 32-bit integers), a slice at a time."""
     for batch in batches:
-        firsts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False)).tolist()
-        edges = sorted({0, batch.num_rows, *firsts})
-        for at, end in zip(edges, edges[1:], strict=False):
-            part = batch.slice(at, end - at)
-            if at in firsts:
-                ids, id_ends = np.empty(0, np.int32), np.zeros(1, np.int64)
-            new = part.column("rest").flatten()
-            if len(new):
-                id_ends = np.concatenate((id_ends, id_ends[-1] + np.cumsum(pc.list_value_length(new).to_numpy())))
-                ids = np.concatenate((ids, new.flatten().to_numpy()))
-            own = part.column("codes").to_pylist()
-            out, ends = filled(np.frombuffer(b"".join(own), "<i4"), np.cumsum([len(x) // 4 for x in own]), ids, id_ends)
+        for k in range(batch.num_rows):
+            doc_ids, ends, rest = (batch.column(c).slice(k, 1).flatten() for c in ("doc_ids", "ends", "rest"))
+            id_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(rest).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            out, ends = filled(np.frombuffer(batch.column("codes")[k].as_buffer(), "<i4"), ends.to_numpy(), rest.flatten().to_numpy(), id_ends)
             raw, cuts = out.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
-            yield part.column("doc_id").to_pylist(), [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield doc_ids.to_pylist(), [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
