@@ -8,7 +8,7 @@ CRC-32 of the pair, so that a look-up reads one small map.
 Texts are split once, in slices of about SLICE_BYTES: a slice is stored as its distinct words, how often each occurs,
 and its texts as numbers of them, so that no text is shuffled or read twice. Distinct words are folded, not places: the
 FREQUENT most common short ones over all slices are folded once and go to the tasks as one compact table (at most
-FREQUENT x (WORD_BYTES x 5 + 20) bytes, whatever the input); a slice's other words are folded with the slice. A word over FOLD_BYTES long, for which folding arrays is
+FREQUENT x (WORD_BYTES x 5 + 20) bytes, whatever the input); words that occur once need no table, and a slice's other words are folded with the slice. A word over FOLD_BYTES long, for which folding arrays is
 quadratic, is merged with a heap; the result is the same.
 
 Decoding concatenates the binary pieces of the ids.
@@ -43,11 +43,11 @@ from sparkwake.llm.common import documents, frequent, rows_to_batch, stored
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The code points of Unicode's White_Space, as the pattern means them.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-FREQUENT, WORD_BYTES, FOLD_BYTES = 1_000_000, 64, 1024
+FREQUENT, WORD_BYTES, FOLD_BYTES = 300_000, 64, 1024
 #: Words that one task folds, about.
 FOLDED = 25_000
 #: Small maps of the literal; bytes of text that a task reads at once.
-MAPS, SLICE_BYTES = 1 << 16, 4 << 20
+MAPS, SLICE_BYTES = 1 << 16, 3 << 20
 #: Words that are Python strings at once.
 HASHED = 20_000
 #: Marks that are a word by themselves after letters, and the end of Latin letters, all of which are letters to the pattern.
@@ -229,13 +229,13 @@ def listed(values: pa.Array) -> pa.ListArray:
 
 
 def split(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_ids, ends, codes, words, times: one row a slice, as split_slice gives it."""
+    """docs (doc_id, text) -> doc_ids, ends, codes (compressed), words, times: one row a slice, as split_slice gives it."""
     schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_of(batches):
             codes, ends, words, times = split_slice(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([listed(batch.column("doc_id")), listed(pa.array(ends)), pa.array([codes.tobytes()], pa.binary()), listed(words), listed(pa.array(times))], schema=schema)
+            yield pa.RecordBatch.from_arrays([listed(batch.column("doc_id")), listed(pa.array(ends)), pa.array([pa.compress(codes.tobytes(), codec="zstd", asbytes=True)], pa.binary()), listed(words), listed(pa.array(times))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_ids array<long>, ends array<long>, codes binary, words array<string>, times array<long>")
 
@@ -302,7 +302,7 @@ def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
     spark, maps = docs.sparkSession, rank_map(load_ranks(path))
     slices = stored(split(docs), "slices")
     counts = slices.select(F.inline(F.arrays_zip(F.col("words").alias("word"), "times"))).where(F.octet_length("word") <= WORD_BYTES)
-    counted = stored(counts.groupBy("word").agg(F.sum("times").alias("n")), "words")
+    counted = stored(counts.groupBy("word").agg(F.sum("times").alias("n")).where("n > 1"), "words")
     known = frequent(counted, most, FOLDED).select("word", F.get(folded(F.array("word"), maps), F.lit(0)).alias("ids")).toArrow().combine_chunks()
     column = lambda name, kind: known[name].combine_chunks() if known.num_rows else pa.array([], kind)
     table = spark.sparkContext.broadcast(Table(column("word", pa.string()), column("ids", pa.list_(pa.int32()))))
@@ -314,7 +314,8 @@ def read(docs: DataFrame, path: str = RANKS, most: int = FREQUENT) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, ends, words = (batch.column(c).slice(k, 1).flatten() for c in ("doc_ids", "ends", "words"))
-                codes, ends, rest = looked_up(np.frombuffer(batch.column("codes")[k].as_buffer(), "<i4"), ends.to_numpy(), words, table.value, path)
+                raw = pa.decompress(batch.column("codes")[k].as_buffer(), 4 * ends[-1].as_py(), codec="zstd")
+                codes, ends, rest = looked_up(np.frombuffer(raw, "<i4"), ends.to_numpy(), words, table.value, path)
                 yield pa.RecordBatch.from_arrays([listed(doc_ids), listed(pa.array(ends)), pa.array([codes.astype("<i4").tobytes()], pa.binary()), listed(rest)], schema=schema)
                 pa.default_memory_pool().release_unused()
 
