@@ -9,18 +9,26 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwake.functions.messaging import METHODS
 
 SCHEMA = "repo_id string, service string, path string, ordinal int, line int, kind string, name string, value string, default string"
 PARSER = "lines"
-#: Languages by extension, and what is not read.
+#: Ends of names and names of files that are not read.
+SKIP_SUFFIXES = (
+    ".min.js", ".min.css", ".map", ".lock", "-lock.json", "-lock.yaml", ".sum", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".webp", ".bmp", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".pdf", ".zip", ".gz", ".tgz",
+    ".tar", ".jar", ".war", ".class", ".dll", ".exe", ".so", ".dylib", ".wasm", ".pyc", ".csv", ".snap", ".md", ".markdown", ".txt", ".rst", ".log", ".mp3", ".mp4", ".mov", ".avi", ".pb", ".bin", ".dat", ".db", ".sqlite", ".ipynb",
+)
+SKIP_NAMES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "go.sum", "composer.lock", "gemfile.lock", "poetry.lock", "mix.lock", "license", "licence", "notice", "changelog",
+)
+#: Languages by extension; a file of any other extension is read too, as text.
 LANGUAGES = {
     "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "java": "java", "kt": "kotlin", "cs": "csharp",
     "php": "php", "rb": "ruby", "rs": "rust", "scala": "scala", "yml": "yaml", "yaml": "yaml", "json": "json", "properties": "properties", "env": "env", "toml": "toml", "xml": "xml",
-    "conf": "conf", "template": "conf", "csproj": "xml", "mod": "go",
+    "conf": "conf", "template": "conf", "tmpl": "conf", "cjs": "javascript", "mts": "typescript", "cts": "typescript", "ini": "properties", "cfg": "properties", "csproj": "xml", "mod": "go",
 }
 STRING = re.compile(r'"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'|`((?:[^`\\]|\\.)*)`')
 ENV = re.compile(r"""(?:process\.env\.([A-Za-z_]\w*)|process\.env\[\s*["'](\w+)["']\s*\]|(?:os\.environ(?:\.get)?|os\.getenv|os\.Getenv|System\.getenv|getenv|Environment\.GetEnvironmentVariable|ENV(?:\.fetch)?|env::var|Configuration)\s*[\[(]\s*["']([\w:]+)["'])""")
@@ -54,6 +62,13 @@ def balanced(text: str, at: int) -> str:
     return text[at:]
 
 
+def is_read(path: Column) -> Column:
+    """Whether facts are read from a file: all but the names and ends of names listed above."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    ends = "|".join(map(re.escape, SKIP_SUFFIXES))
+    return ~(name.isin(*SKIP_NAMES) | name.rlike(f"(?:{ends})$"))
+
+
 def literals(text: str) -> list[str]:
     return [next(g for g in m.groups() if g is not None) for m in STRING.finditer(text)]
 
@@ -86,6 +101,11 @@ def facts(path: str, text: str) -> Iterator[tuple[int, str, str | None, str | No
         return
     if language == "xml":
         yield from ((0, "import", m[1], None, None) for m in re.finditer(r"""ProjectReference\s+Include="(?:[^"]*[\\/])?([^"\\/]+)\.(?:cs|fs)proj\"""", text))
+    if path.endswith(".proto"):
+        package = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", text)
+        for m in re.finditer(r"(?m)^\s*service\s+(\w+)\s*\{", text):
+            yield text.count("\n", 0, m.start(1)) + 1, "proto", m[1], package[1] if package else None, None
+        return
     lines = text.splitlines()
     for n, line in enumerate(lines, 1):
         if COMMENT.match(line):
@@ -126,15 +146,14 @@ def extract(files: DataFrame) -> DataFrame:
             rows = [(r.repo_id, r.service, r.path, k, *f) for r in part.itertuples() for k, f in enumerate(facts(r.path, r.text))]
             yield pd.DataFrame(rows, columns=["repo_id", "service", "path", "ordinal", "line", "kind", "name", "value", "default"])
 
-    known = F.col("ext").isin(*LANGUAGES)
-    return files.where(known).select("repo_id", "service", "path", "text").mapInPandas(run, SCHEMA)
+    return files.where(is_read(F.col("path"))).select("repo_id", "service", "path", "text").mapInPandas(run, SCHEMA)
 
 
 def mapping_stats(files: DataFrame, owned: DataFrame) -> DataFrame:
     """files (repo_id, path, ext, size), owned (repo_id, path) -> files read, outside services, skipped by extension."""
     rows = files.join(owned.select("repo_id", "path", F.lit(True).alias("own")), ["repo_id", "path"], "left")
     inside = F.col("own").isNotNull()
-    label = F.when(F.col("size") > 1 << 20, "large").when(~F.col("ext").isin(*LANGUAGES), F.col("ext"))
+    label = F.when(F.col("size") > 1 << 20, "large").when(~is_read(F.col("path")), F.col("ext"))
     counts = rows.where(inside).groupBy("repo_id", label.alias("label")).agg(F.count("*").alias("n"))
     skipped = counts.groupBy("repo_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))))).alias("files_skipped"), F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)).alias("files_scanned"))
     outside = rows.groupBy("repo_id").agg(F.count_if(~inside).alias("files_outside_services"))

@@ -82,7 +82,10 @@ def grpc(facts: DataFrame, ctx: Context) -> DataFrame:
     stub = F.coalesce(*[F.nullif(F.regexp_extract(method, p, 1), F.lit("")) for p in (r"^New([A-Z]\w{2,})Client$", r"^([A-Z]\w{2,})Client$", r"^([A-Z]\w{2,})Stub$")])
     server = F.coalesce(*[F.nullif(F.regexp_extract(method, p, 1), F.lit("")) for p in (r"^Register([A-Z]\w{2,})Server$", r"^add_([A-Z]\w{2,})Servicer_to_server$")])
     noise = ("Http", "Redis", "Mongo", "Kafka", "Web", "Rest", "Grpc")
-    stubs = calls.withColumn("proto", stub).where(F.col("proto").isNotNull() & ~F.col("proto").isin(*noise))
+    named = calls.withColumn("proto", stub).where(F.col("proto").isNotNull())
+    declared = facts.where(F.col("kind") == "proto").select("repo_id", F.col("name").alias("proto")).distinct()
+    # a name of the list is a client of something else, unless a .proto file declares a service of that name
+    stubs = named.where(~F.col("proto").isin(*noise)).unionByName(named.where(F.col("proto").isin(*noise)).join(declared, ["repo_id", "proto"], "left_semi").select(named.columns))
     registered = calls.withColumn("proto", server).where(F.col("proto").isNotNull()).select("repo_id", "proto", "service", "ordinal")
     owners = resolve.proto_owners(registered, stubs, ctx.services).withColumnRenamed("owner", "target")
     return _shape(stubs.join(owners, ["repo_id", "proto"]), F.lit(GRPC), F.lit(2), F.col("proto"))

@@ -9,22 +9,23 @@ LINKS, EVIDENCE = 20, 3
 
 
 def links(reached: DataFrame, most: int = LINKS) -> DataFrame:
-    """reached (change_id, service, depth, conf_rank, path) -> the first distinct inferred and uncertain hops of each
+    """reached (change_id, repo_id, service, depth, conf_rank, path) -> the first distinct inferred and uncertain hops of each
     change, in report order: depth, then strongest, then name, then place in the path."""
-    hops = reached.select("change_id", "depth", "conf_rank", "service", F.posexplode("path").alias("place", "hop")).where(F.col("hop.confidence").isin("inferred", "uncertain"))
+    hops = reached.select("change_id", "repo_id", "depth", "conf_rank", "service", F.posexplode("path").alias("place", "hop")).where(F.col("hop.confidence").isin("inferred", "uncertain"))
     order = F.struct("depth", (-F.col("conf_rank")).alias("rank"), F.lower("service").alias("low"), "service", "place")
-    first = hops.groupBy("change_id", F.col("hop.from").alias("source"), F.col("hop.to").alias("target"), F.col("hop.relation").alias("relation")).agg(F.min(order).alias("first"), F.min("hop.confidence").alias("confidence"))
-    place = Window.partitionBy("change_id").orderBy("first")
+    first = hops.groupBy("change_id", "repo_id", F.col("hop.from").alias("source"), F.col("hop.to").alias("target"), F.col("hop.relation").alias("relation")).agg(F.min(order).alias("first"), F.min("hop.confidence").alias("confidence"))
+    place = Window.partitionBy("change_id").orderBy("first", "repo_id", "source", "target", "relation")
     return first.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most).drop("first")
 
 
 def evidence(asked: DataFrame, edges: DataFrame, most: int = EVIDENCE) -> DataFrame:
-    """asked links with the first pieces of evidence of the edges behind them: an event's own way, all others against it."""
-    own = edges.select("source", "target", "type_ord", "conf_rank", F.slice("evidence", 1, most).alias("evidence"))
+    """asked links with the first pieces of evidence of the edges behind them, in their own
+    repository: an event's own way, all others against it."""
+    own = edges.select("repo_id", "source", "target", "type_ord", "conf_rank", F.slice("evidence", 1, most).alias("evidence"))
     event = F.col("relation").isin("consumes")
     ways = asked.select("*", F.when(event, F.col("source")).otherwise(F.col("target")).alias("e_source"), F.when(event, F.col("target")).otherwise(F.col("source")).alias("e_target"))
-    best = own.groupBy(F.col("source").alias("e_source"), F.col("target").alias("e_target")).agg(F.max_by("evidence", "conf_rank").alias("evidence"))
-    return ways.join(best, ["e_source", "e_target"], "left").drop("e_source", "e_target")
+    best = own.groupBy("repo_id", F.col("source").alias("e_source"), F.col("target").alias("e_target")).agg(F.max_by("evidence", "conf_rank").alias("evidence"))
+    return ways.join(best, ["repo_id", "e_source", "e_target"], "left").drop("e_source", "e_target")
 
 
 def verdicts(asked: DataFrame, said: DataFrame) -> DataFrame:

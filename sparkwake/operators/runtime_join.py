@@ -16,12 +16,17 @@ def match_names(names: DataFrame, services: DataFrame, mapped: dict[str, str] |
 
     In turn: ignored, mapped, the same name, the same normalised name (the first service), the most similar name of at
     least THRESHOLD (the last of equals). Only names left after the equality joins meet services by similarity, and only
-    those of the same repository."""
+    those of the same repository. A name that is mapped to a service which its repository has not is an error, raised when
+    the rows are read."""
     mapped = mapped or {}
     known = services.select("repo_id", F.col("name").alias("service"), "pos", normalise(F.col("name")).alias("norm"))
     rows = names.distinct().withColumn("norm", normalise(F.col("runtime")))
     target = F.coalesce(*[F.when(F.col("runtime") == k, F.lit(v)) for k, v in mapped.items()], F.lit(None).cast("string"))
     exact = known.select("repo_id", F.col("service").alias("runtime"), F.col("service").alias("exact")).distinct()
+    if mapped:
+        rows = rows.withColumn("wanted", target).join(exact.select("repo_id", F.col("runtime").alias("wanted"), F.lit(True).alias("has")), ["repo_id", "wanted"], "left")
+        lost = F.col("wanted").isNotNull() & F.col("has").isNull() & ~(F.col("runtime").isin(*ignored) if ignored else F.lit(False))
+        target = F.when(lost, F.raise_error(F.concat(F.lit("mapped to no service of the repository: "), "runtime", F.lit(" -> "), "wanted"))).otherwise(F.col("wanted"))
     norm = known.where(F.col("norm") != "").groupBy("repo_id", "norm").agg(F.min_by("service", "pos").alias("same_norm"))
     tiers = rows.withColumn("target", target).withColumn("ignored", F.col("runtime").isin(*ignored) if ignored else F.lit(False)).join(exact, ["repo_id", "runtime"], "left").join(norm, ["repo_id", "norm"], "left")
     left = tiers.where(~F.col("ignored") & F.coalesce("target", "exact", "same_norm").isNull() & (F.octet_length("norm") >= SHORTEST)).select("repo_id", "runtime", "norm")

@@ -51,7 +51,8 @@ class Analysis:
 def analyze(spark: SparkSession, roots: dict[str, str], include_tests: bool = False) -> Analysis:
     """roots: the folder of each repository."""
     listed = source_files.listing(spark, roots, include_tests)
-    texts = stored(source_files.with_text(listed.where(F.col("ext").isin(*extract.LANGUAGES, "yaml", "yml", "json", "toml", "env", "example")).repartition(max(1, min(256, listed.count() // 200)), "repo_id", "path")), "texts")
+    read = listed.where((extract.is_read(F.col("path")) | F.col("path").rlike(discover.CONFIG)) & (F.col("size") <= source_files.LARGEST))
+    texts = stored(source_files.with_text(read.repartition(max(1, listed.count() // 200), "repo_id", "path")), "texts")
     services = stored(discover.discover(listed, texts), "services")
     owned = owners(listed.select("repo_id", F.col("path").alias("file")), services, single=True).withColumnRenamed("file", "path")
     facts = stored(extract.extract(texts.join(owned, ["repo_id", "path"])), "facts")

@@ -139,7 +139,7 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached = walk.reach_paths(walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
     asked = review.evidence(review.links(reached), merged(spark, sf_dir, "d_sparse"))
-    return asked.select("change_id", "n", "source", "target", "relation", "confidence", F.size(F.coalesce("evidence", F.array().cast("array<struct<file:string,line:int,detail:string>>"))).alias("pieces"))
+    return asked.select("change_id", "repo_id", "n", "source", "target", "relation", "confidence", F.size(F.coalesce("evidence", F.array().cast("array<struct<file:string,line:int,detail:string>>"))).alias("pieces"))
 
 
 @query("JN_24_verdicts", "SELECT c.change_id, c.file AS source, c.repo_id AS target, coalesce(v.verdict, 'unclear') AS verdict, coalesce(v.reason, 'not judged') AS reason FROM (SELECT DISTINCT change_id, file, repo_id FROM {d_changes}) c LEFT JOIN (SELECT change_id, file, repo_id, arg_min('real', pos) AS verdict, arg_min('seen at ' || pos, pos) AS reason FROM {d_changes} WHERE pos % 2 = 1 GROUP BY 1, 2, 3) v ON v.change_id = c.change_id AND v.file = c.file AND v.repo_id = c.repo_id")

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from sparkwake.functions.labels import confidence_label, type_label
 from sparkwake.functions.scalars import glob_pattern, jaro_winkler
-from sparkwake.operators.discover import attempts
+from sparkwake.operators.discover import Tree, attempts, kubernetes
+from sparkwake.operators.environment import declared
+from sparkwake.operators.extract import facts, is_read
+from sparkwake.operators.review import evidence, links
+from sparkwake.operators.runtime_join import match_names
 from sparkwake.plans.analyze import analyze, with_runtime
 from sparkwake.sources.files import compose_env, dotenv, interpolate
 
@@ -23,6 +27,9 @@ TREE = {
     "mail/Mail.java": 'import org.x.y;\n@KafkaListener(topics = "order-created")\nvoid on(String s) {}\n',
     "node_modules/x/package.json": "{}",
     "README": "text",
+    "stock/Dockerfile": "FROM scratch\nENV CACHE=redis://cache:6379/1\n",
+    "stock/notes.md": "redis://kafka:6379/0",
+    "mail/mail.proto": 'syntax = "proto3";\npackage a.b;\n\nservice Mailer {\n}\n',
 }
 
 
@@ -43,7 +50,7 @@ def test_services(graph):
 def test_edges(graph):
     _, a = graph
     found = {(r["source"], r["target"], r["t"]): r["c"] for r in a.edges.select("source", "target", type_label(F.col("type_ord")).alias("t"), confidence_label(F.col("conf_rank")).alias("c")).collect()}
-    assert found == {("shop", "stock", "http"): "static", ("shop", "cache", "database"): "static", ("shop", "kafka", "event"): "inferred", ("shop", "mail", "event"): "inferred", ("shop", "stock", "import"): "static"}
+    assert found == {("shop", "stock", "http"): "static", ("shop", "cache", "database"): "static", ("shop", "kafka", "event"): "inferred", ("shop", "mail", "event"): "inferred", ("shop", "stock", "import"): "static", ("stock", "cache", "database"): "static"}
 
 
 def test_blast(spark, graph):
@@ -55,6 +62,38 @@ def test_blast(spark, graph):
     assert {r["target"] for r in a.edges_of("shop").collect()} == {"stock", "cache", "kafka", "mail"}
 
 
+def test_files_read(spark):
+    names = ["a/Dockerfile", "a/run.sh", "a/x.tf", "b.cjs", "LICENSE", "a/package-lock.json", "x.min.js", "a/README.md", "own-lock.json"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    assert [r["path"] for r in files.where(is_read(F.col("path"))).collect()] == names[:4]
+    assert list(facts("a/x.proto", "package a.b;\n\nservice Mailer {\n}\nservice Two {}\n")) == [(3, "proto", "Mailer", "a.b", None), (5, "proto", "Two", "a.b", None)]
+
+
+def test_workloads():
+    pod = "spec:\n      containers:\n      - image: x/{0}:1\n"
+    job = "kind: Job\nmetadata:\n  name: once\nspec:\n  template:\n    " + pod.format("once")
+    cron = "kind: CronJob\nmetadata:\n  name: nightly\nspec:\n  jobTemplate:\n    spec:\n      template:\n        spec:\n          containers:\n          - image: x/nightly:1\n            env:\n            - name: A\n              value: b\n"
+    found = kubernetes(Tree([], {"k.yaml": job + "---\n" + cron, "docker-compose.yml": job.replace("once", "twice")}))
+    assert [(s["name"], s["image"], s["detail"]) for s in found] == [("once", "x/once:1", "kind: Job"), ("nightly", "x/nightly:1", "kind: CronJob")]
+    assert [d[:3] for d in declared("k.yaml", cron)] == [("nightly", "A", "b")]
+
+
+def test_evidence_of_its_own_repository(spark):
+    step = "array<struct<from:string,to:string,relation:string,confidence:string>>"
+    reached = spark.createDataFrame([("1", r, "b", 1, 1, [("a", "b", "calls", "inferred")]) for r in ("r1", "r2")], f"change_id string, repo_id string, service string, depth int, conf_rank int, path {step}")
+    edges = spark.createDataFrame([("r1", "b", "a", 0, 1, ["of r1"]), ("r2", "b", "a", 0, 2, ["of r2"])], "repo_id string, source string, target string, type_ord int, conf_rank int, evidence array<string>")
+    assert {(r["repo_id"], r["n"]): r["evidence"] for r in evidence(links(reached), edges).collect()} == {("r1", 1): ["of r1"], ("r2", 2): ["of r2"]}
+
+
+def test_mapping_to_no_service(spark):
+    names = spark.createDataFrame([("r", "pay"), ("r", "x")], "repo_id string, runtime string")
+    services = spark.createDataFrame([("r", "payments", 0), ("q", "other", 0)], "repo_id string, name string, pos int")
+    assert {r["runtime"]: r["service"] for r in match_names(names, services, {"pay": "payments"}).collect()} == {"pay": "payments", "x": None}
+    with pytest.raises(Exception, match="mapped to no service"):
+        match_names(names, services, {"pay": "other"}).collect()
+    assert match_names(names, services, {"pay": "other"}, ("pay",)).where("runtime = 'pay'").first()["how"] == "ignored"
+
+
 def test_runtime(spark, graph, tmp_path):
     _, a = graph
     scrape = tmp_path / "calls.prom"
