@@ -158,7 +158,8 @@ def ex_01(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AG_06_mapping_stats", "SELECT repo_id, count(*) FILTER (NOT contains(file, 'region_')) AS files_outside_services, count(*) FILTER (contains(file, 'region_') AND pos % 2 = 0) AS files_scanned FROM (SELECT DISTINCT change_id, repo_id, file, pos FROM {d_changes}) GROUP BY 1")
 def ag_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "d_changes").select("change_id", "repo_id", "file", "pos").distinct()
-    files = rows.select("repo_id", F.concat_ws("#", "change_id", "file", F.col("pos").cast("string")).alias("path"), F.when(F.col("pos") % 2 == 0, "py").otherwise("bin").alias("ext"), F.lit(10).cast("long").alias("size"))
+    ext = F.when(F.col("pos") % 2 == 0, "py").otherwise("bin")
+    files = rows.select("repo_id", F.concat(F.concat_ws("#", "change_id", "file", F.col("pos").cast("string")), F.lit("."), ext).alias("path"), ext.alias("ext"), F.lit(10).cast("long").alias("size"))
     return extract.mapping_stats(files, files.where(F.contains("path", F.lit("region_"))).select("repo_id", "path")).select("repo_id", "files_outside_services", "files_scanned")
 
 
