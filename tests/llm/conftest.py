@@ -11,6 +11,17 @@ TEXTS = [
 ]
 
 
+#: Items of ten words and more, of fewer, of none; one id twice, no id, and one window in several items.
+ITEMS = [
+    (1, " ".join(LOREM.split()[3:15]).upper()), (2, "Now!"), (3, None), (4, ""), (5, "  ...  "), (10, "they sat for a while, and then they WENT home again"), (10, "le chat et le chien"),
+    (None, "le chien sont dans"), (9, "word " * 30), (7, "the cat and the dog went over to a house by"), (8, "the cat and the dog went over to a house by the"), (6, "nowhere to be found"),
+]
+
+
+def items(spark):
+    return spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, doc_id string")
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     """Nulls, empty and long texts, repeated rows, ties, and columns whose names operators use themselves."""
@@ -22,6 +33,7 @@ def docs(spark):
 def sf_dir(docs, tmp_path_factory):
     path = tmp_path_factory.mktemp("sf")
     docs.write.parquet(f"file://{path}/documents.parquet")
+    items(docs.sparkSession).write.parquet(f"file://{path}/benchmark.parquet")
     return f"file://{path}"
 
 
@@ -29,4 +41,5 @@ def sf_dir(docs, tmp_path_factory):
 def empty_dir(docs, tmp_path_factory):
     path = tmp_path_factory.mktemp("none")
     docs.limit(0).write.parquet(f"file://{path}/documents.parquet")
+    items(docs.sparkSession).limit(0).write.parquet(f"file://{path}/benchmark.parquet")
     return f"file://{path}"

@@ -25,7 +25,7 @@ from sparkwake.llm.registry import ORACLE_SQL, QUERIES
 
 from .conftest import LOREM, TEXTS
 
-DOCUMENT_QUERIES = [n for n in QUERIES if n != "op4_nearest_neighbours"]
+DOCUMENT_QUERIES = [n for n in QUERIES if n not in ("op4_nearest_neighbours", "op11_sort_means")]
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 SECRETS = {"assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
