@@ -42,11 +42,11 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 #: Pairs of ids that are broadcast at most, 17 bytes each.
 COMMON = 500_000
 #: Units that a worker keeps, and their length in characters; it forgets all when it has more.
-KEPT, LONG = 250_000, 64
-#: Transitions that a worker keeps.
-TRANSITIONS = 1_000_000
-#: Characters of units that are encoded together.
-TOGETHER = 1 << 16
+KEPT, LONG = 200_000, 64
+#: Transitions that a worker keeps; it forgets all when it has more.
+TRANSITIONS = 200_000
+#: Characters of units that are encoded together, and of texts that are cut at once.
+TOGETHER, AT_ONCE = 1 << 16, 1 << 20
 #: A space between two characters that are no white space. Python's white space holds all of A's.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 LEAD_A, LEAD_B = 0, 1
@@ -94,21 +94,26 @@ class Transducer:
 
     def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
         self.sides = (a, b)
-        self.states: list[tuple[int, bytes]] = [(LEAD_B, b"")]  # 0: nothing dangles, and A is next
+        self._forget()
+
+    def _forget(self) -> None:
+        """State 0: nothing dangles, and A is next."""
+        self.states: list[tuple[int, bytes]] = [(LEAD_B, b"")]
         self.number = {self.states[0]: 0}
-        self.kept: dict[tuple[int, int], int] = {}
+        self.to: list[dict[int, int]] = [{}]  # by state: the state after each token
+        self.b_leads = [True]
+        self.kept = 0
 
     def _numbered(self, state: tuple[int, bytes]) -> int:
         if state not in self.number:
             self.number[state] = len(self.states)
             self.states.append(state)
+            self.to.append({})
+            self.b_leads.append(state[0] == LEAD_B)
         return self.number[state]
 
-    def step(self, state: int, token: int) -> int:
-        """The state after the side behind takes its token; -1 if that does not fit."""
-        to = self.kept.get((state, token))
-        if to is not None:
-            return to
+    def _learn(self, state: int, token: int) -> int:
+        """The state after the side behind takes its token, from now on kept; -1 if that does not fit."""
         lead, suffix = self.states[state]
         behind = LEAD_B if lead == LEAD_A else LEAD_A
         spelled = self.sides[behind][token]
@@ -118,71 +123,73 @@ class Transducer:
             now = (behind, spelled[len(suffix) :])
         else:
             return -1
-        if not now[1]:
-            now = self.states[0]
-        if len(self.kept) >= TRANSITIONS:
-            del self.states[1:]
-            self.number, self.kept = {self.states[0]: 0}, {}
-            state = self._numbered((lead, suffix))
-        to = self._numbered(now)
-        self.kept[state, token] = to
+        to = self._numbered(now) if now[1] else 0
+        self.to[state][token] = to
+        self.kept += 1
         return to
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """Where groups end, as numbers of tokens of a and b; None if the two do not spell the same."""
+        if self.kept >= TRANSITIONS:
+            self._forget()
         state, i, j, found = 0, 0, 0, []
-        while i < len(a) or j < len(b):
-            if self.states[state][0] == LEAD_B:
-                if i == len(a):
-                    return None
-                state, i = self.step(state, a[i]), i + 1
-            else:
-                if j == len(b):
+        to, b_leads = self.to, self.b_leads
+        try:
+            while True:
+                if b_leads[state]:
+                    if not state and i == len(a) and j == len(b):
+                        return found
+                    token, i = a[i], i + 1
+                else:
+                    token, j = b[j], j + 1
+                now = to[state].get(token)
+                if now is None and (now := self._learn(state, token)) < 0:
                     return None
-                state, j = self.step(state, b[j]), j + 1
-            if state < 0:
-                return None
-            if state == 0:
-                found.append((i, j))
-        return found if state == 0 else None
+                state = now
+                if not state:
+                    found.append((i, j))
+        except IndexError:  # the side behind has no token left
+            return None
 
 
 class Aligner:
-    """Results of units: groups as text, links, numbers of tokens. None: the unit has no tokens."""
+    """Results of units, written without the space that they begin with: groups as text, links, number of A's tokens. None:
+    the unit has no tokens."""
 
     def __init__(self, a: str, b: str):
         self.a, self.b = tokens_a(a), tokens_b(b)
         self.transducer = Transducer(self.a.spelled, self.b.spelled)
-        self.kept: dict[str, tuple[str, bytes, int, int] | None] = {}
-
-    def _result(self, raw: bytes, a: list[int], b: list[int]) -> tuple[str, bytes, int, int] | None:
-        if b"".join(map(self.a.spelled.__getitem__, a)) != raw or b"".join(map(self.b.spelled.__getitem__, b)) != raw:
-            return None
-        ends = self.transducer.groups(a, b)
+        self.kept: dict[str, tuple[str, bytes, int] | None] = {}
+
+    def _results(self, units: list[str]) -> Iterator[tuple[str, bytes, int] | None]:
+        """Units encoded as one text and cut apart where they end. If they do not come apart, None alone."""
+        text = " " + " ".join(units)
+        raw = text.encode()
+        a, b = self.a.encode(text), self.b.encode(text[1:])
+        of_a, of_b = [self.a.spelled[i] for i in a], [self.b.spelled[i] for i in b]
+        ends = self.transducer.groups(a, b) if b"".join(of_a) == raw and b"".join(of_b) == raw else None
         if ends is None:
-            return None
-        text, links, i, j = [], [], 0, 0
-        for to_a, to_b in ends:
-            text.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))}")
-            links.append(a[to_a - 1] << 32 | b[to_b - 1])
-            i, j = to_a, to_b
-        return ";".join(text), np.array(links, "<u8").tobytes(), len(a), len(b)
-
-    def _encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int], bytes]]:
-        """The ids of units, each of which begins with a space, encoded as one text and cut apart by their bytes."""
-        raw = [u.encode() for u in units]
-        ends = np.cumsum([len(r) for r in raw])
-        cut = []
-        for side, text in ((self.a, "".join(units)), (self.b, "".join(units)[1:])):
-            ids = side.encode(text)
-            size = np.cumsum([len(side.spelled[i]) for i in ids]) if ids else np.zeros(0, np.int64)
-            places = np.searchsorted(size, ends)
-            if not len(ids) or size[-1] != ends[-1] or not (size[places] == ends).all():
-                return
-            cut.append([ids[x:y] for x, y in zip([0, *(places[:-1] + 1).tolist()], (places + 1).tolist(), strict=True)])
-        yield from zip(cut[0], cut[1], raw, strict=True)
-
-    def learn(self, units: list[str], into: dict) -> None:
+            yield None
+            return
+        to_a = np.array([i for i, _ in ends])
+        group_ends = np.cumsum([len(x) for x in of_a])[to_a - 1]
+        unit_ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        at = np.searchsorted(group_ends, unit_ends)
+        if not (group_ends[np.minimum(at, len(ends) - 1)] == unit_ends).all():
+            yield None
+            return
+        names_a, names_b, groups, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
+        for x, y in ends:
+            groups.append(f"{names_a[i]}|{names_b[j]}" if x - i == 1 == y - j else f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
+            i, j = x, y
+        to_b = np.array([j for _, j in ends])
+        links = (np.array(a, np.uint64)[to_a - 1] << np.uint64(32) | np.array(b, np.uint64)[to_b - 1]).astype("<u8").tobytes()
+        first = 0
+        for last, n in zip((at + 1).tolist(), np.diff(to_a[at], prepend=0).tolist(), strict=True):
+            yield ";".join(groups[first:last]), links[8 * first : 8 * last], n
+            first = last
+
+    def _learn(self, units: list[str], into: dict) -> None:
         """Results of new units, many encoded at once; where they do not come apart, each alone."""
         held, size = [], 0
         for n, u in enumerate(units):
@@ -190,32 +197,30 @@ class Aligner:
             size += len(u)
             if size < TOGETHER and n < len(units) - 1:
                 continue
-            each = list(self._encode(held))
-            if not each:
-                each = [(self.a.encode(u), self.b.encode(u[1:]), u.encode()) for u in held]
-            for u, (a, b, raw) in zip(held, each, strict=True):
-                into[u] = self._result(raw, a, b)
+            each = list(self._results(held))
+            if each == [None] and len(held) > 1:
+                each = [next(self._results([u])) for u in held]
+            into.update(zip(held, each, strict=True))
             held, size = [], 0
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes]]:
         """n_a, n_b, n_groups, groups_sha256, links of each text."""
-        cut = [[" " + u for u in CUT.split(t)] if t else [] for t in texts]
+        cut = [CUT.split(t) if t else [] for t in texts]
         if len(self.kept) > KEPT:
             self.kept = {}
-        new = {u for units in cut for u in units if u not in self.kept}
-        short = sorted(u for u in new if len(u) <= LONG and u[1:2].strip() and u[-1:].strip())  # may stand side by side
-        self.learn(short, self.kept)
-        odd: dict[str, tuple | None] = {}
-        for u in new - self.kept.keys():
-            odd[u] = self._result(u.encode(), self.a.encode(u), self.b.encode(u[1:]))
+        new = {u for units in cut for u in units}.difference(self.kept)
+        short = [u for u in new if len(u) <= LONG and u[:1].strip() and u[-1:].strip()]  # may stand side by side
+        self._learn(short, self.kept)
+        odd: dict[str, tuple | None] = {u: next(self._results([u])) for u in new.difference(short)}
         for units in cut:
-            try:
-                found = [self.kept[u] for u in units] if not odd else [self.kept[u] if u in self.kept else odd[u] for u in units]
-                groups, links, a, b = zip(*found, strict=True) if found else ((), (), (), ())
-            except TypeError:  # a unit without tokens
-                groups, links, a, b = (), (), (), ()
-            joined = b"".join(links)
-            yield sum(a), sum(b), len(joined) // 8, hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "", joined
+            found = [self.kept[u] if u in self.kept else odd[u] for u in units] if odd else [self.kept[u] for u in units]
+            if not found or None in found:
+                yield 0, 0, 0, "", b""
+                continue
+            groups, links, a = zip(*found, strict=True)
+            spelled, joined = ";".join(groups), b"".join(links)
+            n, n_a = len(joined) // 8, sum(a)
+            yield n_a, spelled.count(",") + 2 * n - n_a, n, hashlib.sha256(spelled.encode()).hexdigest(), joined
 
 
 @cache
@@ -230,8 +235,13 @@ def aligned(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for piece in slices(batches):
-            yield rows_to_batch([(number + n, i, *r) for n, (i, r) in enumerate(zip(piece["doc_id"], _aligner(a, b).texts(piece["text"]), strict=True))], schema)
-            number += len(piece["doc_id"])
+            ids, texts, first, size = piece["doc_id"], piece["text"], 0, 0
+            for n, t in enumerate(texts, 1):
+                size += len(t or "")
+                if size >= AT_ONCE or n == len(texts):
+                    yield rows_to_batch([(number + k, i, *r) for k, (i, r) in enumerate(zip(ids[first:n], _aligner(a, b).texts(texts[first:n]), strict=True), first)], schema)
+                    first, size = n, 0
+            number += len(ids)
 
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
     return stored(made, "aligned")
