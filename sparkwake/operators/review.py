@@ -24,7 +24,7 @@ def evidence(asked: DataFrame, edges: DataFrame, most: int = EVIDENCE) -> DataFr
     own = edges.select("repo_id", "source", "target", "type_ord", "conf_rank", F.slice("evidence", 1, most).alias("evidence"))
     event = F.col("relation").isin("consumes")
     ways = asked.select("*", F.when(event, F.col("source")).otherwise(F.col("target")).alias("e_source"), F.when(event, F.col("target")).otherwise(F.col("source")).alias("e_target"))
-    best = own.groupBy("repo_id", F.col("source").alias("e_source"), F.col("target").alias("e_target")).agg(F.max_by("evidence", "conf_rank").alias("evidence"))
+    best = own.groupBy("repo_id", F.col("source").alias("e_source"), F.col("target").alias("e_target")).agg(F.max_by("evidence", F.struct("conf_rank", -F.col("type_ord"))).alias("evidence"))  # of equally sure edges the first type
     return ways.join(best, ["repo_id", "e_source", "e_target"], "left").drop("e_source", "e_target")
 
 

@@ -26,8 +26,21 @@ SELECT concat('repo-', CAST(a.l_suppkey % 2 AS STRING)) AS repo_id, concat('svc-
   concat('order-', CAST(a.l_orderkey AS STRING)) AS file, a.l_linenumber AS line, CAST(NULL AS STRING) AS detail, a.l_orderkey * 10 + a.l_linenumber AS ordinal
 FROM {d_lines} a JOIN {d_lines} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_suppkey % 2 = b.l_suppkey % 2""",
-    # a part of the candidates, read only by walks that begin at changes: over all of them DuckDB does not end
-    "d_sparse": "SELECT c.* FROM {d_candidates} c JOIN {d_lines} l ON c.ordinal = l.l_orderkey * 10 + l.l_linenumber WHERE l.l_quantity >= 45 AND l.l_tax <= 0.03",
+    # parts are services of eight repositories that know little of each other, so that much is reached weakly or not at all
+    "d_parts": """
+SELECT concat('parts-', CAST(p_partkey % 8 AS STRING)) AS repo_id, concat('part-', CAST(p_partkey AS STRING)) AS name, concat('lib/p', CAST(p_partkey AS STRING)) AS root,
+  CASE WHEN p_size % 10 = 9 THEN 'infrastructure' ELSE 'code' END AS role, CAST(NULL AS STRING) AS image, p_partkey AS pos FROM {part}""",
+    "d_uses": """
+SELECT concat('parts-', CAST(a.l_partkey % 8 AS STRING)) AS repo_id, concat('part-', CAST(a.l_partkey AS STRING)) AS source, concat('part-', CAST(b.l_partkey AS STRING)) AS target,
+  CAST(CASE b.l_linenumber % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END AS INT) AS type_ord,
+  CAST(CASE a.l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS INT) AS conf_rank,
+  concat('order-', CAST(a.l_orderkey AS STRING)) AS file, a.l_linenumber AS line, CAST(NULL AS STRING) AS detail, a.l_orderkey * 10 + a.l_linenumber AS ordinal
+FROM {d_lines} a JOIN {d_lines} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+WHERE a.l_partkey % 8 = b.l_partkey % 8""",
+    # a customer's change is one of two parts, or of one that is not there
+    "d_pulls": """
+SELECT CAST(c_custkey AS STRING) AS change_id, concat('parts-', CAST(k % 8 AS STRING)) AS repo_id, concat('lib/p', CAST(k AS STRING), '/main.py') AS file, k AS pos
+FROM (SELECT c_custkey, c_custkey AS k FROM {customer} UNION ALL SELECT c_custkey, c_custkey + 8 AS k FROM {customer}) x""",
     # half of the names are services, the others resemble none
     "d_runtime": """
 SELECT 'repo-0' AS repo_id, CASE WHEN user_id % 10 < 5 THEN 'svc-' || CAST(2 * (user_id % 10) AS STRING) ELSE 'ext' || CAST(user_id % 50 AS STRING) END AS client,

@@ -44,35 +44,47 @@ steps AS (
   UNION ALL SELECT e.repo_id, source, target, conf_rank, FALSE FROM edges e JOIN code c ON c.repo_id = e.repo_id AND c.name = target WHERE type_ord = 1
   UNION ALL SELECT e.repo_id, e.source, k.source, 0, TRUE FROM edges e JOIN edges k ON k.repo_id = e.repo_id AND k.target = e.target AND k.source <> e.source JOIN code c ON c.repo_id = k.repo_id AND c.name = k.source
     WHERE e.type_ord = 1 AND NOT EXISTS (SELECT 1 FROM code x WHERE x.repo_id = e.repo_id AND x.name = e.target))"""
-CHANGE_STEPS = STEPS.replace("{d_candidates}", "{d_sparse}")
-
+#: What each service reaches that is a seed of some change, and the best of that for each change.
 WALK = """walk AS (
-  SELECT change_id, repo_id, service, 3 AS rank, 0 AS depth FROM seeds
-  UNION SELECT w.change_id, w.repo_id, s.dest, least(w.rank, s.step_rank), w.depth + 1 FROM walk w JOIN steps s ON s.repo_id = w.repo_id AND s.node = w.service
-    WHERE w.depth < 3 AND (w.depth = 0 OR NOT s.seed_only) AND NOT EXISTS (SELECT 1 FROM seeds z WHERE z.change_id = w.change_id AND z.repo_id = w.repo_id AND z.service = s.dest)),
-reached AS (SELECT change_id, repo_id, service, best.rank AS conf_rank, -best.near AS depth FROM (SELECT change_id, repo_id, service, max({'rank': rank, 'near': -depth}) AS best FROM walk WHERE depth > 0 GROUP BY 1, 2, 3))""".replace("{'rank': rank, 'near': -depth}", "struct_pack(rank := rank, near := -depth)")
+  SELECT DISTINCT repo_id, service AS seed, service, 3 AS rank, 0 AS depth FROM seeds
+  UNION SELECT w.repo_id, w.seed, s.dest, least(w.rank, s.step_rank), w.depth + 1 FROM walk w JOIN (SELECT repo_id, node, dest, seed_only, max(step_rank) AS step_rank FROM steps GROUP BY ALL) s ON s.repo_id = w.repo_id AND s.node = w.service
+    WHERE w.depth < 3 AND (w.depth = 0 OR NOT s.seed_only) AND s.dest <> w.seed),
+far AS (SELECT repo_id, seed, service, max(rank * 10 - depth) AS code FROM walk WHERE depth > 0 GROUP BY ALL),
+reached AS (
+  SELECT z.change_id, z.repo_id, f.service, CAST(ceil(max(code) / 10.0) AS INT) AS conf_rank, CAST(ceil(max(code) / 10.0) AS INT) * 10 - max(code) AS depth FROM seeds z JOIN far f ON f.repo_id = z.repo_id AND f.seed = z.service
+  WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.change_id = z.change_id AND x.repo_id = z.repo_id AND x.service = f.service) GROUP BY ALL)"""
 OWNED = """files AS (SELECT change_id, repo_id, regexp_replace(file, '^(\\./)+', '') AS file, pos FROM {d_changes}),
 own AS (SELECT f.*, s.name AS service, rank() OVER (PARTITION BY change_id, f.repo_id, file ORDER BY length(root) DESC) AS place FROM files f JOIN {d_services} s ON s.repo_id = f.repo_id AND s.root IS NOT NULL AND (f.file = s.root OR starts_with(f.file, s.root || '/'))),
 seeds AS (SELECT DISTINCT change_id, repo_id, service FROM own WHERE place = 1)"""
 
 
-def merged(spark: SparkSession, sf_dir: str, lines: str = "d_candidates") -> DataFrame:
-    return E.merge_edges(load(spark, sf_dir, lines))
+#: The same over parts.
+OF_PARTS = {"{d_candidates}": "{d_uses}", "{d_services}": "{d_parts}", "{d_changes}": "{d_pulls}"}
+
+
+def of_parts(sql: str) -> str:
+    for a, b in OF_PARTS.items():
+        sql = sql.replace(a, b)
+    return sql
+
+
+def merged(spark: SparkSession, sf_dir: str, candidates: str = "d_candidates") -> DataFrame:
+    return E.merge_edges(load(spark, sf_dir, candidates))
 
 
-def graph(spark: SparkSession, sf_dir: str, lines: str = "d_candidates") -> DataFrame:
-    edges = stored(merged(spark, sf_dir, lines).drop("evidence"), "edges")  # read several times by the steps
+def graph(spark: SparkSession, sf_dir: str, candidates: str = "d_candidates") -> DataFrame:
+    edges = stored(merged(spark, sf_dir, candidates).drop("evidence"), "edges")  # read several times by the steps
     return edges.select("repo_id", "source", "target", "type_ord", "conf_rank", F.lit(None).cast("long").alias("calls"), F.concat(F.lit("db"), F.length("source") + F.length("target")).alias("db_key"))
 
 
-def change_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = load(spark, sf_dir, "d_changes").withColumn("file", clean_path(F.col("file")))
-    owned = E.owners(files.select("repo_id", "file").distinct(), load(spark, sf_dir, "d_services"), single=False)
-    return files.join(owned, ["repo_id", "file"]).select("change_id", "repo_id", "service").distinct()
+def change_seeds(spark: SparkSession, sf_dir: str, changes: str = "d_changes", services: str = "d_services") -> DataFrame:
+    files = load(spark, sf_dir, changes).withColumn("file", clean_path(F.col("file")))
+    owned = E.owners(files.select("repo_id", "file").distinct(), load(spark, sf_dir, services), single=False)
+    return stored(files.join(owned, ["repo_id", "file"]).select("change_id", "repo_id", "service").distinct(), "seeds")
 
 
-def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.reach(walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
+def walked(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
+    return walk.reach(walk.steps(graph(spark, sf_dir), load(spark, sf_dir, "d_services")), seeds)
 
 
 @query("AG_01_merge_edges", f"WITH {FOLDED} SELECT repo_id, source, target, {TYPE} AS type, {CONF.format('conf_rank')} AS confidence, n_evidence, evidence FROM edges")
@@ -105,30 +117,38 @@ def jn_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.groupBy("repo_id", "node", F.col("to").alias("dest"), "seed_only").agg(F.max("conf_rank").alias("step_rank"))
 
 
-@query("JN_21_walk", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence FROM reached")
+@query("JN_21_walk", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence FROM reached")
 def jn_21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walked(spark, sf_dir).select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"))
+    return walked(spark, sf_dir, change_seeds(spark, sf_dir)).select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"))
 
 
-@query("JN_21_walk_paths", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence, depth AS hops FROM reached")
+@query("JN_21_walk_paths", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence, depth AS hops FROM reached")
 def jn_21_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services"))
+    moves = walk.steps(graph(spark, sf_dir), load(spark, sf_dir, "d_services"))
     return walk.reach_paths(moves, change_seeds(spark, sf_dir)).select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"), F.size("path").alias("hops"))
 
 
-@query("AG_14_summary", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT s.change_id, s.changed, count(r.service) AS reached, count(*) FILTER (conf_rank = 3) AS observed, count(*) FILTER (conf_rank = 2) AS static, count(*) FILTER (conf_rank = 1) AS inferred, count(*) FILTER (conf_rank = 0) AS uncertain FROM (SELECT change_id, count(DISTINCT service) AS changed FROM seeds GROUP BY 1) s LEFT JOIN reached r ON r.change_id = s.change_id GROUP BY 1, 2")
+@query("AG_14_summary", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT s.change_id, s.changed, count(r.service) AS reached, count(*) FILTER (conf_rank = 3) AS observed, count(*) FILTER (conf_rank = 2) AS static, count(*) FILTER (conf_rank = 1) AS inferred, count(*) FILTER (conf_rank = 0) AS uncertain FROM (SELECT change_id, count(DISTINCT service) AS changed FROM seeds GROUP BY 1) s LEFT JOIN reached r ON r.change_id = s.change_id GROUP BY 1, 2")
 def ag_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.summary(change_seeds(spark, sf_dir), walked(spark, sf_dir))
+    seeds = change_seeds(spark, sf_dir)
+    return walk.summary(seeds, walked(spark, sf_dir, seeds))
 
 
-@query("AG_15_by_depth", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, depth, count(*) AS n FROM reached GROUP BY 1, 2")
+@query("AG_15_by_depth", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, depth, count(*) AS n FROM reached GROUP BY 1, 2")
 def ag_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.by_depth(walked(spark, sf_dir))
+    return findings.by_depth(walked(spark, sf_dir, change_seeds(spark, sf_dir)))
 
 
-@query("ST_03_not_reached", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service FROM (SELECT DISTINCT z.change_id, z.repo_id, c.name AS service FROM seeds z JOIN code c ON c.repo_id = z.repo_id) EXCEPT SELECT change_id, repo_id, service FROM (SELECT change_id, repo_id, service FROM seeds UNION ALL SELECT change_id, repo_id, service FROM reached)")
+@query("ST_03_not_reached", of_parts(f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT DISTINCT z.change_id, z.repo_id, c.name AS service FROM seeds z JOIN code c ON c.repo_id = z.repo_id WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.change_id = z.change_id AND x.repo_id = z.repo_id AND x.service = c.name) AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.change_id = z.change_id AND r.repo_id = z.repo_id AND r.service = c.name)"))
 def st_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.not_reached(load(spark, sf_dir, "d_services"), change_seeds(spark, sf_dir), walked(spark, sf_dir))
+    services, seeds = load(spark, sf_dir, "d_parts"), change_seeds(spark, sf_dir, "d_pulls", "d_parts")
+    return walk.not_reached(services, seeds, walk.reach(walk.steps(graph(spark, sf_dir, "d_uses"), services), seeds))
+
+
+@query("JN_21_walk_parts", of_parts(f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, repo_id, service, depth, {CONF.format('conf_rank')} AS confidence FROM reached"))
+def jn_21_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = walk.reach(walk.steps(graph(spark, sf_dir, "d_uses"), load(spark, sf_dir, "d_parts")), change_seeds(spark, sf_dir, "d_pulls", "d_parts"))
+    return found.select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"))
 
 
 @query("JN_20_touched", f"WITH {FOLDED}, {OWNED} SELECT z.change_id, z.repo_id, e.target AS service, min(e.source) AS via FROM edges e JOIN seeds z ON z.repo_id = e.repo_id AND z.service = e.source JOIN {{d_services}} s ON s.repo_id = e.repo_id AND s.name = e.target AND s.role <> 'code' WHERE e.type_ord = 1 GROUP BY 1, 2, 3")
@@ -166,9 +186,9 @@ def ag_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.top_inbound(graph(spark, sf_dir))
 
 
-@query("AG_09_never_called", f"WITH {FOLDED} SELECT repo_id, name AS service FROM {{d_services}} s WHERE role = 'code' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = s.repo_id AND e.target = s.name)")
+@query("AG_09_never_called", of_parts(f"WITH {FOLDED} SELECT repo_id, name AS service FROM {{d_services}} s WHERE role = 'code' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = s.repo_id AND e.target = s.name)"))
 def ag_09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.never_called(load(spark, sf_dir, "d_services"), graph(spark, sf_dir))
+    return findings.never_called(load(spark, sf_dir, "d_parts"), graph(spark, sf_dir, "d_uses"))
 
 
 @query("AG_10_shared_databases", f"WITH {FOLDED}, k AS (SELECT e.repo_id, least(source, target) AS a, greatest(source, target) AS b, min('db' || (length(source) + length(target))) AS db_key FROM edges e JOIN {{d_services}} s ON s.repo_id = e.repo_id AND s.name = source AND s.role = 'code' JOIN {{d_services}} t ON t.repo_id = e.repo_id AND t.name = target AND t.role = 'code' WHERE type_ord = 3 GROUP BY 1, 2, 3) SELECT repo_id, db_key, string_agg(DISTINCT service, ',' ORDER BY service) AS services FROM (SELECT repo_id, db_key, a AS service FROM k UNION SELECT repo_id, db_key, b FROM k) GROUP BY 1, 2")
@@ -194,11 +214,12 @@ def ag_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = "SELECT CAST(change_id AS INT) AS pos, change_id AS reference, count(DISTINCT service) AS changed"
 
 
-@query("AG_16_history", f"WITH RECURSIVE {CHANGE_STEPS}, {OWNED}, {WALK}, e AS (SELECT c.change_id AS reference, CAST(c.change_id AS INT) AS pos, (SELECT count(*) FROM seeds s WHERE s.change_id = c.change_id) AS changed, (SELECT count(*) FROM reached r WHERE r.change_id = c.change_id) AS reached FROM (SELECT DISTINCT change_id FROM {{d_changes}}) c) SELECT count(*) AS found, round(avg(reached), 1) AS average, round(quantile_cont(reached, 0.5), 1) AS median, arg_max(reference, struct_pack(a := reached, b := pos)) AS largest, max(reached) AS largest_reached, count(*) FILTER (reached > 10) AS over10, CAST(floor((count(*) FILTER (reached > 10) * 100 + floor(count(*) / 2)) / count(*)) AS INT) AS over10_percent, count(*) FILTER (changed = 0) AS touching_none FROM e")
+@query("AG_16_history", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK}, e AS (SELECT c.change_id AS reference, CAST(c.change_id AS INT) AS pos, (SELECT count(*) FROM seeds s WHERE s.change_id = c.change_id) AS changed, (SELECT count(*) FROM reached r WHERE r.change_id = c.change_id) AS reached FROM (SELECT DISTINCT change_id FROM {{d_changes}}) c) SELECT count(*) AS found, round(avg(reached), 1) AS average, round(quantile_cont(reached, 0.5), 1) AS median, arg_max(reference, struct_pack(a := reached, b := pos)) AS largest, max(reached) AS largest_reached, count(*) FILTER (reached > 10) AS over10, CAST(floor((count(*) FILTER (reached > 10) * 100 + floor(count(*) / 2)) / count(*)) AS INT) AS over10_percent, count(*) FILTER (changed = 0) AS touching_none FROM e")
 def ag_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = load(spark, sf_dir, "d_changes").select("change_id").distinct()
-    changed = change_seeds(spark, sf_dir).groupBy("change_id").agg(F.count("*").alias("changed"))
-    hit = walked(spark, sf_dir).groupBy("change_id").agg(F.count("*").alias("reached"))
+    seeds = change_seeds(spark, sf_dir)
+    changed = seeds.groupBy("change_id").agg(F.count("*").alias("changed"))
+    hit = walked(spark, sf_dir, seeds).groupBy("change_id").agg(F.count("*").alias("reached"))
     entries = every.join(changed, "change_id", "left").join(hit, "change_id", "left").select(F.col("change_id").alias("reference"), F.col("change_id").cast("int").alias("pos"), F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce("reached", F.lit(0)).alias("reached"))
     return findings.history_summary(entries)
 

@@ -11,7 +11,7 @@ from sparkwake.functions import scalars as S
 from sparkwake.operators import extract, review, sinks, walk
 from sparkwake.operators.discover import first_by
 from sparkwake.plans.derived import load, oracle
-from sparkwake.plans.graph_queries import CONF, FOLDED, TYPE, change_seeds, graph, merged
+from sparkwake.plans.graph_queries import CONF, FOLDED, OWNED, TYPE, change_seeds, graph, merged, of_parts
 from sparkwake.sources import runtime_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,10 +135,35 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.edges_json(merged(spark, sf_dir).withColumn("calls", F.lit(None).cast("long")))
 
 
-@query("JN_23_links_for_review")
+#: Every walk of a change with its hops, in the order in which a queue finds them; the first of the best to a service counts.
+LINKS = f"""WITH RECURSIVE {FOLDED}, {OWNED},
+code AS (SELECT repo_id, name FROM {{d_services}} WHERE role = 'code'),
+hops AS (
+  SELECT e.repo_id, target AS node, source AS dest, CASE type_ord WHEN 3 THEN 'shares-database' WHEN 4 THEN 'imports' ELSE 'calls' END AS relation, conf_rank, CAST(NULL AS VARCHAR) AS via, FALSE AS seed_only, 0 AS side, source AS a, type_ord AS b, '' AS c, 0 AS d FROM edges e JOIN code k ON k.repo_id = e.repo_id AND k.name = source WHERE type_ord <> 1
+  UNION ALL SELECT e.repo_id, source, target, 'consumes', conf_rank, NULL, FALSE, 1, target, 0, '', 0 FROM edges e JOIN code k ON k.repo_id = e.repo_id AND k.name = target WHERE type_ord = 1
+  UNION ALL SELECT e.repo_id, e.source, k.source, 'shares-broker', 0, e.target, TRUE, 1, e.target, 1, k.source, k.type_ord FROM edges e JOIN edges k ON k.repo_id = e.repo_id AND k.target = e.target AND k.source <> e.source JOIN code x ON x.repo_id = k.repo_id AND x.name = k.source
+    WHERE e.type_ord = 1 AND NOT EXISTS (SELECT 1 FROM code x WHERE x.repo_id = e.repo_id AND x.name = e.target)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY repo_id, node ORDER BY side, a, b, c, d, relation, via NULLS FIRST) AS hop_no FROM hops),
+walk AS (
+  SELECT change_id, repo_id, service, 3 AS rank, 0 AS depth, [row_number() OVER (PARTITION BY change_id, repo_id ORDER BY service)] AS ord, CAST([] AS STRUCT(source VARCHAR, target VARCHAR, relation VARCHAR, confidence VARCHAR)[]) AS path FROM seeds
+  UNION ALL SELECT w.change_id, w.repo_id, s.dest, least(w.rank, s.conf_rank), w.depth + 1, list_append(w.ord, s.hop_no), list_append(w.path, struct_pack(source := s.node, target := s.dest, relation := s.relation, confidence := {CONF.format('s.conf_rank')}))
+    FROM walk w JOIN steps s ON s.repo_id = w.repo_id AND s.node = w.service WHERE w.depth < 3 AND (w.depth = 0 OR NOT s.seed_only) AND NOT EXISTS (SELECT 1 FROM seeds z WHERE z.change_id = w.change_id AND z.repo_id = w.repo_id AND z.service = s.dest)),
+best AS (SELECT * FROM walk WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY change_id, repo_id, service ORDER BY rank DESC, depth, ord) = 1),
+weak AS (SELECT change_id, repo_id, depth, rank, service, unnest(range(len(path))) AS place, unnest(path) AS hop FROM best),
+first AS (
+  SELECT change_id, repo_id, hop.source AS source, hop.target AS target, hop.relation AS relation, min(struct_pack(depth := depth, rank := -rank, low := lower(service), service := service, place := place)) AS first, min(hop.confidence) AS confidence
+  FROM weak WHERE hop.confidence IN ('inferred', 'uncertain') GROUP BY ALL),
+asked AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY first, repo_id, source, target, relation) AS n FROM first QUALIFY n <= 20),
+proof AS (SELECT repo_id, source, target, arg_max(least(n_evidence, 3), conf_rank * 10 - type_ord) AS pieces FROM edges GROUP BY 1, 2, 3)
+SELECT change_id, q.repo_id, CAST(n AS INT) AS n, q.source, q.target, relation, confidence, coalesce(pieces, 0) AS pieces FROM asked q
+LEFT JOIN proof p ON p.repo_id = q.repo_id AND p.source = CASE relation WHEN 'consumes' THEN q.source ELSE q.target END AND p.target = CASE relation WHEN 'consumes' THEN q.target ELSE q.source END"""
+
+
+@query("JN_23_links_for_review", of_parts(LINKS))
 def jn_23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = walk.reach_paths(walk.steps(graph(spark, sf_dir, "d_sparse"), load(spark, sf_dir, "d_services")), change_seeds(spark, sf_dir))
-    asked = review.evidence(review.links(reached), merged(spark, sf_dir, "d_sparse"))
+    seeds = change_seeds(spark, sf_dir, "d_pulls", "d_parts")
+    reached = walk.reach_paths(walk.steps(graph(spark, sf_dir, "d_uses"), load(spark, sf_dir, "d_parts")), seeds)
+    asked = review.evidence(review.links(reached), merged(spark, sf_dir, "d_uses"))
     return asked.select("change_id", "repo_id", "n", "source", "target", "relation", "confidence", F.size(F.coalesce("evidence", F.array().cast("array<struct<file:string,line:int,detail:string>>"))).alias("pieces"))
 
 
