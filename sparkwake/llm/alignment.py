@@ -67,7 +67,8 @@ class Tokens:
 
 
 def tokens_a(path: str) -> Tokens:
-    """A byte-level vocabulary: entries are decoded byte by byte, added tokens as they are written."""
+    """A byte-level vocabulary: entries are decoded byte by byte, added tokens as they are written. Where merges stand in the
+    order of their ids, ranks say the same, and the library that works on ranks is three times as fast: same ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -75,9 +76,20 @@ def tokens_a(path: str) -> Tokens:
     t.encode_special_tokens = True
     names = byte_names()
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    spelled = {i: x.content.encode() for i, x in t.get_added_tokens_decoder().items()} | {i: bytes(names[c] for c in piece) if all(c in names for c in piece) else piece.encode() for piece, i in vocabulary.items()}
-    return Tokens(spelled, lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        held = json.load(f)
+    model, split = held["model"], held.get("pre_tokenizer") or {}
+    spelled = {i: bytes(names[c] for c in piece) if all(c in names for c in piece) else piece.encode() for piece, i in model["vocab"].items()}
+    added = {i: x.content.encode() for i, x in t.get_added_tokens_decoder().items()}
+    pairs = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+    ranked = {spelled[i]: i for i in spelled if i not in added}
+    plain = split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": split.get("trim_offsets"), "use_regex": True} and held.get("normalizer") is None
+    if plain and len(ranked) == 256 + len(model["merges"]) and all(model["vocab"].get(p) == 256 + n for n, p in enumerate(pairs)):
+        import tiktoken
+
+        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranked, special_tokens={}).encode_ordinary
+    else:
+        encode = lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    return Tokens(added | spelled, encode)
 
 
 def tokens_b(path: str) -> Tokens:
@@ -160,6 +172,7 @@ class Aligner:
         self.a, self.b = tokens_a(a), tokens_b(b)
         self.transducer = Transducer(self.a.spelled, self.b.spelled)
         self.kept: dict[str, tuple[str, bytes, int] | None] = {}
+        self.names = [str(i) for i in range(1 + max(max(self.a.spelled), max(self.b.spelled)))]
 
     def _results(self, units: list[str]) -> Iterator[tuple[str, bytes, int] | None]:
         """Units encoded as one text and cut apart where they end. If they do not come apart, None alone."""
@@ -178,7 +191,7 @@ class Aligner:
         if not (group_ends[np.minimum(at, len(ends) - 1)] == unit_ends).all():
             yield None
             return
-        names_a, names_b, groups, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
+        names_a, names_b, groups, i, j = [self.names[x] for x in a], [self.names[x] for x in b], [], 0, 0
         for x, y in ends:
             groups.append(f"{names_a[i]}|{names_b[j]}" if x - i == 1 == y - j else f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
             i, j = x, y
