@@ -1,6 +1,8 @@
-"""Facts of source files: strings, variables of the environment, calls, imports, settings and assignments, line by line.
+"""Facts of source files: strings, variables of the environment, calls, imports, settings and assignments.
 
-One function for all languages: it knows strings, comments and brackets, not grammars. `parser` says so.
+What stands on one line is read line by line, for all languages. What nests, calls and their arguments, annotations, base
+types and look-ups of the environment, is read by `intervals` for the languages it knows, whatever the lines between; for
+other files by line, a call going on to its closing bracket.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwake.functions.messaging import METHODS
+from sparkwake.operators import intervals
 
 SCHEMA = "repo_id string, service string, path string, ordinal int, line int, kind string, name string, value string, default string"
-PARSER = "lines"
+#: How files are read, by language.
+PARSERS = ("intervals", "lines")
 #: Ends of names and names of files that are not read.
 SKIP_SUFFIXES = (
     ".min.js", ".min.css", ".map", ".lock", "-lock.json", "-lock.yaml", ".sum", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".webp", ".bmp", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".pdf", ".zip", ".gz", ".tgz",
@@ -39,27 +43,22 @@ ASSIGN = re.compile(r"""(?:^|[\s({;,])([A-Za-z_$][\w$]*)\s*(?::\s*[\w<>\[\]]+\s*
 IMPORT = re.compile(r"""^\s*(?:import\s+(?:[\w*{},\s]+\s+from\s+)?["']([^"']+)["']|import\s+(?:static\s+)?([\w.]+)|from\s+([\w.]+)\s+import|using\s+([\w.]+)\s*;|use\s+([\w\\]+)|(?:const|let|var).*require\(\s*["']([^"']+)["']\s*\)|(?:[\w.]+\s+)?"((?:[\w.-]+/)+[\w.-]+)"\s*$)""")
 SETTING = re.compile(r"""^\s*-?\s*["']?([@A-Za-z_][\w.\-/@\[\]]*)["']?\s*[:=]\s*["']?([^"'#{\[]+?)["']?\s*,?\s*$""")
 NAMES = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*")
-#: Lines over which a call may go on.
-GOES_ON = 6
 COMMENT = re.compile(r"^\s*(?://|#(?!\[)|\*|/\*|--|<!--)")
 
 
-def balanced(text: str, at: int) -> str:
-    """What stands between the bracket that has just opened before `at` and its end, or the end of the line."""
-    depth, quote = 1, ""
-    for k in range(at, len(text)):
-        c = text[k]
-        if quote:
-            quote = "" if c == quote and text[k - 1] != "\\" else quote
-        elif c in "\"'`":
-            quote = c
-        elif c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if not depth:
-                return text[at:k]
-    return text[at:]
+BRACKETS = re.compile(r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`|[()\[\]{}]""")
+OPENS = {"(": ")", "[": "]", "{": "}"}
+
+
+def closings(text: str) -> dict[int, int]:
+    """Where each bracket that opens is closed; strings hold none. A bracket that none of its kind closes has no entry."""
+    ends, open_ = {}, []
+    for m in BRACKETS.finditer(text):
+        if m[0] in OPENS:
+            open_.append((OPENS[m[0]], m.start()))
+        elif len(m[0]) == 1 and open_ and open_[-1][0] == m[0]:
+            ends[open_.pop()[1]] = m.start()
+    return ends
 
 
 def is_read(path: Column) -> Column:
@@ -73,17 +72,15 @@ def literals(text: str) -> list[str]:
     return [next(g for g in m.groups() if g is not None) for m in STRING.finditer(text)]
 
 
-def calls(line: str, after: list[str]) -> Iterator[tuple[str, str | None, str | None, str | None]]:
-    """(kind, name, value, default) of a line's calls; `after`: the lines on which they may go on."""
+def calls(text: str, line: str, begins: int, ends: dict[int, int]) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+    """(kind, name, value, default) of the calls of a line, which begins there in the text; an unclosed one ends with the line."""
     for m in CALL.finditer(line):
-        name, inside = m[1], balanced(line, m.end())
-        if len(inside) == len(line) - m.end() and after:
-            inside = balanced("\n".join([line, *after]), m.end())
+        name, inside = m[1], text[begins + m.end() : ends.get(begins + m.end() - 1, begins + len(line))]
         method = re.sub(r"<.*", "", name).rsplit(".", 1)[-1].rsplit("::", 1)[-1].lower()
         for k, value in enumerate(literals(inside)):
             yield "call", name, value, str(k)
         if method in METHODS:
-            yield from (("call_name", name, x, None) for x in NAMES.findall(re.sub(r"\w+\s*=(?!=)", "", STRING.sub("", inside)))[:8])
+            yield from (("call_name", name, x, None) for x in NAMES.findall(re.sub(r"\w+\s*=(?!=)", "", STRING.sub("", inside))))
             if generic := re.search(r"<\s*(\w+)", name):
                 yield "event_type", "consumer" if "subscri" in method else "producer", generic[1], None
         if re.search(r"(?:Client|Stub|Server|to_server)$", name.split("<")[0]):
@@ -106,8 +103,10 @@ def facts(path: str, text: str) -> Iterator[tuple[int, str, str | None, str | No
         for m in re.finditer(r"(?m)^\s*service\s+(\w+)\s*\{", text):
             yield text.count("\n", 0, m.start(1)) + 1, "proto", m[1], package[1] if package else None, None
         return
-    lines = text.splitlines()
+    nested = path.rpartition(".")[2].lower() in intervals.LANGUAGES
+    lines, at, ends = text.split("\n"), 0, {} if nested else closings(text)
     for n, line in enumerate(lines, 1):
+        begins, at = at, at + len(line) + 1
         if COMMENT.match(line):
             continue
         values = literals(line)
@@ -116,20 +115,19 @@ def facts(path: str, text: str) -> Iterator[tuple[int, str, str | None, str | No
         if language in ("yaml", "properties", "json", "env", "toml", "conf") or "://" in line:
             for m in re.finditer(r"[A-Za-z][A-Za-z0-9+.:-]*://[^\s\"'`<>;,)]+", STRING.sub("", line)):
                 yield n, "string", None, m[0], None
-        for m in ENV.finditer(line):
+        for m in () if nested else ENV.finditer(line):
             tail = DEFAULT.match(line[m.end() :])
             yield n, "env", next(g for g in m.groups() if g), None, tail[1] if tail else None
         for m in INNER.finditer(line):
             if m[1].isupper():
                 yield n, "env", m[1], None, m[2]
-        yield from ((n, *c) for c in calls(line, lines[n : n + GOES_ON]))
+        if not nested and "(" in line:
+            yield from ((n, *c) for c in calls(text, line, begins, ends))
         if m := IMPORT.match(line):
             yield n, "import", next(g for g in m.groups() if g), None, None
-        for m in re.finditer(r"@([A-Z]\w+)\s*\(([^)]*)\)", line):
+        for m in () if nested else re.finditer(r"@([A-Z]\w+)\s*\(([^)]*)\)", line):
             yield from ((n, "annotation", m[1], value, None) for value in literals(m[2]))
             yield from ((n, "annotation_name", m[1], x, None) for x in NAMES.findall(re.sub(r"\w+\s*=(?!=)", "", STRING.sub("", m[2]))))
-        for m in re.finditer(r"I\w*EventHandler<(\w+)>", line):
-            yield n, "event_type", "consumer", m[1], None
         if values and (m := ASSIGN.search(line)):
             yield n, "assign", m[1], values[-1], None
         if language == "toml" and (m := re.match(r"\s*([\w-]+)\s*=\s*\{[^}]*path\s*=", line)):
@@ -139,14 +137,16 @@ def facts(path: str, text: str) -> Iterator[tuple[int, str, str | None, str | No
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files (repo_id, service, path, text) -> facts, in the order of the text."""
+    """files (repo_id, service, path, text) -> facts; ordinals follow the lines, and within one the text."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(r.repo_id, r.service, r.path, k, *f) for r in part.itertuples() for k, f in enumerate(facts(r.path, r.text))]
             yield pd.DataFrame(rows, columns=["repo_id", "service", "path", "ordinal", "line", "kind", "name", "value", "default"])
 
-    return files.where(is_read(F.col("path"))).select("repo_id", "service", "path", "text").mapInPandas(run, SCHEMA)
+    read = files.where(is_read(F.col("path"))).select("repo_id", "service", "path", "text")
+    both = read.mapInPandas(run, SCHEMA).unionByName(intervals.facts(read, tuple(METHODS)))
+    return both.withColumn("ordinal", (F.least("line", F.lit(2_000_000)) * 1000 + F.pmod("ordinal", F.lit(1000))).cast("int"))
 
 
 def mapping_stats(files: DataFrame, owned: DataFrame) -> DataFrame:

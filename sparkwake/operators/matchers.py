@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.functions import scalars as S
-from sparkwake.functions.messaging import DECLARES, LISTENERS, RECEIVES, SENDERS, SENDS
+from sparkwake.functions.messaging import DECLARES, HANDLERS, LISTENERS, NO_HANDLERS, RECEIVE_TYPES, RECEIVES, SEND_TYPES, SENDERS, SENDS, SPEAKERS, TOPIC_KEYS
 from sparkwake.operators import resolve
 from sparkwake.functions.labels import type_order
 from sparkwake.operators.edges import DATABASE, EVENT, GRPC, IMPORT
@@ -93,20 +93,28 @@ def grpc(facts: DataFrame, ctx: Context) -> DataFrame:
 
 def mentions(facts: DataFrame) -> DataFrame:
     """Topics: repo_id, topic_key, service, role, path, line, ordinal. A name in the place of a literal stands for the
-    values bound to it in the same service; a typed event's topic is its type."""
-    method, receiver = S.callee_method(F.col("name")), S.callee_receiver(F.col("name"))
+    values bound to it in the same service; a typed event's topic is its type, and a handler's base type names what it
+    consumes. In a literal among the arguments, values of topic keys count, and those of a list."""
+    callee = F.element_at(F.split("name", "#"), 1)
+    method, receiver = S.callee_method(callee), S.callee_receiver(callee)
+    last_key = F.when(F.contains("name", F.lit("#")), F.element_at(F.split(F.element_at(F.split("name", "#"), -1), r"\."), -1))
     send = F.coalesce(receiver, F.lit("")).rlike("|".join(SENDERS)) & method.isin("send", "sendasync", "emit", "writemessages")
-    listens = F.col("kind").isin("annotation", "annotation_name") & F.col("name").isin(*LISTENERS)
-    called = F.col("kind").isin("call", "call_name")
-    role = F.when(listens, "consumer").when(called & (method.isin(*SENDS) | send), "producer").when(called & method.isin(*RECEIVES), "consumer").when(called & method.isin(*DECLARES), "unknown")
+    noted = F.col("kind").isin("annotation", "annotation_name")
+    short = F.element_at(F.split("name", r"\."), -1)
+    called = F.col("kind").isin("call", "call_name", "call_key")
+    made = called & (F.col("kind") != "call_name")
+    role = F.when(noted & short.isin(*LISTENERS), "consumer").when(noted & short.isin(*SPEAKERS), "producer").when(made & callee.rlike(SEND_TYPES), "producer").when(made & callee.rlike(RECEIVE_TYPES), "consumer").when(called & (method.isin(*SENDS) | send), "producer").when(called & method.isin(*RECEIVES), "consumer").when(called & method.isin(*DECLARES), "unknown")
     columns = ["repo_id", "topic_key", "service", "role", "path", "line", "ordinal"]
     own = facts.withColumn("role", role).where(F.col("role").isNotNull() & F.col("value").isNotNull())
-    literal = own.where(F.col("kind").isin("call", "annotation") & F.coalesce(F.col("default"), F.lit("0")).isin("0", "1")).withColumnRenamed("value", "topic_key")
+    topical = (F.col("kind") != "call_key") | last_key.isNull() | last_key.rlike(TOPIC_KEYS)
+    literal = own.where(F.col("kind").isin("call", "annotation", "call_key") & topical).withColumnRenamed("value", "topic_key")
     bound = resolve.symbols(facts.where(F.col("kind") == "assign").select("repo_id", "service", "name", "value", "ordinal"))
     named = own.where(F.col("kind").isin("call_name", "annotation_name")).withColumnRenamed("value", "expression").drop("name")
     through = resolve.look_up_symbols(named, bound).withColumnRenamed("value", "topic_key")
     typed = facts.where(F.col("kind") == "event_type").select("repo_id", F.col("value").alias("topic_key"), "service", F.col("name").alias("role"), "path", "line", "ordinal")
-    return literal.select(*columns).unionByName(through.select(*columns)).unionByName(typed).where(S.is_topic_key(F.col("topic_key")))
+    handles = (F.col("kind") == "extends") & F.col("name").rlike(HANDLERS) & ~F.col("name").rlike(NO_HANDLERS) & F.col("value").isNotNull()
+    handled = facts.where(handles).select("repo_id", F.col("value").alias("topic_key"), "service", F.lit("consumer").alias("role"), "path", "line", "ordinal")
+    return literal.select(*columns).unionByName(through.select(*columns)).unionByName(typed).unionByName(handled).where(S.is_topic_key(F.col("topic_key")))
 
 
 def event(facts: DataFrame, ctx: Context) -> DataFrame:
