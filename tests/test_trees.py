@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from sparkwake.functions.labels import confidence_label, type_label
 from sparkwake.functions.scalars import glob_pattern, jaro_winkler
-from sparkwake.operators.discover import Tree, attempts, kubernetes
-from sparkwake.operators.environment import declared
+from sparkwake.operators.discover import attempts, discover
 from sparkwake.operators.extract import facts, is_read
 from sparkwake.operators.review import evidence, links
 from sparkwake.operators.runtime_join import match_names
+from sparkwake.operators.workloads import Manifests
 from sparkwake.plans.analyze import analyze, with_runtime
 from sparkwake.sources.files import compose_env, dotenv, interpolate
 
@@ -69,13 +69,17 @@ def test_files_read(spark):
     assert list(facts("a/x.proto", "package a.b;\n\nservice Mailer {\n}\nservice Two {}\n")) == [(3, "proto", "Mailer", "a.b", None), (5, "proto", "Two", "a.b", None)]
 
 
-def test_workloads():
+def test_workloads(spark):
     pod = "spec:\n      containers:\n      - image: x/{0}:1\n"
     job = "kind: Job\nmetadata:\n  name: once\nspec:\n  template:\n    " + pod.format("once")
     cron = "kind: CronJob\nmetadata:\n  name: nightly\nspec:\n  jobTemplate:\n    spec:\n      template:\n        spec:\n          containers:\n          - image: x/nightly:1\n            env:\n            - name: A\n              value: b\n"
-    found = kubernetes(Tree([], {"k.yaml": job + "---\n" + cron, "docker-compose.yml": job.replace("once", "twice")}))
-    assert [(s["name"], s["image"], s["detail"]) for s in found] == [("once", "x/once:1", "kind: Job"), ("nightly", "x/nightly:1", "kind: CronJob")]
-    assert [d[:3] for d in declared("k.yaml", cron)] == [("nightly", "A", "b")]
+    both = {"k.yaml": job + "---\n" + cron, "docker-compose.yml": job.replace("once", "twice"), "svc.yaml": "kind: Service\nmetadata: {name: once}\n", "other.yaml": "a: [1"}
+    texts = spark.createDataFrame([("r", p, t) for p, t in both.items()], "repo_id string, path string, text string")
+    found = discover(texts.select("repo_id", "path"), texts).orderBy("name").collect()
+    assert [(s["name"], s["image"], s["detail"], s["strategy"]) for s in found] == [("nightly", "x/nightly:1", "kind: CronJob", "kubernetes"), ("once", "x/once:1", "kind: Job", "kubernetes")]
+    assert [(r["service"], r["variable"], r["value"]) for r in Manifests(texts).environment().collect()] == [("nightly", "A", "b")]
+    none = texts.limit(0)
+    assert discover(none.select("repo_id", "path"), none).count() == 0 and Manifests(none).environment().count() == 0
 
 
 def test_evidence_of_its_own_repository(spark):
