@@ -137,6 +137,25 @@ def test_neighbours_of_none_and_of_huge_components(spark):
     assert search([(0, [3e-200, 0.0]), (1, [1e-200, 0.0]), (2, [1.0, 0.0])]) == {(0, 1): (1, pytest.approx(2e-200)), (0, 2): (2, 1.0)}
 
 
+@pytest.mark.parametrize("heaps", [20_000, 1])
+def test_neighbours_of_repeated_rows(spark, tmp_path, monkeypatch, heaps):
+    """Each query row has its ten; repeated candidates count each; SQL says the same."""
+    import duckdb
+
+    monkeypatch.setattr(ann, "HEAPS", heaps)
+    data = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (0, [5.0, 1.0]), (100, [9.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(1, 21)] + [(7, [7.0, 1.0]), (8, [0.5, 1.0])]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    want = Counter()
+    for q, v in data:
+        if q % 100 == 0:
+            want.update((q, k, i, d) for k, (d, i) in enumerate(sorted((abs(v[0] - w[0]), i) for i, w in data if i != q)[:10], 1))
+    got = QUERIES["op4_nearest_neighbours"](spark, f"file://{tmp_path}")
+    assert Counter(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want and len(list(want.elements())) == 40
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert Counter(con.execute(ORACLE_SQL["op4_nearest_neighbours"]).fetchall()) == want
+
+
 def test_licenses(spark, sf_dir):
     by = {r["doc_id"]: r for r in rows(spark, "op5_license_scans", sf_dir)}
     assert (by[7]["n_base"], by[7]["first_word"], by[7]["base_labels"], by[7]["labels"], by[7]["score"]) == (1, 3, "mit", "mit,mit-notice", 1.0)
