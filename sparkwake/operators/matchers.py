@@ -58,7 +58,7 @@ def _type(ctx: Context, rows: DataFrame, text: str) -> DataFrame:
 def http(facts: DataFrame, ctx: Context) -> DataFrame:
     """URLs and host:port (static), plain names of datastores and brokers, and variables of the environment that hold an
     address: by value or default static, by name uncertain."""
-    texts = facts.where(F.col("kind").isin("string", "template", "setting", "assign") & F.col("value").isNotNull())
+    texts = facts.where(F.col("kind").isin("string", "setting", "assign") & F.col("value").isNotNull())
     strict = F.coalesce(S.url_host(F.col("value")), S.host_of_pair(F.col("value")), S.ado_host(F.col("value")))
     host_key = F.regexp_extract("name", r"([^.\[]+)(?:\[[^\]]*\])?$", 1)
     is_host = (F.col("kind") == "setting") & (F.lower(host_key).isin(*HOST_WORDS) | S.is_hostish(F.col("name"))) & S.is_hostname(F.col("value"))
@@ -72,7 +72,36 @@ def http(facts: DataFrame, ctx: Context) -> DataFrame:
     valued = resolve.variables(refs, ctx.env_own, ctx.env_shared, ctx.keys, host_of(F.col("text")))
     typed = _type(ctx, valued.withColumn("shown", F.coalesce("value", "default", "variable")), "shown")
     by_env = _shape(typed, F.col("type_ord"), F.col("conf_rank"), F.concat_ws("=", "variable", F.coalesce("value", "default")))
-    return by_text.unionByName(by_name).unionByName(by_env)
+    return by_text.unionByName(by_name).unionByName(by_env).unionByName(_templates(facts, ctx)).unionByName(_feign(facts, ctx))
+
+
+def _templates(facts: DataFrame, ctx: Context) -> DataFrame:
+    """Texts with variables in them, part by part: the first that finds a service counts. A literal's host must be whole: more
+    follows it in the literal, or nothing in the text. A variable finds one by its value or default (static), else by its
+    name (uncertain). An argument of a call counts if it has a scheme, other texts also if a variable is named as an address."""
+    key = ("repo_id", "service", "path", "line", "ordinal", "whole")
+    rows = facts.where(F.col("kind").isin("template", "call_template") & F.col("value").isNotNull()).withColumn("parts", S.template_parts(F.col("value")))
+    scheme = F.exists("parts", lambda p: ~p["is_var"] & F.contains(p["text"], F.lit("://")))
+    named = F.exists("parts", lambda p: p["is_var"] & F.coalesce(S.is_hostish(S.env_name(p["text"])), F.lit(False)))
+    told = rows.where(scheme | ((F.col("kind") == "template") & named)).withColumnsRenamed({"value": "whole"})
+    parts = told.select(*key, F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "p")).select(*key, "n", "pos", "p.is_var", F.col("p.text").alias("part"))
+    refs = parts.where("is_var").select(*key, "pos", F.coalesce(S.env_name(F.col("part")), F.col("part")).alias("variable"), S.env_default(F.col("part")).alias("default"))
+    valued = resolve.variables(refs, ctx.env_own, ctx.env_shared, ctx.keys, host_of(F.col("text"))).withColumn("shown", F.coalesce("value", "default", "variable"))
+    host = S.url_host(F.col("part"))
+    rest = F.regexp_replace("part", r"^.*?://", "")
+    complete = (F.length(rest) > F.length(host)) | (F.col("pos") + 1 == F.col("n"))
+    literal = parts.where(~F.col("is_var")).withColumn("host", F.when(complete, host)).where(F.col("host").isNotNull()).withColumn("conf_rank", F.lit(2)).withColumn("shown", F.col("part"))
+    columns = [*key, "pos", "target", "conf_rank", "shown"]
+    each = _type(ctx, valued.select(*columns).unionByName(resolve.hosts(literal, ctx.keys).select(*columns)), "shown")
+    best = resolve.templates(each.select(*columns, "type_ord"), key, ("type_ord",))
+    return _shape(best, F.col("type_ord"), F.col("conf_rank"), F.col("whole"))
+
+
+def _feign(facts: DataFrame, ctx: Context) -> DataFrame:
+    """Services that a client's annotation names, by URL or name (static)."""
+    said = facts.where((F.col("kind") == "annotation") & F.col("name").rlike(r"FeignClient$")).drop("kind").withColumn("host", F.coalesce(S.url_host(F.col("value")), F.lower("value")))
+    found = _type(ctx, resolve.hosts(said, ctx.keys), "value")
+    return _shape(found, F.col("type_ord"), F.lit(2), F.concat(F.lit("@FeignClient "), F.col("value")))
 
 
 def grpc(facts: DataFrame, ctx: Context) -> DataFrame:

@@ -60,9 +60,10 @@ def variables(refs: DataFrame, own: DataFrame, shared: DataFrame, keys: DataFram
     return valued.withColumn("target", F.coalesce("configured", "fallback", "named")).withColumn("conf_rank", rank).drop("configured", "fallback", "named")
 
 
-def templates(parts: DataFrame) -> DataFrame:
-    """parts (repo_id, id, pos, target, conf_rank): of each template the first part that found a service."""
-    return parts.where(F.col("target").isNotNull()).groupBy("repo_id", "id").agg(F.min_by(F.struct("target", "conf_rank"), "pos").alias("best")).select("repo_id", "id", "best.target", "best.conf_rank")
+def templates(parts: DataFrame, keys: tuple[str, ...] = ("repo_id", "id"), more: tuple[str, ...] = ()) -> DataFrame:
+    """parts (keys, pos, target, conf_rank, more): of each template the first part that found a service."""
+    best = F.min_by(F.struct("target", "conf_rank", *more), "pos").alias("best")
+    return parts.where(F.col("target").isNotNull()).groupBy(*keys).agg(best).select(*keys, "best.*")
 
 
 def proto_owners(registrations: DataFrame, protos: DataFrame, services: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ FROM (SELECT c_custkey, c_custkey AS k FROM {customer} UNION ALL SELECT c_custke
 SELECT 'repo-0' AS repo_id, CASE WHEN user_id % 10 < 5 THEN 'svc-' || CAST(2 * (user_id % 10) AS STRING) ELSE 'ext' || CAST(user_id % 50 AS STRING) END AS client,
   CASE WHEN callee % 10 < 5 THEN 'svc-' || CAST(2 * (callee % 10) AS STRING) ELSE 'ext' || CAST(callee % 50 AS STRING) END AS server,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 7 END AS calls, CASE event_id % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'grpc' WHEN 2 THEN 'event' WHEN 3 THEN 'database' ELSE 'unknown' END AS kind, event_id AS ordinal
-FROM (SELECT *, lead(user_id) OVER (ORDER BY event_id) AS callee FROM {events}) x WHERE callee IS NOT NULL""",
+FROM (SELECT a.*, b.user_id AS callee FROM {events} a JOIN {events} b ON b.event_id = a.event_id + 1) x""",
     "d_changes": """
 SELECT CAST(o_orderkey AS STRING) AS change_id, concat('repo-', CAST(l_suppkey % 2 AS STRING)) AS repo_id,
   CASE WHEN l_linenumber % 6 = 5 THEN concat('docs/f', CAST(l_linenumber AS STRING)) ELSE concat('./region_', CAST(n_regionkey AS STRING), '/nation_', CAST(s_nationkey AS STRING), '/svc_', CAST(s_suppkey AS STRING), '/src/f', CAST(l_linenumber AS STRING)) END AS file, l_linenumber AS pos
