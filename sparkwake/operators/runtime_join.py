@@ -45,27 +45,46 @@ def resolved(calls: DataFrame, mapping: DataFrame) -> DataFrame:
     return calls.join(side("client", "source"), ["repo_id", "client"], "left").join(side("server", "target"), ["repo_id", "server"], "left")
 
 
-def merge(edges: DataFrame, calls: DataFrame, source: str = "otel", method: str = "otel servicegraph") -> DataFrame:
-    """edges (repo_id, source, target, type_ord, conf_rank), calls as of resolved() -> edges with calls, observed and
-    evidence of the run. A call confirms every edge of its pair that it is compatible with, else it makes one, typed by
-    the pair's first call. One full outer join on (repo, pair, class)."""
+#: A piece of evidence.
+EVIDENCE = "array<struct<file:string,line:int,detail:string>>"
+
+
+def merge(edges: DataFrame, calls: DataFrame, source: str = "otel", method: str = "otel servicegraph", read_from: str = "runtime") -> DataFrame:
+    """edges (repo_id, source, target, type_ord, conf_rank; of an earlier run also calls, observed, evidence), calls as of
+    resolved() -> edges after the run, their other columns as they are. A call confirms every edge of its pair that it is
+    compatible with, else it makes one, typed by the pair's first call; a later run confirms that one. Calls add up, and the
+    run's evidence (file read_from, no line) stands first, or stays where an earlier run of that name has put it, with the new
+    total. confirms: how many calls confirmed an edge that was there. One full outer join on (repo, pair, class)."""
+    kept = [c for c in edges.columns if c not in ("repo_id", "source", "target", "type_ord", "conf_rank", "calls", "observed", "evidence", "detail", "runtime_only", "confirms")]
+    before = {"calls": "bigint", "observed": "string", "evidence": EVIDENCE}
+    known = edges.select("repo_id", "source", "target", "type_ord", "conf_rank", *kept, *[(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(f"old_{c}") for c, t in before.items()])
     own = calls.where(F.col("source").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target")))
-    sums = own.groupBy("repo_id", "source", "target", call_class(F.col("kind")).alias("class")).agg(F.sum("calls").alias("calls"), F.min_by("kind", "first_seen").alias("kind"))
+    sums = own.groupBy("repo_id", "source", "target", call_class(F.col("kind")).alias("class")).agg(F.sum("calls").alias("more"), F.min_by("kind", "first_seen").alias("kind"), F.count("*").alias("n"))
     classes = F.when(F.col("type_ord").isin(0, 2), F.lit("call")).when(F.col("type_ord") == 1, F.lit("event")).when(F.col("type_ord") == 3, F.lit("database"))
-    both = edges.withColumn("class", F.coalesce(classes, F.lit("import"))).join(sums.withColumn("seen", F.lit(True)), ["repo_id", "source", "target", "class"], "full_outer")
-    seen = F.col("seen").isNotNull()
+    both = known.withColumn("class", F.coalesce(classes, F.lit("import"))).join(sums, ["repo_id", "source", "target", "class"], "full_outer")
+    seen, total = F.col("n").isNotNull(), F.coalesce(F.col("old_calls") + F.col("more"), F.col("old_calls"), F.col("more"))
+    detail = F.when(seen, calls_detail(total, F.lit(method)))
+    held = F.coalesce("old_evidence", F.array().cast(EVIDENCE))
+    own_piece = lambda e: (e["file"] == read_from) & e["line"].isNull()
+    piece = F.struct(F.lit(read_from).alias("file"), F.lit(None).cast("int").alias("line"), detail.alias("detail"))
+    put = F.when(F.exists(held, own_piece), F.transform(held, lambda e: F.when(own_piece(e), piece).otherwise(e))).otherwise(F.concat(F.array(piece), held))
+    there = F.col("type_ord").isNotNull()
     return both.select(
-        "repo_id", "source", "target", F.coalesce("type_ord", type_order(call_edge_type(F.col("kind")))).alias("type_ord"), F.when(seen, 3).otherwise(F.col("conf_rank")).alias("conf_rank"),
-        "calls", F.when(seen, F.lit(source)).alias("observed"), F.when(seen, calls_detail(F.col("calls"), F.lit(method))).alias("detail"), (seen & F.col("type_ord").isNull()).alias("runtime_only"),
+        "repo_id", "source", "target", F.coalesce("type_ord", type_order(call_edge_type(F.col("kind")))).alias("type_ord"), F.when(seen, 3).otherwise(F.col("conf_rank")).alias("conf_rank"), *kept,
+        F.when(seen, total).otherwise(F.col("old_calls")).alias("calls"), F.when(seen, F.lit(source)).otherwise(F.col("old_observed")).alias("observed"), detail.alias("detail"),
+        F.when(seen, put).otherwise(F.col("old_evidence")).alias("evidence"), (seen & ~there).alias("runtime_only"), F.when(seen & there, F.col("n")).otherwise(0).alias("confirms"),
     )
 
 
 def counts(merged: DataFrame, calls: DataFrame, mapping: DataFrame) -> DataFrame:
-    """One row a repository: names, matched names, observed edges, edges that only production knows, calls skipped."""
+    """One row a repository: names, matched names, observed edges, edges that only production knows, calls skipped, calls that
+    confirmed an edge. A call that confirms several edges of its class counts once."""
     names = mapping.groupBy("repo_id").agg(F.count("*").alias("runtime"), F.count("service").alias("matched"), F.count_if(F.col("how") == "unmatched").alias("unmatched"))
     own = merged.groupBy("repo_id").agg(F.count("observed").alias("observed"), F.count_if("runtime_only").alias("runtime_only"))
     skipped = calls.groupBy("repo_id").agg(F.count_if(F.col("source").isNull() | F.col("target").isNull()).alias("skipped"))
-    return names.join(own, "repo_id", "left").join(skipped, "repo_id", "left")
+    once = merged.groupBy("repo_id", "source", "target", F.when(F.col("type_ord").isin(0, 2), 0).otherwise(F.col("type_ord")).alias("class")).agg(F.max("confirms").alias("n"))
+    confirmed = once.groupBy("repo_id").agg(F.sum("n").alias("confirmed"))
+    return names.join(own, "repo_id", "left").join(skipped, "repo_id", "left").join(confirmed, "repo_id", "left")
 
 
 def warnings(mapping: DataFrame) -> DataFrame:

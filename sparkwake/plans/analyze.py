@@ -72,7 +72,6 @@ def with_runtime(analysis: Analysis, spark: SparkSession, repo_id: str, path: st
     mapping = runtime_join.match_names(names, analysis.services, mapped, ignored)
     calls = runtime_join.resolved(runtime_calls.record(rows, ("repo_id",)), mapping)
     source, method = ("datadog", "datadog service_dependencies") if how == "datadog" else ("otel", "otel servicegraph" if how == "prometheus" else "otlp spans")
-    merged = runtime_join.merge(analysis.edges.select("repo_id", "source", "target", "type_ord", "conf_rank"), calls, source, method)
-    kept = analysis.edges.select("repo_id", "source", "target", "type_ord", "n_evidence", "evidence", "db_key")
-    edges = merged.join(kept, ["repo_id", "source", "target", "type_ord"], "left")
+    merged = stored(runtime_join.merge(analysis.edges, calls, source, method, path), "edges")
+    edges = merged.drop("confirms")
     return Analysis(analysis.services, edges, analysis.stats), mapping, runtime_join.counts(merged, calls, mapping)

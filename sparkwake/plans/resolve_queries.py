@@ -245,8 +245,8 @@ def jn_15(spark: SparkSession, sf_dir: str) -> DataFrame:
 MERGE = f"""{FOLDED},
 rec AS (SELECT repo_id, client, server, sum(calls) AS calls, coalesce(arg_min(kind, ordinal) FILTER (kind <> 'unknown'), 'unknown') AS kind, min(ordinal) AS first_seen FROM {{d_runtime}} GROUP BY 1, 2, 3),
 known AS (SELECT r.*, s.name AS source, t.name AS target FROM rec r LEFT JOIN {{d_services}} s ON s.repo_id = r.repo_id AND s.name = r.client LEFT JOIN {{d_services}} t ON t.repo_id = r.repo_id AND t.name = r.server),
-sums AS (SELECT repo_id, source, target, CASE WHEN kind IN ('event', 'database') THEN kind ELSE 'call' END AS class, sum(calls) AS calls, arg_min(kind, first_seen) AS kind FROM known WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target GROUP BY 1, 2, 3, 4),
-joined AS (SELECT coalesce(e.repo_id, s.repo_id) AS repo_id, coalesce(e.source, s.source) AS source, coalesce(e.target, s.target) AS target, coalesce(e.type_ord, CASE s.kind WHEN 'grpc' THEN 2 WHEN 'event' THEN 1 WHEN 'database' THEN 3 ELSE 0 END) AS type_ord, CASE WHEN s.repo_id IS NOT NULL THEN 3 ELSE e.conf_rank END AS conf_rank, s.calls, s.repo_id IS NOT NULL AS seen, e.repo_id IS NULL AS runtime_only
+sums AS (SELECT repo_id, source, target, CASE WHEN kind IN ('event', 'database') THEN kind ELSE 'call' END AS class, sum(calls) AS calls, arg_min(kind, first_seen) AS kind, count(*) AS n FROM known WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target GROUP BY 1, 2, 3, 4),
+joined AS (SELECT coalesce(e.repo_id, s.repo_id) AS repo_id, coalesce(e.source, s.source) AS source, coalesce(e.target, s.target) AS target, coalesce(e.type_ord, CASE s.kind WHEN 'grpc' THEN 2 WHEN 'event' THEN 1 WHEN 'database' THEN 3 ELSE 0 END) AS type_ord, CASE WHEN s.repo_id IS NOT NULL THEN 3 ELSE e.conf_rank END AS conf_rank, s.calls, s.repo_id IS NOT NULL AS seen, e.repo_id IS NULL AS runtime_only, CASE WHEN e.repo_id IS NOT NULL THEN s.n END AS confirms, e.n_evidence, e.evidence
   FROM (SELECT *, CASE WHEN type_ord IN (0, 2) THEN 'call' WHEN type_ord = 1 THEN 'event' WHEN type_ord = 3 THEN 'database' ELSE 'import' END AS class FROM edges) e FULL JOIN sums s ON s.repo_id = e.repo_id AND s.source = e.source AND s.target = e.target AND s.class = e.class)"""
 
 
@@ -264,7 +264,18 @@ def jn_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("repo_id", "source", "target", type_label(F.col("type_ord")).alias("type"), confidence_label(F.col("conf_rank")).alias("confidence"), "calls", "detail", "runtime_only")
 
 
-@query("AG_17_runtime_summary", f"WITH {MERGE}, n AS (SELECT DISTINCT repo_id, x FROM (SELECT repo_id, client AS x FROM {{d_runtime}} UNION SELECT repo_id, server FROM {{d_runtime}})) SELECT repo_id, (SELECT count(*) FROM n) AS runtime, (SELECT count(*) FROM n JOIN {{d_services}} s ON s.repo_id = n.repo_id AND s.name = n.x) AS matched, (SELECT count(*) FROM n WHERE x NOT IN (SELECT name FROM {{d_services}} WHERE repo_id = 'repo-0')) AS unmatched, count(*) FILTER (seen) AS observed, count(*) FILTER (runtime_only) AS runtime_only, (SELECT count(*) FROM known WHERE source IS NULL OR target IS NULL) AS skipped FROM joined WHERE repo_id = 'repo-0' GROUP BY 1")
+@query("JN_16_evidence", f"WITH {MERGE} SELECT repo_id, source, target, {TYPE} AS type, calls, CASE WHEN seen THEN 'calls.prom: ' || coalesce(CAST(calls AS VARCHAR) || ' calls', 'observed') || ' (otel servicegraph)' END AS first_piece, least(coalesce(n_evidence, 0), 25) + CASE WHEN seen THEN 1 ELSE 0 END AS pieces, evidence AS others FROM joined")
+def jn_16_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, _ = _resolved(spark, sf_dir)
+    out = runtime_join.merge(merged(spark, sf_dir), calls, read_from="calls.prom")
+    first = F.get("evidence", F.lit(0))
+    files = F.filter("evidence", lambda e: e["line"].isNotNull())
+    others = F.nullif(F.array_join(F.transform(files, lambda e: F.concat_ws(":", e["file"], e["line"])), ","), F.lit(""))
+    piece = F.when(first["line"].isNull(), F.concat_ws(": ", first["file"], first["detail"]))
+    return out.select("repo_id", "source", "target", type_label(F.col("type_ord")).alias("type"), "calls", piece.alias("first_piece"), F.size("evidence").cast("long").alias("pieces"), others.alias("others"))
+
+
+@query("AG_17_runtime_summary", f"WITH {MERGE}, n AS (SELECT DISTINCT repo_id, x FROM (SELECT repo_id, client AS x FROM {{d_runtime}} UNION SELECT repo_id, server FROM {{d_runtime}})) SELECT repo_id, (SELECT count(*) FROM n) AS runtime, (SELECT count(*) FROM n JOIN {{d_services}} s ON s.repo_id = n.repo_id AND s.name = n.x) AS matched, (SELECT count(*) FROM n WHERE x NOT IN (SELECT name FROM {{d_services}} WHERE repo_id = 'repo-0')) AS unmatched, count(*) FILTER (seen) AS observed, count(*) FILTER (runtime_only) AS runtime_only, (SELECT count(*) FROM known WHERE source IS NULL OR target IS NULL) AS skipped, (SELECT sum(n) FROM (SELECT max(coalesce(confirms, 0)) AS n FROM joined WHERE repo_id = 'repo-0' GROUP BY source, target, CASE WHEN type_ord IN (0, 2) THEN 0 ELSE type_ord END))::BIGINT AS confirmed FROM joined WHERE repo_id = 'repo-0' GROUP BY 1")
 def ag_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, mapping = _resolved(spark, sf_dir)
     out = runtime_join.merge(merged(spark, sf_dir).select("repo_id", "source", "target", "type_ord", "conf_rank"), calls)

@@ -105,7 +105,10 @@ def test_runtime(spark, graph, tmp_path):
     b, mapping, counts = with_runtime(a, spark, "tree", str(scrape))
     assert {r["runtime"]: r["how"] for r in mapping.collect()} == {"shop-api": "normalised", "stock": "exact", "mail": "exact", "who": "unmatched"}
     assert {(r["source"], r["target"]): (r["calls"], r["runtime_only"]) for r in b.edges.where("conf_rank = 3").select("source", "target", "calls", F.col("n_evidence").isNull().alias("runtime_only")).collect()} == {("shop", "stock"): (4, False), ("stock", "mail"): (2, True)}
-    assert tuple(counts.first())[1:] == (4, 3, 1, 2, 1, 1)
+    assert tuple(counts.first())[1:] == (4, 3, 1, 2, 1, 1, 1)  # the last: one call confirmed an edge
+    pieces = {(r["source"], r["target"]): [(e["file"], e["line"], e["detail"]) for e in r["evidence"]] for r in b.edges.where("conf_rank = 3").collect()}
+    assert pieces["shop", "stock"][0] == (str(scrape), None, "4 calls (otel servicegraph)") and len(pieces["shop", "stock"]) == 1 + a.edges.where("source = 'shop' AND target = 'stock' AND type_ord = 0").first()["n_evidence"]
+    assert pieces["stock", "mail"] == [(str(scrape), None, "2 calls (otel servicegraph)")]
     dog = tmp_path / "dog.json"
     dog.write_text(json.dumps({"shop": {"calls": ["stock", 3, ""], "calls_out": ["mail"]}}))
     b, _, counts = with_runtime(a, spark, "tree", str(dog))
