@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwake.functions import scalars as S
@@ -159,13 +159,56 @@ def event(facts: DataFrame, ctx: Context) -> DataFrame:
     return topics.unionByName(_shape(users, F.lit(EVENT), F.lit(1), F.concat(F.lit("imports "), F.col("name"))))
 
 
+#: Last parts of settings' keys that name a database; calls that take the name of one, and those that declare it.
+DATABASE_KEYS = ("database", "dbname", "db", "database-name", "databasename", "database_name", "schema", "catalog", "initial-catalog")
+DECLARES_DATABASE = r"(?i)\.Add(?:Npgsql|SqlServer|MySql|Oracle|MongoDB|Cosmos)\w*(?:DbContext|DataSource|Client)$"
+NAMES_DATABASE = r"(?i)\.GetConnectionString$"
+LITERAL_HOST, LITERAL_DATABASE = r"(?i)^host(?:name)?$", r"(?i)^(?:database|db|dbname)$"
+
+
+def database_uses(facts: DataFrame, ctx: Context) -> DataFrame:
+    """repo_id, service, db_key, declared, path, line, ordinal: databases that files name.
+
+    By a URL or connection string: in a text, a setting, a text whose variables all have values, or a variable's value or
+    default. By a pair: a file's first setting of a host with its first of a database, or a host and a database in one literal
+    among a call's arguments. By a resource's name (declared), or by one that is only looked up (not declared)."""
+    columns = ["repo_id", "service", "db_key", "declared", "path", "line", "ordinal"]
+    key_of = lambda c: F.coalesce(S.database_key(c), F.when(S.ado_host(c).isNotNull(), F.concat_ws("/", S.ado_host(c), S.ado_database(c))))
+    shown = lambda rows, key: rows.withColumn("db_key", key).where(F.col("db_key").isNotNull()).withColumn("declared", F.lit(True)).select(*columns)
+    plain = facts.where(F.col("kind").isin("string", "setting", "assign") & F.col("value").isNotNull())
+    # texts with variables, once all of them have a value
+    at = ["repo_id", "service", "path", "line", "ordinal"]
+    parts = facts.where((F.col("kind") == "template") & F.col("value").isNotNull()).select(*at, F.posexplode(S.template_parts(F.col("value"))).alias("pos", "p"))
+    asked = parts.select(*at, "pos", "p.is_var", "p.text", F.when(F.col("p.is_var"), F.coalesce(S.env_name(F.col("p.text")), F.col("p.text"))).alias("variable"))
+    put = resolve.env_values(asked, ctx.env_own, ctx.env_shared).withColumn("put", F.when(F.col("is_var"), F.coalesce("value", S.env_default(F.col("text")))).otherwise(F.col("text")))
+    whole = put.groupBy(*at).agg(F.count_if(F.col("put").isNull()).alias("open"), F.array_join(F.array_sort(F.collect_list(F.struct("pos", "put")))["put"], "").alias("text")).where(F.col("open") == 0)
+    refs = resolve.env_values(facts.where(F.col("kind") == "env").select(*at, F.col("name").alias("variable"), "default"), ctx.env_own, ctx.env_shared)
+    # pairs of settings: the first host and the first database of a file
+    last = F.lower(F.element_at(F.split("name", r"\."), -1))
+    settings = facts.where((F.col("kind") == "setting") & F.col("value").isNotNull() & key_of(F.col("value")).isNull())
+    is_database = last.isin(*DATABASE_KEYS) & ~F.contains("value", F.lit("$"))
+    is_host = ~is_database & (last.isin(*HOST_WORDS) | F.coalesce(S.is_hostish(F.col("name")), F.lit(False))) & S.is_hostname(F.col("value"))
+    first = lambda when: F.min(F.when(when, F.struct("ordinal", "line", F.lower("value").alias("value"))))
+    paired = settings.groupBy("repo_id", "service", "path").agg(first(is_host).alias("h"), first(is_database).alias("d")).where(F.col("h").isNotNull() & F.col("d").isNotNull())
+    of_files = paired.select("repo_id", "service", "path", "d.line", "d.ordinal", F.concat_ws("/", "h.value", "d.value").alias("key"))
+    # literals: of calls of one name in a file the first host goes with the first database, and so on
+    keyed = facts.where(F.col("kind") == "call_key").withColumn("key", F.element_at(F.split("name", r"[#.]"), -1)).withColumn("within", F.regexp_replace("name", r"[^#.]*$", ""))
+    place = Window.partitionBy("repo_id", "service", "path", "within").orderBy("ordinal")
+    side = lambda pattern, name: keyed.where(F.col("key").rlike(pattern)).withColumn("nth", F.row_number().over(place)).withColumn(name, F.lower("value"))
+    literal = side(LITERAL_DATABASE, "db").join(side(LITERAL_HOST, "host").select("repo_id", "service", "path", "within", "nth", "host"), ["repo_id", "service", "path", "within", "nth"])
+    callee = F.regexp_replace("name", r"<.*?>", "")
+    named = facts.where((F.col("kind") == "call") & (callee.rlike(DECLARES_DATABASE) | callee.rlike(NAMES_DATABASE))).withColumn("declared", callee.rlike(DECLARES_DATABASE)).withColumn("db_key", F.lower("value"))
+    every = shown(plain, key_of(F.col("value")))
+    for more in (shown(whole, key_of(F.col("text"))), shown(refs, F.coalesce(key_of(F.col("value")), key_of(F.col("default")))), shown(of_files, F.col("key")), shown(literal, F.concat_ws("/", "host", "db")), named.select(*columns)):
+        every = every.unionByName(more)
+    return every
+
+
 def database(facts: DataFrame, ctx: Context) -> DataFrame:
     """Services that name the same database, both ways (inferred)."""
-    texts = facts.where(F.col("value").isNotNull())
-    ado = F.when(S.ado_host(F.col("value")).isNotNull(), F.concat_ws("/", S.ado_host(F.col("value")), S.ado_database(F.col("value"))))
-    keyed = texts.withColumn("db_key", F.coalesce(S.database_key(F.col("value")), ado)).where(F.col("db_key").isNotNull())
-    first = keyed.groupBy("repo_id", "service", "db_key").agg(F.min(F.struct("path", "line", "ordinal")).alias("at"))
-    pairs = resolve.shared_keys(first.select("repo_id", "db_key", "service", F.lit(True).alias("declared")))
+    uses = database_uses(facts, ctx)
+    first = uses.groupBy("repo_id", "service", "db_key").agg(F.min(F.struct("path", "line", "ordinal")).alias("at"))
+    pairs = resolve.shared_keys(uses.select("repo_id", "db_key", "service", "declared"))
     placed = pairs.withColumnRenamed("source", "service").join(first, ["repo_id", "service", "db_key"]).select("repo_id", "service", "target", "db_key", "at.path", "at.line", "at.ordinal")
     return _shape(placed, F.lit(DATABASE), F.lit(1), F.concat(F.lit("shared database "), F.col("db_key"), F.lit(" with "), F.col("target")), F.col("db_key"))
 
