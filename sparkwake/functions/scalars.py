@@ -141,7 +141,7 @@ def callee_receiver(callee: Column) -> Column:
 
 def is_topic_key(text: Column) -> Column:
     """Whether a literal can name a topic, a queue, an exchange, a routing key or a type of event."""
-    return text.rlike(r"^[A-Za-z0-9_:*#][A-Za-z0-9._/:*#-]{1,119}$") & text.rlike("[A-Za-z]") & ~F.contains(text, F.lit("://")) & ~F.lower(text).isin(*TOPIC_STOP_WORDS)
+    return text.rlike(r"^[A-Za-z0-9_:*#][A-Za-z0-9._/:*#-]{1,119}\z") & text.rlike("[A-Za-z]") & ~F.contains(text, F.lit("://")) & ~F.lower(text).isin(*TOPIC_STOP_WORDS)
 
 
 #: Literals at messaging calls that name no topic.

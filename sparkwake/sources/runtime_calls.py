@@ -18,12 +18,20 @@ SPANS = f"array<struct<spans:array<struct<traceId:string,spanId:string,parentSpa
 OTLP = f"struct<resourceSpans:array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeSpans:{SPANS},instrumentationLibrarySpans:{SPANS}>>>"
 
 
-def sniff(text: str) -> str:
-    """otlp, datadog or prometheus, by what the input starts with."""
-    if text.lstrip().startswith("{"):
-        return "otlp" if "resourceSpans" in text else "datadog"
-    if METRIC in text:
-        return "prometheus"
+def sniff(lines: DataFrame) -> tuple[str, bool]:
+    """lines (value, ordinal) of the whole input -> otlp, datadog or prometheus, and whether each line is a JSON object of its own.
+
+    One aggregate over all lines: the first that is not blank tells JSON from text, the key of spans may stand anywhere, as may the
+    metric in a scrape of many others."""
+    line = F.trim(F.regexp_replace("value", r"[\s\x{FEFF}]+", " "))
+    rows = lines.select(line.alias("line"), "ordinal").where(F.col("line") != "")
+    has = lambda text: F.coalesce(F.max(F.contains("line", F.lit(text))), F.lit(False))
+    whole = F.startswith("line", F.lit("{")) & F.endswith("line", F.lit("}")) & F.try_parse_json("line").isNotNull()
+    found = rows.agg(F.min_by(F.substring("line", 1, 1), "ordinal").alias("first"), has('"resourceSpans"').alias("spans"), has(METRIC).alias("metric"), F.coalesce(F.every(whole), F.lit(False)).alias("each"), F.count("*").alias("n")).first()
+    if found["first"] == "{":
+        return ("otlp" if found["spans"] else "datadog"), found["each"] and found["n"] > 1
+    if found["metric"]:
+        return "prometheus", False
     raise ValueError("neither spans nor a scrape of service graph metrics")
 
 
@@ -41,19 +49,20 @@ def prometheus(lines: DataFrame) -> DataFrame:
 
 
 def otlp_spans(documents: DataFrame) -> DataFrame:
-    """documents (value: JSON) -> spans (span_id, parent_id, service, peer, kind, span_type, ordinal)."""
-    parsed = documents.select(F.from_json("value", OTLP).alias("x")).select(F.posexplode("x.resourceSpans").alias("r", "rs"))
+    """documents (value: JSON; ordinal, where there are several) -> spans (span_id, parent_id, service, peer, kind, span_type, ordinal)."""
+    place = F.col("ordinal") if "ordinal" in documents.columns else F.lit(0)
+    parsed = documents.select(place.cast("decimal(38,0)").alias("document"), F.from_json("value", OTLP).alias("x")).select("document", F.posexplode("x.resourceSpans").alias("r", "rs"))
     attribute = lambda a, key: F.nullif(F.try_element_at(F.filter(a, lambda kv: kv["key"] == key), F.lit(1))["value"]["stringValue"], F.lit(""))
     service = attribute(F.col("rs.resource.attributes"), "service.name")
-    scopes = parsed.select("r", service.alias("service"), F.posexplode(F.coalesce("rs.scopeSpans", "rs.instrumentationLibrarySpans")).alias("s", "ss")).where(F.col("service").isNotNull())
-    spans = scopes.select("r", "s", "service", F.posexplode("ss.spans").alias("n", "span"))
+    scopes = parsed.select("document", "r", service.alias("service"), F.posexplode(F.coalesce("rs.scopeSpans", "rs.instrumentationLibrarySpans")).alias("s", "ss")).where(F.col("service").isNotNull())
+    spans = scopes.select("document", "r", "s", "service", F.posexplode("ss.spans").alias("n", "span"))
     own = F.map_from_entries(F.array_distinct(F.transform(F.filter(F.coalesce("span.attributes", F.array().cast(ATTRIBUTES)), lambda kv: kv["value"]["stringValue"].isNotNull() & kv["key"].isin("messaging.system", "db.system", "rpc.system", "peer.service")), lambda kv: F.struct(kv["key"], kv["value"]["stringValue"]))))
     number = F.upper(F.regexp_replace(F.coalesce("span.kind", F.lit("")), "^SPAN_KIND_", ""))
     kind_name = F.coalesce(*[F.when(number.isin(*v), F.lit(k)) for k, v in {"server": ("SERVER", "2"), "client": ("CLIENT", "3"), "producer": ("PRODUCER", "4"), "consumer": ("CONSUMER", "5")}.items()], F.lit("internal"))
     return spans.withColumn("own", own).select(
         F.nullif(F.col("span.spanId"), F.lit("")).alias("span_id"), F.nullif(F.col("span.parentSpanId"), F.lit("")).alias("parent_id"), "service",
         F.nullif(F.try_element_at("own", F.lit("peer.service")), F.lit("")).alias("peer"), span_kind(F.col("own"), number).alias("kind"), kind_name.alias("span_type"),
-        (F.col("r").cast("long") * 1_000_000_000_000 + F.col("s") * 1_000_000 + F.col("n")).alias("ordinal"),
+        F.struct("document", "r", "s", "n").alias("ordinal"),
     )
 
 
@@ -63,16 +72,19 @@ def calls_of_spans(spans: DataFrame) -> DataFrame:
     parents = spans.where(F.col("span_id").isNotNull()).groupBy(F.col("span_id").alias("parent_id")).agg(F.max_by(F.struct("service", "span_type"), "ordinal").alias("parent"))
     children = spans.where(F.col("parent_id").isNotNull()).join(parents, "parent_id").where(F.col("parent.service") != F.col("service"))
     kind = F.when(F.col("parent.span_type") == "producer", F.lit("event")).otherwise(F.col("kind"))
-    through = children.select(F.col("parent.service").alias("client"), F.col("service").alias("server"), F.lit(1).cast("long").alias("calls"), kind.alias("kind"), "ordinal")
+    through = children.select(F.col("parent.service").alias("client"), F.col("service").alias("server"), F.lit(1).cast("long").alias("calls"), kind.alias("kind"), F.struct(F.lit(0).alias("turn"), "ordinal").alias("ordinal"))
     counted = children.select(F.col("parent_id").alias("span_id")).distinct()
     named = spans.where(F.col("span_type").isin("client", "producer") & F.col("peer").isNotNull() & (F.col("peer") != F.col("service"))).join(counted, "span_id", "left_anti")
-    more = named.select(F.col("service").alias("client"), F.col("peer").alias("server"), F.lit(1).cast("long").alias("calls"), "kind", (F.col("ordinal") + F.lit(10**17)).alias("ordinal"))
+    more = named.select(F.col("service").alias("client"), F.col("peer").alias("server"), F.lit(1).cast("long").alias("calls"), "kind", F.struct(F.lit(1).alias("turn"), "ordinal").alias("ordinal"))
     return through.unionByName(more)
 
 
 def datadog(documents: DataFrame) -> DataFrame:
-    """documents (value: JSON of service -> {calls | calls_out}) -> client, server (null for a name without callees), calls null."""
-    services = documents.select(F.from_json("value", "map<string,string>").alias("m")).select(F.posexplode("m").alias("p", "client", "deps"))
+    """documents (value: JSON of service -> {calls | calls_out}) -> client, server (null for a name without callees), calls null. A
+    document that is no object, or an empty one, is an error, raised when the rows are read."""
+    held = F.from_json("value", "map<string,string>")
+    some = F.when(F.coalesce(F.size(held), F.lit(0)) > 0, held).otherwise(F.raise_error(F.lit("dependencies of no service")))
+    services = documents.where(F.trim("value") != "").select(some.alias("m")).select(F.posexplode("m").alias("p", "client", "deps"))
     both = F.from_json("deps", "struct<calls:string,calls_out:string>")
     listed = services.select("p", "client", F.coalesce(both["calls"], both["calls_out"]).alias("list"))
     # a JSON string element starts with a quote; numbers and objects are no names
@@ -88,10 +100,10 @@ def record(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """What a file of calls is, and its calls. The whole file is one row for JSON, a row a line for a scrape."""
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 65_536)).first()
-    how = sniff(head[0] if head else "")
+    """What the input is, and its calls. A scrape is a row a line, as is JSON of one object a line; other JSON is one row a file."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ordinal"))
+    how, each = sniff(lines)
     if how == "prometheus":
-        return how, prometheus(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ordinal")))
-    whole = spark.read.text(path, wholetext=True)
-    return how, calls_of_spans(otlp_spans(whole)) if how == "otlp" else datadog(whole)
+        return how, prometheus(lines)
+    documents = lines if each else spark.read.text(path, wholetext=True).select("value", F.monotonically_increasing_id().alias("ordinal"))
+    return how, calls_of_spans(otlp_spans(documents)) if how == "otlp" else datadog(documents)
