@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwake.functions.labels import confidence_label, type_label
-from sparkwake.functions.scalars import percent, round1
+from sparkwake.functions.scalars import clean_path, percent, pull_request, round1
 from sparkwake.operators.edges import DATABASE, IMPORT
 
 
@@ -89,3 +89,49 @@ def discovery_choice(attempts: DataFrame) -> DataFrame:
     best = F.max_by("ord", F.struct("code", "services", -F.col("ord")))
     chosen = attempts.groupBy("repo_id").agg(F.coalesce(first, best).alias("ord"), F.coalesce(first, F.max("ord")).alias("last"))
     return chosen.join(attempts.select("repo_id", "ord", "strategy"), ["repo_id", "ord"]).select("repo_id", "strategy", (F.col("last") + 1).alias("tried"))
+
+
+def in_order(services: DataFrame) -> DataFrame:
+    """Services with their place in a report: code first, then by name without case, then by name."""
+    order = Window.partitionBy("repo_id").orderBy(F.when(F.col("role") == "code", 0).otherwise(1), F.lower("name"), "name")
+    return services.withColumn("place", F.row_number().over(order))
+
+
+def widest_first(reached: DataFrame) -> DataFrame:
+    """reached (repo_id, service, reached) -> the service of each repository that reaches most, of equal ones the first name."""
+    best = reached.groupBy("repo_id").agg(F.min(F.struct((-F.col("reached")).alias("r"), F.lower("service").alias("low"), "service")).alias("best"))
+    return best.select("repo_id", "best.service", (-F.col("best.r")).alias("reached"))
+
+
+def edges_of(edges: DataFrame, service: str) -> DataFrame:
+    """Edges of a service, with side: 0 those that leave it, 1 those that come to it."""
+    out, into = (edges.where(F.col(c) == service).withColumn("side", F.lit(n)) for n, c in enumerate(("source", "target")))
+    return out.unionByName(into)
+
+
+def with_text(rows: DataFrame, **wanted: str) -> DataFrame:
+    """Rows of which one of the columns holds its text, whatever the case; null holds none."""
+    has = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(text.lower())) for c, text in wanted.items()]
+    any_ = has[0]
+    for one in has[1:]:
+        any_ = any_ | one
+    return rows.where(any_)
+
+
+def recent_requests(commits: DataFrame, most: int = 20) -> DataFrame:
+    """commits (pos, reference, subject) -> the last commits that name a pull request."""
+    named = commits.withColumn("pull_request", pull_request(F.col("subject"))).where(F.col("pull_request").isNotNull())
+    return named.orderBy(F.desc("pos")).limit(most).select("pos", "reference", "pull_request")
+
+
+def changed_files(changes: DataFrame) -> DataFrame:
+    """changes (change_id, repo_id, file, pos) -> each file once, under its clean path, where it comes first."""
+    return changes.groupBy("change_id", "repo_id", clean_path(F.col("file")).alias("file")).agg(F.min("pos").alias("pos"))
+
+
+def union_distinct(*frames: DataFrame) -> DataFrame:
+    """Rows of any of the frames, once each."""
+    every = frames[0]
+    for more in frames[1:]:
+        every = every.unionByName(more)
+    return every.distinct()

@@ -109,6 +109,17 @@ def shared_keys(uses: DataFrame) -> DataFrame:
     return own.withColumnRenamed("service", "source").join(other, ["repo_id", "db_key"]).where(F.col("source") != F.col("target"))
 
 
+def database_services(uses: DataFrame) -> DataFrame:
+    """uses (repo_id, db_key, service) -> how many services name each database."""
+    return uses.groupBy("repo_id", "db_key").agg(F.countDistinct("service").alias("services"))
+
+
+def once(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Of the rows of a key the first by ordinal."""
+    first = Window.partitionBy(*keys).orderBy("ordinal")
+    return rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
+
+
 def symbols(assigned: DataFrame, most: int = SYMBOLS) -> DataFrame:
     """assigned (repo_id, service, name, value, ordinal): the first distinct values of a name within a service."""
     first = assigned.groupBy("repo_id", "service", "name", "value").agg(F.min("ordinal").alias("ordinal"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.functions.scalars import clean_path
-from sparkwake.operators import discover, extract, matchers, resolve, runtime_join, walk
+from sparkwake.operators import discover, extract, findings, matchers, resolve, runtime_join, walk
 from sparkwake.operators.edges import merge_edges, owners
 from sparkwake.operators.environment import environment
 from sparkwake.session import stored
@@ -45,7 +45,7 @@ class Analysis:
             return self.edges
         if self.services.where(F.col("name") == service).isEmpty():
             raise ValueError(f"no such service: {service}")
-        return self.outbound(service).withColumn("side", F.lit(0)).unionByName(self.inbound(service).withColumn("side", F.lit(1))).orderBy("side", "source", "target", "type_ord").drop("side")
+        return findings.edges_of(self.edges, service).orderBy("side", "source", "target", "type_ord").drop("side")
 
 
 def analyze(spark: SparkSession, roots: dict[str, str], include_tests: bool = False) -> Analysis:

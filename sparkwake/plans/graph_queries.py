@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.functions.labels import confidence_label, type_label
-from sparkwake.functions.scalars import clean_path, pull_request
+from sparkwake.functions.scalars import clean_path
 from sparkwake.operators import edges as E
-from sparkwake.operators import findings, walk
+from sparkwake.operators import findings, graph_store, walk
 from sparkwake.plans.derived import load, oracle
 from sparkwake.session import stored
 
@@ -167,8 +167,7 @@ def ag_13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("AG_12_widest_first", f"WITH RECURSIVE {STEPS}, {CODE_SEEDS}, {WALK}, n AS (SELECT s.repo_id, s.service, count(r.service) AS reached FROM seeds s LEFT JOIN reached r ON r.change_id = s.change_id GROUP BY 1, 2) SELECT repo_id, service, reached FROM n QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY reached DESC, lower(service), service) = 1")
 def ag_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ag_13(spark, sf_dir).groupBy("repo_id").agg(F.min(F.struct((-F.col("reached")).alias("r"), F.lower("service").alias("low"), "service")).alias("best"))
-    return best.select("repo_id", "best.service", (-F.col("best.r")).alias("reached"))
+    return findings.widest_first(ag_13(spark, sf_dir))
 
 
 @query("AG_07_edge_counts", f"WITH {FOLDED} SELECT repo_id, 'confidence' AS facet, {CONF.format('conf_rank')} AS label, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT repo_id, 'type', {TYPE}, count(*) FROM edges GROUP BY ALL")
@@ -226,26 +225,49 @@ def ag_16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("TK_03_recent_requests", "SELECT pos, reference, pull_request FROM (SELECT *, row_number() OVER (ORDER BY pos DESC) AS n FROM (SELECT pos, reference, CAST(coalesce(nullif(regexp_extract(subject, '^Merge pull request #(\\d+)', 1), ''), nullif(regexp_extract(subject, '\\(#(\\d+)\\)\\s*$', 1), ''), nullif(regexp_extract(subject, '\\(pull request #(\\d+)\\)', 1), ''), nullif(regexp_extract(subject, 'See merge request \\S*!(\\d+)', 1), '')) AS INT) AS pull_request FROM {d_commits}) WHERE pull_request IS NOT NULL) WHERE n <= 20")
 def tk_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = load(spark, sf_dir, "d_commits").withColumn("pull_request", pull_request(F.col("subject")))
-    return commits.where(F.col("pull_request").isNotNull()).orderBy(F.desc("pos")).limit(20).select("pos", "reference", "pull_request")
+    return findings.recent_requests(load(spark, sf_dir, "d_commits"))
 
 
 @query("ST_04_distinct_files", "SELECT change_id, repo_id, regexp_replace(file, '^(\\./)+', '') AS file, min(pos) AS pos FROM {d_changes} GROUP BY 1, 2, 3")
 def st_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "d_changes").groupBy("change_id", "repo_id", clean_path(F.col("file")).alias("file")).agg(F.min("pos").alias("pos"))
+    return findings.changed_files(load(spark, sf_dir, "d_changes"))
 
 
 @query("SO_01_services", "SELECT repo_id, name, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY CASE role WHEN 'code' THEN 0 ELSE 1 END, lower(name), name) AS INT) AS place FROM {d_services}")
 def so_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return findings.in_order(load(spark, sf_dir, "d_services")).select("repo_id", "name", "place")
 
-    order = Window.partitionBy("repo_id").orderBy(F.when(F.col("role") == "code", 0).otherwise(1), F.lower("name"), "name")
-    return load(spark, sf_dir, "d_services").select("repo_id", "name", F.row_number().over(order).alias("place"))
 
+#: Calls between spans as edges; some peers are services of another repository, or none.
+CALLS = "SELECT DISTINCT 'repo-' || (CAST(substr(service, 5) AS INT) % 2) AS repo_id, service AS source, peer AS target FROM {d_spans} WHERE peer IS NOT NULL"
 
-@query("SUP_01_unknown_ends", "SELECT DISTINCT repo_id, source, target FROM {d_candidates} c WHERE NOT EXISTS (SELECT 1 FROM {d_services} s WHERE s.repo_id = c.repo_id AND s.name = c.source) OR NOT EXISTS (SELECT 1 FROM {d_services} s WHERE s.repo_id = c.repo_id AND s.name = c.target)")
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = load(spark, sf_dir, "d_spans").where(F.col("peer").isNotNull())
+    repo = F.concat(F.lit("repo-"), (F.substring("service", 5, 20).cast("int") % 2).cast("string"))
+    return spans.select(repo.alias("repo_id"), F.col("service").alias("source"), F.col("peer").alias("target"), F.lit(E.HTTP).alias("type_ord"), F.lit(3).alias("conf_rank")).distinct()
+
+
+@query("SUP_01_unknown_ends", f"""WITH calls AS ({CALLS}), ends AS (
+  SELECT c.*, NOT EXISTS (SELECT 1 FROM {{d_services}} s WHERE s.repo_id = c.repo_id AND s.name = c.source) AS s, NOT EXISTS (SELECT 1 FROM {{d_services}} s WHERE s.repo_id = c.repo_id AND s.name = c.target) AS t FROM calls c)
+SELECT repo_id, source, target, CASE WHEN s AND t THEN 'both' WHEN s THEN 'source' ELSE 'target' END AS "end" FROM ends WHERE s OR t""")
 def sup_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = load(spark, sf_dir, "d_services").select("repo_id", "name")
-    pairs = load(spark, sf_dir, "d_candidates").select("repo_id", "source", "target").distinct()
-    lost = [pairs.join(known.withColumnRenamed("name", side), ["repo_id", side], "left_anti").select("repo_id", "source", "target") for side in ("source", "target")]
-    return lost[0].unionByName(lost[1]).distinct()
+    return graph_store.unknown_ends(_calls(spark, sf_dir), load(spark, sf_dir, "d_services")).select("repo_id", "source", "target", "end")
+
+
+@query("SUP_01_put_edges", f"""WITH {FOLDED}, calls AS ({CALLS}), allowed AS (
+  SELECT c.* FROM calls c WHERE EXISTS (SELECT 1 FROM {{d_services}} s WHERE s.repo_id = c.repo_id AND s.name = c.source) AND EXISTS (SELECT 1 FROM {{d_services}} s WHERE s.repo_id = c.repo_id AND s.name = c.target))
+SELECT coalesce(e.repo_id, a.repo_id) AS repo_id, coalesce(e.source, a.source) AS source, coalesce(e.target, a.target) AS target, coalesce(e.type_ord, 0) AS type_ord, CASE WHEN a.repo_id IS NOT NULL THEN 3 ELSE e.conf_rank END AS conf_rank
+FROM edges e FULL JOIN allowed a ON a.repo_id = e.repo_id AND a.source = e.source AND a.target = e.target AND e.type_ord = 0""")
+def sup_01_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = merged(spark, sf_dir).select("repo_id", "source", "target", "type_ord", "conf_rank")
+    edges, _ = graph_store.put_edges(held, _calls(spark, sf_dir), load(spark, sf_dir, "d_services"))
+    return edges.select("repo_id", "source", "target", "type_ord", "conf_rank")
+
+
+@query("SUP_01_put_services", "SELECT repo_id, name, CASE WHEN pos % 3 = 0 THEN 'code' ELSE role END AS role, CASE WHEN pos % 3 = 0 THEN 'later' ELSE image END AS image FROM {d_services} UNION ALL SELECT repo_id, 'new-' || pos, 'code', NULL FROM {d_services} WHERE pos % 5 = 0")
+def sup_01_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = load(spark, sf_dir, "d_services").select("repo_id", "name", "role", "image", "pos")
+    replaced = held.where(F.col("pos") % 3 == 0).select("repo_id", "name", F.lit("code").alias("role"), F.explode(F.array(F.lit("earlier"), F.lit("later"))).alias("image"), "pos").withColumn("pos", F.col("pos") + F.when(F.col("image") == "later", 1).otherwise(0))
+    new = held.where(F.col("pos") % 5 == 0).select("repo_id", F.concat(F.lit("new-"), F.col("pos").cast("string")).alias("name"), F.lit("code").alias("role"), "pos")
+    return graph_store.put_services(held, replaced.unionByName(new, allowMissingColumns=True)).select("repo_id", "name", "role", "image")

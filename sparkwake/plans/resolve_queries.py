@@ -185,7 +185,7 @@ def jn_09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("AG_04_database_services", "SELECT repo_id, topic_key AS db_key, count(DISTINCT service) AS services FROM {d_mentions} GROUP BY 1, 2")
 def ag_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "d_mentions").groupBy("repo_id", F.col("topic_key").alias("db_key")).agg(F.countDistinct("service").alias("services"))
+    return resolve.database_services(load(spark, sf_dir, "d_mentions").withColumnRenamed("topic_key", "db_key"))
 
 
 @query("AG_05_symbols", "SELECT repo_id, service, role AS name, topic_key AS value, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, service, role ORDER BY o) AS place FROM (SELECT repo_id, service, role, topic_key, min(ordinal) AS o FROM {d_mentions} GROUP BY 1, 2, 3, 4)) WHERE place <= 8")
@@ -304,9 +304,9 @@ ORACLE_SQL["JN_05_templates"] = oracle(f"WITH {KEYS}, {HOSTS} SELECT a.repo_id,
 
 @query("TK_02_unresolved", None)
 def tk_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "d_env").select("id", F.concat(F.lit("repo-"), F.col("id") % 2).alias("repo_id"), _host(F.col("value")).alias("host"))
+    rows = load(spark, sf_dir, "d_env").select("id", F.concat(F.lit("repo-"), F.col("id") % 2).alias("repo_id"), F.when(F.col("id") % 7 == 0, F.concat(F.lit("lost-"), (F.col("id") % 60).cast("string"))).otherwise(_host(F.col("value"))).alias("host"))
     found = resolve.hosts(rows, resolve.service_keys(load(spark, sf_dir, "d_services")))
     return resolve.unresolved(found).select("repo_id", "unresolved", F.array_join("names", ",").alias("names"))
 
 
-ORACLE_SQL["TK_02_unresolved"] = oracle(f"WITH {KEYS}, {HOSTS}, u AS (SELECT a.repo_id, a.host FROM asked a LEFT JOIN targets t ON t.id = a.id WHERE t.target IS NULL AND a.host IS NOT NULL AND NOT regexp_matches(a.host, '^[0-9.]*$')), d AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY host) AS n FROM (SELECT DISTINCT repo_id, host FROM u)) SELECT repo_id, (SELECT count(*) FROM u WHERE u.repo_id = d.repo_id) AS unresolved, string_agg(host, ',' ORDER BY host) AS names FROM d WHERE n <= 50 GROUP BY 1").replace("HOST_EXPRESSION", _sql_braces(HOST))
+ORACLE_SQL["TK_02_unresolved"] = oracle(f"WITH {KEYS}, {HOSTS}, u AS (SELECT a.repo_id, a.host FROM asked a LEFT JOIN targets t ON t.id = a.id WHERE t.target IS NULL AND a.host IS NOT NULL AND NOT regexp_matches(a.host, '^[0-9.]*$')), d AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY host) AS n FROM (SELECT DISTINCT repo_id, host FROM u)) SELECT repo_id, (SELECT count(*) FROM u WHERE u.repo_id = d.repo_id) AS unresolved, string_agg(host, ',' ORDER BY host) AS names FROM d WHERE n <= 50 GROUP BY 1").replace("HOST_EXPRESSION", f"CASE WHEN id % 7 = 0 THEN 'lost-' || (id % 60) ELSE {_sql_braces(HOST)} END")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.functions import scalars as S
-from sparkwake.operators import extract, review, sinks, walk
+from sparkwake.operators import extract, findings, resolve, review, sinks, walk
 from sparkwake.operators.discover import first_by
 from sparkwake.plans.derived import load, oracle
 from sparkwake.plans.graph_queries import CONF, FOLDED, OWNED, TYPE, change_seeds, graph, merged, of_parts
@@ -106,7 +106,7 @@ def sc_21(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ST_02_union_distinct", "SELECT DISTINCT repo_id, file FROM (SELECT repo_id, file FROM {d_changes} WHERE pos % 2 = 0 UNION ALL SELECT repo_id, file FROM {d_changes} WHERE pos % 3 = 0)")
 def st_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "d_changes")
-    return rows.where(F.col("pos") % 2 == 0).select("repo_id", "file").unionByName(rows.where(F.col("pos") % 3 == 0).select("repo_id", "file")).distinct()
+    return findings.union_distinct(*(rows.where(F.col("pos") % n == 0).select("repo_id", "file") for n in (2, 3)))
 
 
 @query("WN_02_first_by_preference", "SELECT repo_id, root_or_none, name FROM (SELECT repo_id, coalesce(image, 'none') AS root_or_none, name, row_number() OVER (PARTITION BY repo_id, coalesce(image, 'none') ORDER BY CASE role WHEN 'code' THEN 0 ELSE 1 END, pos) AS n FROM {d_services}) WHERE n = 1")
@@ -117,17 +117,14 @@ def wn_02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("FL_12_text_filter", "SELECT repo_id, name FROM {d_services} WHERE contains(lower(name), '1') OR contains(lower(coalesce(image, '')), 'redis')")
 def fl_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = lambda c, x: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(x))
-    return load(spark, sf_dir, "d_services").where(has("name", "1") | has("image", "redis")).select("repo_id", "name")
+    return findings.with_text(load(spark, sf_dir, "d_services"), name="1", image="Redis").select("repo_id", "name")
 
 
 @query("QY_03_edges_of_service", f"WITH {FOLDED} SELECT 0 AS side, source, target, {TYPE} AS type FROM edges WHERE source = 'svc-3' UNION ALL SELECT 1, source, target, {TYPE} FROM edges WHERE target = 'svc-3'")
 def qy_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwake.functions.labels import type_label
 
-    edges = graph(spark, sf_dir)
-    sides = [edges.where(F.col(c) == "svc-3").select(F.lit(n).alias("side"), "source", "target", type_label(F.col("type_ord")).alias("type")) for n, c in enumerate(("source", "target"))]
-    return sides[0].unionByName(sides[1])
+    return findings.edges_of(graph(spark, sf_dir), "svc-3").select("side", "source", "target", type_label(F.col("type_ord")).alias("type"))
 
 
 @query("SNK_01_edges_json", f"WITH {FOLDED} SELECT repo_id, '{{\"source\":\"' || source || '\",\"target\":\"' || target || '\",\"type\":\"' || {TYPE} || '\",\"confidence\":\"' || {CONF.format('conf_rank')} || '\",\"evidence\":[' || (SELECT string_agg('{{\"file\":\"' || r.file || '\",\"line\":' || r.line || '}}', ',' ORDER BY pos) FROM ranked r WHERE r.repo_id = e.repo_id AND r.source = e.source AND r.target = e.target AND r.type_ord = e.type_ord AND pos <= 25) || ']}}' AS json FROM edges e".replace("{{", "{").replace("}}", "}"))
@@ -190,5 +187,4 @@ def ag_06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WN_05_once_per_file", "SELECT service, family_key, min(ordinal) AS ordinal FROM (SELECT service, topic_key AS family_key, ordinal FROM {d_mentions}) GROUP BY 1, 2")
 def wn_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = Window.partitionBy("service", "topic_key").orderBy("ordinal")
-    return load(spark, sf_dir, "d_mentions").withColumn("n", F.row_number().over(first)).where(F.col("n") == 1).select("service", F.col("topic_key").alias("family_key"), "ordinal")
+    return resolve.once(load(spark, sf_dir, "d_mentions"), ("service", "topic_key")).select("service", F.col("topic_key").alias("family_key"), "ordinal")
