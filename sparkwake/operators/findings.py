@@ -69,10 +69,6 @@ def nodes(services: DataFrame, edges: DataFrame) -> DataFrame:
     return services.join(inbound, ["repo_id", "name"], "left").select("repo_id", F.col("name").alias("service"), confidence_label(F.col("best")).alias("strongest"), radius.alias("radius"))
 
 
-def by_depth(reached: DataFrame) -> DataFrame:
-    return reached.groupBy("change_id", "depth").agg(F.count("*").alias("n"))
-
-
 def history_summary(entries: DataFrame) -> DataFrame:
     """entries (reference, pos, changed, reached) -> one row of averages; of the largest entries the oldest counts."""
     return entries.agg(

@@ -128,15 +128,19 @@ def jn_21_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.reach_paths(moves, change_seeds(spark, sf_dir)).select("change_id", "repo_id", "service", "depth", confidence_label(F.col("conf_rank")).alias("confidence"), F.size("path").alias("hops"))
 
 
+def counted(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
+    return walk.reach_counts(walk.steps(graph(spark, sf_dir), load(spark, sf_dir, "d_services")), seeds)
+
+
 @query("AG_14_summary", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT s.change_id, s.changed, count(r.service) AS reached, count(*) FILTER (conf_rank = 3) AS observed, count(*) FILTER (conf_rank = 2) AS static, count(*) FILTER (conf_rank = 1) AS inferred, count(*) FILTER (conf_rank = 0) AS uncertain FROM (SELECT change_id, count(DISTINCT service) AS changed FROM seeds GROUP BY 1) s LEFT JOIN reached r ON r.change_id = s.change_id GROUP BY 1, 2")
 def ag_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = change_seeds(spark, sf_dir)
-    return walk.summary(seeds, walked(spark, sf_dir, seeds))
+    return walk.summary(seeds, counted(spark, sf_dir, seeds))
 
 
 @query("AG_15_by_depth", f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT change_id, depth, count(*) AS n FROM reached GROUP BY 1, 2")
 def ag_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.by_depth(walked(spark, sf_dir, change_seeds(spark, sf_dir)))
+    return walk.by_depth(counted(spark, sf_dir, change_seeds(spark, sf_dir)))
 
 
 @query("ST_03_not_reached", of_parts(f"WITH RECURSIVE {STEPS}, {OWNED}, {WALK} SELECT DISTINCT z.change_id, z.repo_id, c.name AS service FROM seeds z JOIN code c ON c.repo_id = z.repo_id WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.change_id = z.change_id AND x.repo_id = z.repo_id AND x.service = c.name) AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.change_id = z.change_id AND r.repo_id = z.repo_id AND r.service = c.name)"))
@@ -218,7 +222,7 @@ def ag_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = load(spark, sf_dir, "d_changes").select("change_id").distinct()
     seeds = change_seeds(spark, sf_dir)
     changed = seeds.groupBy("change_id").agg(F.count("*").alias("changed"))
-    hit = walked(spark, sf_dir, seeds).groupBy("change_id").agg(F.count("*").alias("reached"))
+    hit = walk.totals(counted(spark, sf_dir, seeds))
     entries = every.join(changed, "change_id", "left").join(hit, "change_id", "left").select(F.col("change_id").alias("reference"), F.col("change_id").cast("int").alias("pos"), F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce("reached", F.lit(0)).alias("reached"))
     return findings.history_summary(entries)
 

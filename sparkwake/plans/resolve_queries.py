@@ -152,7 +152,8 @@ def jn_02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JN_04_variables", None)
 def jn_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "d_env").withColumn("repo_id", F.concat(F.lit("repo-"), F.col("id") % 2))
+    variable = F.when(F.col("id") % 4 == 1, F.format_string("SVC_%d_HOST", F.col("id") % 120)).otherwise(F.col("variable"))
+    rows = load(spark, sf_dir, "d_env").withColumn("repo_id", F.concat(F.lit("repo-"), F.col("id") % 2)).withColumn("variable", variable)
     own = rows.where(F.col("id") % 3 == 0).groupBy("repo_id", "service", "variable").agg(F.min("value").alias("value"))
     shared = rows.where(F.lit(False)).select("repo_id", "variable", "value")
     refs = rows.select("id", "repo_id", "service", "variable", F.when(F.col("id") % 2 == 0, F.col("value")).alias("default"))
@@ -160,6 +161,16 @@ def jn_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "target", confidence_label(F.col("conf_rank")).alias("confidence"))
 
 
+ORACLE_SQL["JN_04_variables"] = oracle(f"""WITH {KEYS},
+v AS (SELECT id, 'repo-' || (id % 2) AS repo_id, service, CASE WHEN id % 4 = 1 THEN 'SVC_' || (id % 120) || '_HOST' ELSE variable END AS variable, value FROM {{d_env}}),
+own AS (SELECT repo_id, service, variable, min(value) AS value FROM v WHERE id % 3 = 0 GROUP BY 1, 2, 3),
+r AS (SELECT v.id, v.repo_id, o.value AS configured, CASE WHEN v.id % 2 = 0 THEN v.value END AS fallback, CASE WHEN v.id % 4 = 1 THEN 'svc-' || (v.id % 120) ELSE CASE v.variable WHEN 'CATALOGUE_HOST' THEN 'catalogue' WHEN 'PRODUCT_CATALOG_SERVICE_ADDR' THEN 'productcatalog' WHEN 'redis_url' THEN 'redis' END END AS named FROM v LEFT JOIN own o ON o.repo_id = v.repo_id AND o.service = v.service AND o.variable = v.variable),
+asked AS (SELECT id, w, repo_id, HOST_EXPRESSION AS host FROM (SELECT id, repo_id, 0 AS w, configured AS value FROM r UNION ALL SELECT id, repo_id, 1, fallback FROM r) UNION ALL SELECT id, 2, repo_id, named FROM r),
+turns AS (SELECT id, w, a.repo_id, t.tier, t.key, t.turn FROM asked a, LATERAL (SELECT * FROM (VALUES (0, lower(host), 0), (0, split_part(lower(host), '.', 1), 1), (1, {NORM.format('host')}, 2)) AS x(tier, key, turn)) t WHERE host IS NOT NULL AND NOT regexp_matches(host, '^[0-9.]*$')),
+found AS (SELECT id, arg_min(k.service, w * 10 + turn) AS target, min(w) AS w FROM turns t JOIN keys k ON k.repo_id = t.repo_id AND k.tier = t.tier AND k.key = t.key GROUP BY 1)
+SELECT r.id, target, CASE WHEN w < 2 THEN 'static' WHEN w = 2 THEN 'uncertain' END AS confidence FROM r LEFT JOIN found f ON f.id = r.id""").replace("HOST_EXPRESSION", _sql_braces(HOST))
+
+
 @query("JN_07_topic_edges", "SELECT DISTINCT p.repo_id, p.topic_key, p.service AS source, c.service AS target FROM {d_mentions} p JOIN {d_mentions} c ON c.repo_id = p.repo_id AND c.topic_key = p.topic_key AND c.service <> p.service WHERE p.role IN ('producer', 'unknown') AND c.role IN ('consumer', 'unknown') AND NOT (p.role = 'unknown' AND c.role = 'unknown')")
 def jn_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.topic_edges(load(spark, sf_dir, "d_mentions"))
