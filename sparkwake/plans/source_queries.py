@@ -171,12 +171,6 @@ def jn_24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.verdicts(rows.select("change_id", "source", "target").distinct(), said)
 
 
-@query("EX_01_facts")
-def ex_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = load(spark, sf_dir, "documents").select(F.lit("docs").alias("repo_id"), F.coalesce("source", F.lit("none")).alias("service"), F.concat(F.col("doc_id").cast("string"), F.lit(".yaml")).alias("path"), F.lit("yaml").alias("ext"), F.coalesce("text", F.lit("")).alias("text"))
-    return extract.extract(files).groupBy("service", "kind").agg(F.count("*").alias("facts"), F.countDistinct("path").alias("files"))
-
-
 @query("AG_06_mapping_stats", "SELECT repo_id, count(*) FILTER (NOT contains(file, 'region_')) AS files_outside_services, count(*) FILTER (contains(file, 'region_') AND pos % 2 = 0) AS files_scanned FROM (SELECT DISTINCT change_id, repo_id, file, pos FROM {d_changes}) GROUP BY 1")
 def ag_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "d_changes").select("change_id", "repo_id", "file", "pos").distinct()
