@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sparkwake.plans.derived import load
 from sparkwake.plans.graph_queries import merged
-from sparkwake.plans.registry import QUERIES
+from sparkwake.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,3 +25,15 @@ def test_edges_of_all_candidates(spark):
 
 def test_queries_read_all(spark):
     assert QUERIES["SRC_20_otlp_spans"](spark, DATA).count() == load(spark, DATA, "d_spans").count()
+
+
+def test_not_reached_of_services_and_parts(spark, tmp_path):
+    """With few edges the changes of orders leave services unreached, as those of customers leave parts."""
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        few = "WHERE l_orderkey % 40 = 1" if t == "lineitem" else ""
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{t}.parquet' {few}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = [(r["change_id"], r["repo_id"], r["service"]) for r in QUERIES["ST_03_not_reached"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT change_id, repo_id, service FROM ({ORACLE_SQL['ST_03_not_reached']})").fetchall())
+    assert {repo.split("-")[0] for _, repo, _ in got} == {"repo", "parts"}
