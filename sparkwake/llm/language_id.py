@@ -6,8 +6,7 @@ are ranked, ties in code point order. A language profile is the same ranking ove
 predicted language has the least out-of-place distance: the sum of rank differences, PROFILE_SIZE for an
 n-gram that the profile lacks; ties go to the name that sorts first.
 
-Training reads at most about MAX_TRAIN_PER_LANG texts of each language, those with the smallest hash of
-doc_id: the bounded sample of labelled rows. Every text is predicted.
+Training reads every labelled text, and every text is predicted.
 
 Defined cases: null text, or one without a letter: `und`, score 0. No labelled text at all: `und`. A null
 lang is not trained on. A null doc_id is not held out. Repeated rows give repeated results. Texts of any
@@ -18,20 +17,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwake.llm.common import documents, rows_to_batch, slices
+from sparkwake.llm.common import documents, rows_to_batch, slices, stored
 
 PROFILE_SIZE = 300
-MAX_TRAIN_PER_LANG = 20_000
 PIECE = 1 << 18
 UNKNOWN = "und"
-#: The pipeline's stage: labelled texts of a language by which the least score is set, their percentile, and its share.
-SCORED_PER_LANG, LOW, SHARE = 2000, 0.01, 0.7
+#: The pipeline's stage: the percentile of the labelled texts' scores by which the least score is set, and its share.
+LOW, SHARE = 0.01, 0.7
+#: Parts of the range of scores by which a percentile is looked for.
+BINS = 10_000
 EDGE = 1
 
 
@@ -89,21 +90,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], schema=schema)
 
 
-def fit(docs: DataFrame, max_per_lang: int = MAX_TRAIN_PER_LANG, size: int = PROFILE_SIZE) -> dict[str, list[int]]:
-    """Profiles by language from the rows (text, lang, doc_id) of docs; at most `size` n-grams for each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    share = {r["lang"]: max_per_lang / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return {}
-    part = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))
-    counts = sample.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
+def fit(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list[int]]:
+    """Profiles by language from all rows (text, lang) of docs; at most `size` n-grams for each language."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
     ranks = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= size)
-    profiles: dict[str, list[int]] = {lang: [] for lang in sorted(share)}
+    profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").collect():
-        profiles[r["lang"]].append(r["gram"])
-    return {k: v for k, v in profiles.items() if v}
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return dict(sorted(profiles.items()))
 
 
 class Profiles:
@@ -149,16 +145,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def percentile(counts: DataFrame, share: float) -> float | None:
+    """counts (score, n) -> the least score that `share` of the rows do not exceed, exactly; None without rows. Scores are
+    fractions of PROFILE_SIZE denominators, PROFILE_SIZE squared at most: the driver sees BINS rows, then under 2000 of one bin."""
+    place = F.floor(F.col("score") * BINS)
+    bins = counts.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).orderBy("place").collect()
+    rest = max(1, ceil(round(share * sum(b["n"] for b in bins), 6)))
+    for b in bins:
+        if rest <= b["n"]:
+            for r in counts.where(place == b["place"]).orderBy("score").collect():
+                rest -= r["n"]
+                if rest <= 0:
+                    return r["score"]
+        rest -= b["n"]
+    return None
+
+
 def least_score(docs: DataFrame, profiles: dict[str, list[int]]) -> float:
-    """docs: labelled texts that were not trained on -> SHARE of the LOW percentile of their scores; 0 without any. Below it a text is like no profile."""
+    """docs: labelled texts that were not trained on -> SHARE of the LOW percentile of all their scores; 0 without any. Below it a text is like no profile."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not counted:
-        return 0.0
-    part = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], SCORED_PER_LANG / r["n"])]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))
-    low = predict(sample, profiles).where(F.col("lang_pred") != UNKNOWN).agg(F.percentile_approx("score", LOW, 10_000)).first()[0]
-    return SHARE * (low or 0.0)
+    scores = predict(rows, profiles).where(F.col("lang_pred") != UNKNOWN)
+    return SHARE * (percentile(stored(scores.groupBy("score").agg(F.count("*").alias("n")), "scores"), LOW) or 0.0)
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,28 @@ def test_language_stage_uses_the_score(spark):
     assert language_id.keep_known(spark, bare, "").count() == 41
 
 
+def test_profiles_of_all_texts(spark):
+    """Letters that one text each of forty thousand has are in the profile."""
+    rare = "bcdefghi"
+    texts = F.when(F.col("id") < len(rare), F.substring(F.lit(rare), F.col("id").cast("int") + 1, F.lit(1))).otherwise("a")
+    docs = spark.range(40_000, numPartitions=4).select(F.col("id").alias("doc_id"), texts.alias("text"), F.lit("en").alias("lang"))
+    assert {ord(c) for c in rare} < set(language_id.fit(docs)["en"])
+
+
+def test_least_score_of_all_labelled_texts(spark):
+    """The percentile is that of every labelled text's score, of two languages of 5000 and 7 texts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", [rng.random() for _ in range(9)], k=rng.randrange(20, 200))) + "a" for _ in range(5007)]
+    rows = [(i, t, "en" if i < 5000 else "fr") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (6000, "zzzz", None), (6001, None, "en"), (6002, "1 2", "en")], "doc_id long, text string, lang string")
+    profiles = {"en": language_id.ranking(*language_id.ngrams(" ".join(texts[:50])), 300).tolist()}
+    model = language_id.Profiles(profiles, language_id.PROFILE_SIZE)
+    scores = sorted(model.predict(t)[1] for t in texts)
+    assert scores[49] < scores[50] < scores[51]
+    assert language_id.least_score(docs, profiles) == language_id.SHARE * scores[50]  # the 51st of 5007
+    assert language_id.least_score(docs.where("text is null"), profiles) == 0
+
+
 def test_whole_identifiers_and_neighbours(spark):
     long, pad = "id" + "9" * 200, "w" * 60
     seeds = [(i, f"please write to user{i}@mail.example.com today") for i in range(6)] + [(20 + i, f"{pad} to{' ' * 9}user{i}@mail.example.com") for i in range(6)]
