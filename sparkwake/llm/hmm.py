@@ -40,8 +40,8 @@ STATES, ROUNDS = 6, 4
 VOCABULARY, CLASSES, COMMON, WORD_BYTES = 50_000, 64, 300_000, 64
 #: Tokens that a task trains on or scores at once; distinct words that it counts before it sends them on.
 TRAINED, SCORED, KEPT = 400_000, 1_500_000, 300_000
-#: A text of more tokens is long.
-LONG = 2048
+#: A text of more tokens is long; texts of up to so many train together, and so do all of twice LONG and more.
+LONG, SHORT = 2048, 255
 END = 0
 STICKY, PRIOR = 0.9, 5.0
 
@@ -83,54 +83,54 @@ class Model:
 
 
 class Texts:
-    """Sequences of symbols laid end to end, the longest first, so that step t concerns the first `many[t]` of them."""
+    """Sequences of symbols, the longest first, laid out step by step: step t holds the t-th symbols of the first `many[t]`
+    sequences and begins at `begins[t]`."""
 
     def __init__(self, sequences: list[np.ndarray]):
         self.order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         own = [sequences[i] for i in self.order]
         self.lengths = np.array([len(s) for s in own])
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.symbols = np.concatenate(own)
         self.many = np.searchsorted(-self.lengths, -np.arange(self.lengths[0]), side="left")
-
-
-def forward(model: Model, texts: Texts, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Log10 likelihood of each sequence (in the order of Texts); if kept, the scaled forward values and the scales."""
-    total = np.zeros(len(texts.lengths))
-    n, k = len(texts.symbols), len(model.start)
-    alphas, scales = (np.empty((n, k), np.float64), np.empty(n)) if keep else (None, None)
-    alpha = np.broadcast_to(model.start, (len(total), k))
-    for t, b in enumerate(texts.many):
-        at = texts.starts[:b] + t
-        alpha = (alpha[:b] @ model.moves if t else alpha[:b]) * model.emits[texts.symbols[at]]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        total[:b] += np.log10(scale)
+        self.begins = np.concatenate(([0], np.cumsum(self.many)[:-1]))
+        starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        #: For each place the sequence that it belongs to.
+        self.which = np.arange(self.lengths.sum()) - np.repeat(self.begins, self.many)
+        self.symbols = np.concatenate(own)[starts[self.which] + np.repeat(np.arange(len(self.many)), self.many)]
+        self.spans = list(zip(self.begins.tolist(), (self.begins + self.many).tolist(), strict=True))
+
+
+def forward(model: Model, texts: Texts, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """Log10 likelihood of each sequence (in the order of Texts); if kept, emissions and scaled forward values (state x place); the scales."""
+    emits, back = np.ascontiguousarray(model.emits.T), np.ascontiguousarray(model.moves.T)
+    scales = np.empty(len(texts.symbols))
+    seen = emits.take(texts.symbols, axis=1) if keep else None
+    alphas = np.empty_like(seen) if keep else None
+    alpha = np.broadcast_to(model.start[:, None], (len(model.start), len(texts.lengths)))
+    for t, (a, z) in enumerate(texts.spans):
+        here = seen[:, a:z] if keep else emits.take(texts.symbols[a:z], axis=1)
+        alpha = (back @ alpha[:, : z - a] if t else alpha) * here
+        scale = alpha.sum(axis=0, out=scales[a:z])
         if keep:
-            alphas[at], scales[at] = alpha, scale
-    return total, alphas, scales
+            alpha = np.divide(alpha, scale, out=alphas[:, a:z])
+        else:
+            alpha /= scale
+    return np.bincount(texts.which, np.log10(scales), len(texts.lengths)), seen, alphas, scales
 
 
 def expected(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of start states, moves, and emissions (symbol x state)."""
-    _, alphas, scales = forward(model, texts, keep=True)
-    k = len(model.start)
-    ahead = np.ones_like(alphas)  # beta
-    seen = model.emits[texts.symbols] / scales[:, None]
-    beta = np.ones((0, k))
-    for t in range(len(texts.many) - 1, 0, -1):
-        b = texts.many[t]
-        beta = np.concatenate((beta, np.ones((b - len(beta), k))))  # those that end here
-        at = texts.starts[:b] + t
-        beta = (beta * seen[at]) @ model.moves.T
-        ahead[at - 1] = beta
-    gamma = alphas * ahead
-    last = np.zeros(len(gamma), bool)
-    last[texts.starts + texts.lengths - 1] = True
-    before = np.flatnonzero(~last)
-    moves = model.moves * (alphas[before].T @ (seen[before + 1] * ahead[before + 1]))
-    emits = np.stack([np.bincount(texts.symbols, gamma[:, s], len(model.emits)) for s in range(k)], axis=1)
-    return gamma[texts.starts].sum(axis=0), moves, emits
+    _, seen, alphas, scales = forward(model, texts, keep=True)
+    seen /= scales
+    ahead = np.ones_like(alphas)  # beta; it stays 1 where a sequence ends
+    moves, spans = np.zeros_like(model.moves), texts.spans
+    for (a, _), (b, z) in zip(spans[-2::-1], spans[:0:-1], strict=True):
+        later = seen[:, b:z]
+        later *= ahead[:, b:z]
+        np.matmul(model.moves, later, out=ahead[:, a : a + z - b])
+        moves += alphas[:, a : a + z - b] @ later.T
+    gamma = np.multiply(alphas, ahead, out=alphas)
+    emits = np.stack([np.bincount(texts.symbols, g, len(model.emits)) for g in gamma], axis=1)
+    return gamma[:, : texts.many[0]].sum(axis=1), model.moves * moves, emits
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def gathered(sequences: Iterator[np.ndarray]) -> Iterator[Texts]:
     held: dict[int, list[np.ndarray]] = {}
     size: dict[int, int] = {}
     for s in sequences:
-        k = max(len(s), LONG).bit_length()
+        k = min(max(len(s), SHORT), 2 * LONG).bit_length()
         held.setdefault(k, []).append(s)
         size[k] = size.get(k, 0) + len(s)
         if size[k] >= TRAINED:

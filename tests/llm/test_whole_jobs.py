@@ -243,3 +243,30 @@ def test_baum_welch_on_a_toy(spark):
         model = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
     got = hmm.train(docs, vocabulary, counts, states=3, rounds=2)
     assert np.allclose(got.start, model.start) and np.allclose(got.moves, model.moves) and np.allclose(got.emits, model.emits)
+
+
+def test_short_texts_do_not_wait_for_long_ones():
+    """Texts train with those of like length, all of them, and their expected counts are those of plain forward-backward."""
+    rng = np.random.default_rng(3)
+    model = hmm.first_model(rng.integers(1, 50, 20).astype(float), 3)
+    sequences = [rng.integers(0, 20, n).astype(np.int32) for n in (1, 2, 200, 255, 300, 511, 700, 4000, 4100, 9000, 200)]
+    batches = list(hmm.gathered(iter(sequences)))
+    assert sorted(n for b in batches for n in b.lengths.tolist()) == sorted(map(len, sequences))
+    assert sorted(len(b.many) for b in batches) == [255, 511, 700, 4000, 9000]
+    got = [sum(parts) for parts in zip(*(hmm.expected(model, b) for b in batches), strict=True)]
+    start, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((20, 3))
+    for s in sequences:
+        alpha, beta = np.empty((len(s), 3)), np.ones((len(s), 3))
+        for t, x in enumerate(s):
+            alpha[t] = (alpha[t - 1] @ model.moves if t else model.start) * model.emits[x]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(s) - 1, 0, -1):
+            beta[t - 1] = model.moves @ (model.emits[s[t]] * beta[t])
+            beta[t - 1] /= beta[t - 1].sum()
+            pair = alpha[t - 1][:, None] * model.moves * (model.emits[s[t]] * beta[t])
+            moves += pair / pair.sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        start += gamma[0]
+        np.add.at(emits, s, gamma)
+    assert all(np.allclose(a, b) for a, b in zip(got, (start, moves, emits), strict=True))
