@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwake.functions.labels import type_order
-from sparkwake.functions.scalars import call_class, call_edge_type, calls_detail, jaro_winkler_udf, normalise
+from sparkwake.functions.scalars import call_class, call_edge_type, calls_detail, normalise
+from sparkwake.operators.similar_names import most_similar
 
 THRESHOLD, SHORTEST = 0.9, 4
 
@@ -15,8 +16,8 @@ def match_names(names: DataFrame, services: DataFrame, mapped: dict[str, str] |
     """names (repo_id, runtime), services (repo_id, name, pos) -> repo_id, runtime, service, how, score.
 
     In turn: ignored, mapped, the same name, the same normalised name (the first service), the most similar name of at
-    least THRESHOLD (the last of equals). Only names left after the equality joins meet services by similarity, and only
-    those of the same repository. A name that is mapped to a service which its repository has not is an error, raised when
+    least THRESHOLD (the last of equals). Only names left after the equality joins meet services by similarity, tile
+    by tile, and only those of the same repository. A name that is mapped to a service which its repository has not is an error, raised when
     the rows are read."""
     mapped = mapped or {}
     known = services.select("repo_id", F.col("name").alias("service"), "pos", normalise(F.col("name")).alias("norm"))
@@ -30,9 +31,8 @@ def match_names(names: DataFrame, services: DataFrame, mapped: dict[str, str] |
     norm = known.where(F.col("norm") != "").groupBy("repo_id", "norm").agg(F.min_by("service", "pos").alias("same_norm"))
     tiers = rows.withColumn("target", target).withColumn("ignored", F.col("runtime").isin(*ignored) if ignored else F.lit(False)).join(exact, ["repo_id", "runtime"], "left").join(norm, ["repo_id", "norm"], "left")
     left = tiers.where(~F.col("ignored") & F.coalesce("target", "exact", "same_norm").isNull() & (F.octet_length("norm") >= SHORTEST)).select("repo_id", "runtime", "norm")
-    long_names = known.where(F.octet_length("norm") >= SHORTEST).select("repo_id", "service", "pos", F.col("norm").alias("other"))
-    scored = left.join(long_names, "repo_id").withColumn("score", jaro_winkler_udf("norm", "other")).where(F.col("score") >= THRESHOLD)
-    similar = scored.groupBy("repo_id", "runtime").agg(F.max_by(F.struct("service", "score"), F.struct("score", "pos")).alias("similar"))
+    long_names = known.where(F.octet_length("norm") >= SHORTEST).select("repo_id", "service", F.col("pos").cast("long").alias("pos"), F.col("norm").alias("other"))
+    similar = left.join(most_similar(left, long_names, THRESHOLD), ["repo_id", "norm"]).select("repo_id", "runtime", F.struct("service", "score").alias("similar"))
     found = tiers.join(similar, ["repo_id", "runtime"], "left")
     how = F.when(F.col("ignored"), "ignored").when(F.col("target").isNotNull(), "config").when(F.col("exact").isNotNull(), "exact").when(F.col("same_norm").isNotNull(), "normalised").when(F.col("similar").isNotNull(), "fuzzy").otherwise("unmatched")
     service = F.when(~F.col("ignored"), F.coalesce("target", "exact", "same_norm", "similar.service"))
