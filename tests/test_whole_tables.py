@@ -5,7 +5,8 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from sparkwake.plans.derived import load
+from sparkwake.operators import edges
+from sparkwake.plans.derived import DATASETS, MADE, load
 from sparkwake.plans.graph_queries import merged
 from sparkwake.plans.registry import ORACLE_SQL, QUERIES
 
@@ -37,3 +38,21 @@ def test_not_reached_of_services_and_parts(spark, tmp_path):
     got = [(r["change_id"], r["repo_id"], r["service"]) for r in QUERIES["ST_03_not_reached"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(con.execute(f"SELECT change_id, repo_id, service FROM ({ORACLE_SQL['ST_03_not_reached']})").fetchall())
     assert {repo.split("-")[0] for _, repo, _ in got} == {"repo", "parts"}
+
+
+def test_datasets_made_another_way(spark):
+    """Candidates of neighbouring lines are those that the SQL gives, kinds of columns included."""
+    for name in MADE:
+        got, want = load(spark, DATA, name), spark.sql(DATASETS[name], d_lines=load(spark, DATA, "d_lines"))
+        assert got.dtypes == want.dtypes and want.count() > 100
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_edge_ranks_are_those_of_merged_edges(spark):
+    """Without evidence the edges and their confidences stay, http next to gRPC and repeated pieces included."""
+    rows = [("r", a, b, t, c, f"f{n % 3}", n % 2, None, n) for n, (a, b, t, c) in enumerate((a, b, t, c) for a in "xy" for b in "xyz" for t in range(5) for c in range(4) if (ord(a) + ord(b) * t + c) % 3)]
+    frame = spark.createDataFrame(rows, "repo_id string, source string, target string, type_ord int, conf_rank int, file string, line int, detail string, ordinal long")
+    columns = ("repo_id", "source", "target", "type_ord", "conf_rank")
+    for candidates in (frame, load(spark, DATA, "d_candidates"), load(spark, DATA, "d_uses")):
+        want, got = (sorted(map(tuple, f(candidates).select(*columns).collect())) for f in (edges.merge_edges, edges.edge_ranks))
+        assert got == want and want
