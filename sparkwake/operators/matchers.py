@@ -17,6 +17,7 @@ from sparkwake.functions.messaging import DECLARES, HANDLERS, LISTENERS, NO_HAND
 from sparkwake.operators import resolve
 from sparkwake.functions.labels import type_order
 from sparkwake.operators.edges import DATABASE, EVENT, GRPC, IMPORT
+from sparkwake.session import stored
 
 
 #: Last parts of settings' keys that name an address.
@@ -124,6 +125,8 @@ def mentions(facts: DataFrame) -> DataFrame:
     """Topics: repo_id, topic_key, service, role, path, line, ordinal. A name in the place of a literal stands for the
     values bound to it in the same service; a typed event's topic is its type, and a handler's base type names what it
     consumes. In a literal among the arguments, values of topic keys count, and those of a list."""
+    used = ("call", "call_name", "call_key", "annotation", "annotation_name", "assign", "event_type", "extends")
+    facts = stored(facts.where(F.col("kind").isin(*used)), "facts")  # read five times
     callee = F.element_at(F.split("name", "#"), 1)
     method, receiver = S.callee_method(callee), S.callee_receiver(callee)
     last_key = F.when(F.contains("name", F.lit("#")), F.element_at(F.split(F.element_at(F.split("name", "#"), -1), r"\."), -1))

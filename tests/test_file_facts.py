@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 from sparkwake.functions.messaging import METHODS
-from sparkwake.operators import file_facts, intervals
+from sparkwake.operators import file_facts, intervals, matchers
 from sparkwake.plans.nested_queries import SOURCES
 
 MORE = ["(", ")", "{", "}", "[", "]", ",", "=>", "new ", "process.env.X", "os.getenv(", '"a\\"b"', "`t ${y}`", "@Note(", "class ", "extends ", "List.of(", "publish(", "subscribe<Paid>(", "||", " or ", "+", "é", "// c\n", "# c\n", "/* x */", '"""d"""', "PaidEvent("]
@@ -33,3 +33,11 @@ def test_texts_alone_are_dealt_out(spark):
     files = spark.createDataFrame([("r", "s", "a.js", "f('x')")], "repo_id string, service string, path string, text string")
     plan = file_facts.facts(files, tuple(METHODS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort" not in plan
+
+
+def test_mentions_read_files_once(spark):
+    """What reads the facts several times reads stored ones, whose plan has no pass over files."""
+    files = spark.createDataFrame([("r", "s", "a.js", "publish('orders.paid', TOPIC)")], "repo_id string, service string, path string, text string")
+    found = matchers.mentions(file_facts.facts(files, tuple(METHODS)))
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["topic_key"], r["role"]) for r in found.collect()] == [("orders.paid", "producer")]
